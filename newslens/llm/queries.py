@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, url_filters
+from . import bpe, mixing, quality, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality.query,
+    "op6_token_counts": token_counts.query,
+    "op7_bpe": bpe.query,
     "op8_url_filters": url_filters.query,
     "op9_mixing": mixing.query,
 }
