@@ -2,67 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space of the word rule ``[^\x20\x09-\x0D]+``.
-WS = " \t\n\x0b\x0c\r"
+from ..sources.shared import drop, shared_dir, stash
 
-_stashed: list[tuple[SparkSession, str]] = []
+__all__ = ["WS", "double_array", "drop", "let", "long_array", "shared_dir", "spaced", "stash", "table", "words"]
 
+#: The white space of the word rule ``[^\x20\x09-\x0D]+``.
+WS = " \t\n\x0b\x0c\r"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = jdir.get() if jdir.isDefined() else "/tmp/checkpoints"
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back: lineage is cut and
-    a lost executor costs only a re-read. Deleted when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newslens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _stashed:
-        atexit.register(_drop_stashed)
-    _stashed.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df_or_path: DataFrame | str) -> None:
-    """Deletes a stashed table that no later plan reads."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else [p.rpartition("/")[0] for p in df_or_path.inputFiles()]
-    for spark, path in list(_stashed):
-        if any(path.split("/")[-1] in p for p in paths):
-            _delete(spark, path)
-            _stashed.remove((spark, path))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _drop_stashed() -> None:
-    for spark, path in _stashed:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session is gone; the cluster's own clean-up of the folder remains
-            return
-
-
 def spaced(text: Column) -> Column:
     """The text with every white-space character as one blank, empty for null; plain byte searches, no regex."""
     out = F.coalesce(text, F.lit(""))
