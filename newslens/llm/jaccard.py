@@ -379,6 +379,22 @@ def _frequent_links(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs
     return links
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, the one of least id; of rows with one id one stays.
+
+    Documents without an id or without words stay. Columns stay as they are.
+    """
+    parts = stash(jaccard_components(docs))
+    away = stash(parts.where("doc_id != component_id").select("doc_id").distinct())
+    kept = docs.join(F.broadcast(away) if away.count() <= BROADCAST_IDS else away, "doc_id", "left_anti")
+    again = stash(parts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    n = again.count()
+    if not n:
+        return kept
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: one row per document."""
     return jaccard_components(table(spark, sf_dir, "documents"))

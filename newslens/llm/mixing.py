@@ -112,20 +112,21 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return inside.join(before, ["src", "run"]).withColumn("start", F.col("before") + F.col("inside"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, key: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document.
 
     taken counts the document's words in all blocks that the schedule takes, repeats included.
     Null text has size 0 and taken 0; null sources form one source, the last; null ids take part;
     documents without words get their source's figures; an empty table gives an empty result; of
     wholly equal rows any may come first, with the same multiset of results; other columns are
-    left out. The result depends on the rows alone, so reruns agree.
+    left out. The result depends on the rows alone, so reruns agree. With ``key`` the column ``_h``, the
+    hash of id and text, comes too.
     """
     spark = docs.sparkSession
     rows = stash(sized(docs))
     plan = plan_sources(rows)
     sources = _sources(spark, plan)
-    at = stash(placed(rows, sources).select("doc_id", "source", "size", "source_size", "target", "src", "start", "blocks"))
+    at = stash(placed(rows, sources).select("_h", "doc_id", "source", "size", "source_size", "target", "src", "start", "blocks"))
     block_of = lambda p: ((p + 1) * F.col("blocks") - 1)
     pieces = (
         at.where("size > 0")
@@ -137,14 +138,27 @@ def mix(docs: DataFrame) -> DataFrame:
     times = schedule(spark, plan).groupBy("src", "block").agg(F.count("*").alias("times"))
     taken = (
         pieces.join(times, ["src", "block"], "left")
-        .groupBy("doc_id", "source", "size", "source_size", "target", "src", "start")
+        .groupBy("_h", "doc_id", "source", "size", "source_size", "target", "src", "start")
         .agg(F.sum((F.col("to") - F.col("from")) * F.coalesce("times", F.lit(0))).alias("taken"))
     )
     none = at.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    cols = [*["_h"] * key, "doc_id", "source", "size", "source_size", "target", "taken"]
     return taken.select(cols).unionByName(none.select(cols))
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mixed corpus: every document as many times as the mix takes its words, to the nearest whole number.
+
+    Columns stay as they are. Documents without words are taken no time. Equal rows are taken alike.
+    """
+    keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    times = stash(
+        mix(docs, key=True).where("size > 0").groupBy("_h")
+        .agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")).where("_times > 0")
+    )
+    return keyed.join(times, "_h").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_h", "_times", "_copy")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: one row per document."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, quality, token_counts, url_filters
+from . import bpe, jaccard, mixing, pii, quality, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": pii.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_quality_rules": quality.query,
     "op6_token_counts": token_counts.query,
