@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, pii, quality, token_counts, url_filters
+from . import bpe, html_text, jaccard, mixing, pii, quality, token_counts, topk, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": topk.query,
+    "op2_html_text": html_text.query,
     "op3_pii": pii.query,
     "op4_ngram_jaccard": jaccard.query,
     "op5_quality_rules": quality.query,
@@ -18,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": url_filters.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE, "op8_url_filters": url_filters.ORACLE}
