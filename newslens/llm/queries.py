@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, jaccard, mixing, pii, quality, token_counts, topk, url_filters
+from . import bpe, chat, html_text, jaccard, mixing, pii, quality, token_counts, topk, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": bpe.query,
     "op8_url_filters": url_filters.query,
     "op9_mixing": mixing.query,
+    "op10_chat": chat.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE, "op8_url_filters": url_filters.ORACLE}
