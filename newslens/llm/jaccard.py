@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import stash, table
+from .common import drop, free_shuffles, stash, table
 
 SHINGLE = 5
 #: A shingle in more documents than this is frequent ...
@@ -40,6 +40,8 @@ HELD = 4_000_000
 ROUNDS = 3
 #: Class ids (8 bytes each) up to which the list of sets to check is broadcast.
 BROADCAST_IDS = 1_000_000
+#: Sets of a group of candidates that are checked together; larger groups are checked pair by pair.
+TOGETHER = 32
 SKETCH = 4  # 64-bit words of the parity sketch
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -276,30 +278,48 @@ def _near(s: Column, t: Column, n: Column, m: Column) -> Column:
     return 9 * bits <= n + m
 
 
+def _links(s: np.ndarray, t: np.ndarray) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= 80 * (len(s) + len(t) - both)
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets."""
-    ids = stash(pairs.select(F.col("a").alias("f1")).union(pairs.select(F.col("b").alias("f1"))).distinct())
-    small = ids.count() <= BROADCAST_IDS
-    hint = F.broadcast if small else (lambda x: x)
-    owners = hint(classes.join(hint(ids), "f1", "left_semi").select("doc_id"))
+    """The pairs (a, b) that link, decided on the whole sets.
+
+    Candidates that hang together in small groups go to one task each with their sets, so that every set
+    moves once; the pairs of larger groups are joined with their sets.
+    """
+    groups = stash(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), stash))
+    sizes = stash(groups.groupBy("root").agg((F.count("*") <= TOGETHER).alias("small")))
+    placed = stash(groups.join(sizes, "root").select(F.col("node").alias("f1"), "root", "small"))
+    hint = F.broadcast if placed.count() <= BROADCAST_IDS else (lambda x: x)
+    owners = stash(classes.join(hint(placed), "f1", "left_semi").select("doc_id"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([class_id(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f1", "s"])
 
-    sets = stash(docs.join(owners, "doc_id", "left_semi").mapInArrow(sets_of, "f1 long, s binary").join(hint(ids), "f1", "left_semi").dropDuplicates(["f1"]))
+    sets = docs.join(hint(owners), "doc_id", "left_semi").mapInArrow(sets_of, "f1 long, s binary").join(hint(placed), "f1")
+    asked = pairs.join(placed.select(F.col("f1").alias("a"), "root", "small"), "a")
+
+    def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = {f: np.frombuffer(x, np.uint64) for f, x in zip(left["f1"], left["s"], strict=True)} if len(left) else {}
+        found = [(a, b) for a, b in zip(right["a"], right["b"], strict=True) if _links(held[a], held[b])] if len(right) else []
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(100 * both >= 80 * (len(s) + len(t) - both))
+            ok = [_links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
 
-    sides = pairs.join(sets.select(F.col("f1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("f1").alias("b"), F.col("s").alias("sb")), "b")
-    return stash(sides.select("a", "b", "sa", "sb").mapInArrow(decide, "u long, v long"))
+    few = sets.where("small").select("root", "f1", "s").groupBy("root").cogroup(
+        asked.where("small").select(F.col("root").alias("r"), "a", "b").groupBy("r")
+    ).applyInPandas(together, "u long, v long")
+    if sizes.where("NOT small").isEmpty():
+        return stash(few)
+    big = stash(sets.where("NOT small").select("f1", "s"))
+    sides = asked.where("NOT small").select("a", "b").join(big.select(F.col("f1").alias("a"), F.col("s").alias("sa")), "a").join(big.select(F.col("f1").alias("b"), F.col("s").alias("sb")), "b")
+    return stash(few.union(sides.select("a", "b", "sa", "sb").mapInArrow(apart, "u long, v long")))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -324,27 +344,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bound = FREQUENT
     while many.where(F.col("b") > bound).count() > MAX_FREQUENT:
         bound *= 2
+    free_shuffles(docs.sparkSession)
     top = many.where(F.col("b") > bound).select("a", "b").orderBy("a").toPandas()
     frequent = np.stack([top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64)]).tobytes()
 
     rows = stash(_entries(docs, groups, frequent, boundary))
-    marks = rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch")
+    marks = stash(rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch"))
+    lists = stash(_pairs(rows.where("kind = 1").select("g", "payload").groupBy("g").applyInPandas(_scan, "a long, b long")))
+    heavy = stash(rows.where("kind = 2").select("token", "f1", "n", "pos", "sketch").dropDuplicates(["token", "f1"]))
+    subsets = stash(rows.where("kind = 3").select("token", "pos", "n", "f1").distinct())
+    drop(rows)
+    drop(found)
+    free_shuffles(docs.sparkSession)
     linkable = marks.where("n > 0 AND doc_id IS NOT NULL")
     classes = stash(linkable.groupBy("f1", "f2", "n", "sketch").agg(F.min("doc_id").alias("doc_id")))
     info = classes.groupBy("f1").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("k"))
 
-    lists = _pairs(rows.where("kind = 1").select("g", "payload").groupBy("g").applyInPandas(_scan, "a long, b long"))
     about = lambda c: info.select(F.col("f1").alias(c), F.col("n").alias(f"n{c}"), F.col("k").alias(f"k{c}"))
     lists = lists.join(about("a"), "a").join(about("b"), "b").where(_fits(F.col("na"), F.col("nb")) & _near(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb")))
     links = _checked(stash(lists.select("a", "b")), classes, docs)
 
     # subsets of one size: the smallest set of each is within the overlap of all that link through it
-    subsets = stash(rows.where("kind = 3").select("token", "pos", "n", "f1").distinct())
     least = subsets.groupBy("token", "pos").agg(F.min(F.struct("n", "f1")).alias("m"))
     met = subsets.join(stash(least), ["token", "pos"]).where(F.ceil(4 * (F.col("n") + F.col("m")["n"]) / 9) <= F.col("pos"))
     links = links.union(stash(met.select(F.col("m")["f1"].alias("u"), F.col("f1").alias("v")).where("u != v").distinct()))
 
-    heavy = stash(rows.where("kind = 2").select("token", "f1", "n", "pos", "sketch").dropDuplicates(["token", "f1"]))
     if heavy.limit(1).count():
         links = _frequent_links(heavy, links, classes, docs)
     parts = stash(connected_components(links, stash))
