@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BROADCAST_CHARS = 8_000_000
 HELD_HOSTS = 5_000
 #: Pages that a host must have for text that they share to count as furniture.
 SHARED_PAGES = 3
+#: Rows of an output batch.
+BATCH_ROWS = 512
 #: Siblings of a repeated group, at most.
 GROUP = 4
 
@@ -334,12 +337,15 @@ def page_text(page: str, roles: dict[str, str]) -> str:
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON) and n (pages) from every page (host, html)."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
-        dump = lambda: pd.DataFrame({"host": list(held), "wrapper": [w.dump() for w in held.values()]})
+
+        def dump() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([w.dump() for w in held.values()], pa.string())], names=["host", "wrapper"])
+
         for batch in batches:
-            for host, page in zip(batch["host"], batch["html"], strict=True):
-                held.setdefault(host, Wrapper()).add_page(page or "")
+            for host, page in zip(batch.column(0), batch.column(1), strict=True):
+                held.setdefault(host.as_py(), Wrapper()).add_page(page.as_py() or "")
             if len(held) > HELD_HOSTS:
                 yield dump()
                 held.clear()
@@ -351,7 +357,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             whole.add(Wrapper.load(w))
         return pd.DataFrame({"host": [key[0]], "wrapper": [whole.dump()], "n": [whole.pages]})
 
-    partial = pages.select("host", "html").mapInPandas(fold, "host string, wrapper string")
+    partial = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string")
     return partial.groupBy("host").applyInPandas(merge, "host string, wrapper string, n long")
 
 
@@ -367,23 +373,28 @@ def extract_text(pages: DataFrame) -> DataFrame:
     wrappers = stash(infer_wrappers(rows))
     size = wrappers.agg(F.sum(F.length("wrapper")).alias("n")).first()["n"] or 0
     joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers, "host", "left").drop("n", "host")
-    names = [f for f in joined.schema.fields if f.name not in ("wrapper", "html")]
-    keep_html = [f for f in joined.schema.fields if f.name == "html"]
-    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (*names, *keep_html)), "text string", "n_chars long"])
+    rest = [f for f in joined.schema.fields if f.name != "wrapper"]
+    at, at_wrapper = joined.columns.index("html"), joined.columns.index("wrapper")
+    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string", "n_chars long"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[str, str]] = {}
-        for batch in batches:
-            texts = []
-            for page, w in zip(batch["html"], batch["wrapper"], strict=True):
-                if w not in known:
-                    if len(known) >= HELD_HOSTS:
-                        known.clear()
-                    known[w] = Wrapper.load(w).roles() if w else {}
-                texts.append(page_text(page or "", known[w]))
-            yield batch.drop(columns="wrapper").assign(text=texts, n_chars=[len(t) for t in texts])[[*(f.name for f in names), "html", "text", "n_chars"]]
-
-    return joined.mapInPandas(run, spec)
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                texts = []
+                for page, wrapper in zip(batch.column(at), batch.column(at_wrapper), strict=True):
+                    w = wrapper.as_py()
+                    if w not in known:
+                        if len(known) >= HELD_HOSTS:
+                            known.clear()
+                        known[w] = Wrapper.load(w).roles() if w else {}
+                    texts.append(page_text(page.as_py() or "", known[w]))
+                kept = [c for i, c in enumerate(batch.columns) if i != at_wrapper]
+                added = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*kept, *added], names=[*(f.name for f in rest), "text", "n_chars"])
+
+    return joined.mapInArrow(run, spec)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
