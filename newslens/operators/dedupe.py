@@ -50,6 +50,12 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["pos", "reason"])
 
 
+def store_hits(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """Adds ``reason``: the first of guid, address and key that a stored row has, else null."""
+    hit = F.when(F.col("s1"), schema.DUPLICATE_REASONS[0]).when(F.col("s2"), schema.DUPLICATE_REASONS[1]).when(F.col("s3"), schema.DUPLICATE_REASONS[2])
+    return _in_store(_with_keys(rows), store).withColumn("reason", hit).drop(*_KEYS, "s1", "s2", "s3")
+
+
 def dedupe(rows: DataFrame, store: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = stash) -> DataFrame:
     """Adds ``reason`` (null: kept) to rows (pos, publisher_id, rss_guid, normalized_url, dedupe_key, ...).
 

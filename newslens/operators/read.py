@@ -149,7 +149,7 @@ def distribution(detailed: DataFrame, column: str) -> DataFrame:
 
 def first_headlines(detailed: DataFrame) -> DataFrame:
     """topic_id, publisher_name and the headline of its first link (by link id)."""
-    return detailed.groupBy("topic_id", "publisher_name").agg(F.min_by("headline", "link_id").alias("headline"))
+    return detailed.groupBy("topic_id", "publisher_name").agg(F.min_by("headline", F.struct("link_id", "headline")).alias("headline"))
 
 
 def topics_with_links(page: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:

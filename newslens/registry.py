@@ -1,4 +1,9 @@
-"""Registered queries over the driver's tables, each with its SQL counterpart where SQL can express it."""
+"""Registered queries over the driver's tables, each with its SQL counterpart where SQL can express it.
+
+The news tables are stood in for: articles by documents (publisher = source, country = lang, headline =
+first line, dates from the id), topics by orders, links by lineitem, linked articles by part, runs and
+steps by events.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,408 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import text
+from .functions.url import normalize_url
+from .operators import cluster as C
+from .operators import dashboard, dedupe, ingest, lineage, read, summarize, vector
+from .operators.graph import connected_components
+from .sources.feeds import error_class
+from .sources.shared import stash
+
+DAY = "2024-01-15"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# SQL of the stand-ins
+_ARTICLES = """a AS (SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 60) AS headline, text AS description, source AS publisher_name, lang AS country,
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at FROM documents)"""
+_STATUS = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'RUNNING' WHEN 'purchase' THEN 'PARTIAL_FAILED' ELSE 'SUCCESS' END"
+_STEPS = f"s AS (SELECT event_id AS id, ts AS started_at, {_STATUS} AS status, CASE WHEN event_type = 'error' THEN NULL ELSE ts + INTERVAL 5 MINUTE END AS finished_at FROM events)"
+_TOPICS = "t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' WHEN 'F' THEN 'ARCHIVED' ELSE 'PENDING' END AS status, o_orderdate AS created_at, o_orderpriority AS title FROM orders)"
+_LINKED = """l AS (SELECT l_orderkey * 10 + l_linenumber AS link_id, l_orderkey AS topic_id, l_partkey AS article_id, l_shipdate AS linked_at FROM lineitem),
+p AS (SELECT p_partkey AS article_id, p_name AS headline, p_brand AS publisher_name, CASE WHEN p_size % 2 = 0 THEN 'CONSERVATIVE' ELSE 'PROGRESSIVE' END AS political_leaning,
+  ['KR','US','JP','CN','GB','DE','FR','AU'][CAST(p_size % 8 AS INTEGER) + 1] AS country FROM part)"""
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def articles(spark: SparkSession, d: str) -> DataFrame:
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.pmod("doc_id", F.lit(720)).cast("int"))
+    return _table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.left(F.split("text", "\n")[0], F.lit(60)).alias("headline"), F.col("text").alias("description"),
+        F.col("source").alias("publisher_name"), F.col("lang").alias("country"), at.alias("published_at"),
+    )
+
+
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "signup", "RUNNING").when(F.col("event_type") == "purchase", "PARTIAL_FAILED").otherwise("SUCCESS")
+    done = F.when(F.col("event_type") == "error", None).otherwise(F.col("ts") + F.expr("INTERVAL 5 MINUTES"))
+    return _table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), status.alias("status"), done.alias("finished_at"))
+
+
+def topics(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "F", "ARCHIVED").otherwise("PENDING")
+    return _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("title"))
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link_id"), F.col("l_orderkey").alias("topic_id"), F.col("l_partkey").alias("article_id"), F.col("l_shipdate").alias("linked_at"))
+
+
+def linked_articles(spark: SparkSession, d: str) -> DataFrame:
+    country = F.get(F.array(*[F.lit(c) for c in ("KR", "US", "JP", "CN", "GB", "DE", "FR", "AU")]), (F.col("p_size") % 8).cast("int"))
+    return _table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("headline"), F.col("p_brand").alias("publisher_name"),
+        F.when(F.col("p_size") % 2 == 0, "CONSERVATIVE").otherwise("PROGRESSIVE").alias("political_leaning"), country.alias("country"))
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@_query("articles_by_publisher", "SELECT source AS publisher_name, count(*) AS n FROM documents GROUP BY source")
+def _(spark, d):
+    return dashboard.articles_by_publisher(articles(spark, d))
+
+
+@_query("articles_search", f"WITH {_ARTICLES} SELECT id, headline, publisher_name FROM a WHERE contains(upper(headline), upper('The'))")
+def _(spark, d):
+    return read.list_articles(articles(spark, d), headline="The").select("id", "headline", "publisher_name")
+
+
+@_query("articles_day_closed", f"WITH {_ARTICLES} SELECT id, published_at FROM a WHERE published_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY")
+def _(spark, d):
+    return read.list_articles(articles(spark, d), day=DAY).select("id", "published_at")
+
+
+@_query("articles_page", f"WITH {_ARTICLES} SELECT id, headline, published_at FROM a ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 20 OFFSET 40")
+def _(spark, d):
+    return read.paged(read.list_articles(articles(spark, d)), 2, 20).items.select("id", "headline", "published_at")
+
+
+@_query("articles_keyset", f"WITH {_ARTICLES} SELECT id, published_at FROM a WHERE published_at < TIMESTAMP '{DAY}' OR (published_at = TIMESTAMP '{DAY}' AND id < 500) ORDER BY published_at DESC, id DESC LIMIT 20")
+def _(spark, d):
+    at = F.lit(DAY).cast("timestamp_ntz")
+    return read.after_key(articles(spark, d), F.col("published_at"), F.col("id"), at, 500).select("id", "published_at")
+
+
+@_query("articles_since", f"WITH {_ARTICLES} SELECT id FROM a WHERE published_at >= TIMESTAMP '{DAY}' - INTERVAL 48 HOUR")
+def _(spark, d):
+    return articles(spark, d).where(read.since(F.col("published_at"), DAY, 48)).select("id")
+
+
+@_query("topics_listing", f"WITH {_TOPICS} SELECT id, title, created_at FROM t WHERE status = 'ACTIVE' AND created_at BETWEEN TIMESTAMP '1996-01-02' AND TIMESTAMP '1996-01-03'")
+def _(spark, d):
+    return read.list_topics(topics(spark, d), "ACTIVE", "1996-01-02").select("id", "title", "created_at")
+
+
+@_query("histories_filtered", f"WITH {_STEPS} SELECT id, status, started_at FROM s WHERE status IN ('FAILED', 'PARTIAL_FAILED') AND started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY")
+def _(spark, d):
+    return read.list_histories(steps(spark, d), DAY, ("FAILED",), "PARTIAL_FAILED").select("id", "status", "started_at")
+
+
+@_query("recent_top10", f"WITH {_STEPS} SELECT id, status, started_at FROM s ORDER BY started_at DESC, id DESC LIMIT 10")
+def _(spark, d):
+    return dashboard.recent_steps(steps(spark, d)).select("id", "status", "started_at")
+
+
+@_query("last_non_null_topk", f"""WITH {_STEPS}, k AS (SELECT * FROM s ORDER BY started_at DESC, id DESC LIMIT 10)
+SELECT max(finished_at) AS last_collected_at FROM (SELECT finished_at FROM k WHERE finished_at IS NOT NULL ORDER BY started_at DESC, id DESC LIMIT 1)""")
+def _(spark, d):
+    return read.last_collected(steps(spark, d))
+
+
+@_query("latest_run", "SELECT strftime(max(ts), '%Y-%m-%d') AS run_date FROM events")
+def _(spark, d):
+    return read.latest_run_date(steps(spark, d))
+
+
+@_query("point_lookup", "SELECT o_orderkey AS id, o_orderpriority AS title FROM orders WHERE o_orderkey = 1")
+def _(spark, d):
+    return read.get(topics(spark, d), 1).select("id", "title")
+
+
+@_query("article_publisher_join", """SELECT doc_id AS id, source AS publisher_name, lang AS country, CAST(substr(source, 4) AS BIGINT) AS publisher_id FROM documents""")
+def _(spark, d):
+    docs = _table(spark, d, "documents")
+    number = F.substring("source", 4, 9).cast("long")
+    publishers = docs.select("source").distinct().select(number.alias("id"), F.col("source").alias("name"), F.lit("US").alias("country"), F.lit("PROGRESSIVE").alias("political_leaning"))
+    a = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("own_country"), number.alias("publisher_id"))
+    return read.with_publisher(a, publishers).select("id", "publisher_name", F.col("own_country").alias("country"), "publisher_id")
+
+
+@_query("candidates_anti", f"WITH {_TOPICS}, {_LINKED} SELECT article_id AS id FROM p WHERE NOT EXISTS (SELECT 1 FROM l JOIN t ON t.id = l.topic_id WHERE l.article_id = p.article_id AND t.status = 'ACTIVE' AND l.linked_at >= TIMESTAMP '2001-06-01')")
+def _(spark, d):
+    recent = links(spark, d).where(F.col("linked_at") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    return read.unlinked(linked_articles(spark, d), recent, topics(spark, d)).select("id")
+
+
+@_query("topic_links_detail", f"WITH {_LINKED} SELECT topic_id, article_id, headline, publisher_name, linked_at FROM l JOIN p USING (article_id)")
+def _(spark, d):
+    detail = read.topic_details(read.topic_articles(links(spark, d), linked_articles(spark, d)))
+    return detail.select("topic_id", F.explode("articles").alias("x")).select("topic_id", "x.article_id", "x.headline", "x.publisher_name", "x.linked_at")
+
+
+@_query("topic_list_left", f"""WITH {_TOPICS}, {_LINKED}, page AS (SELECT * FROM t WHERE status = 'ACTIVE' ORDER BY created_at DESC, id DESC LIMIT 20)
+SELECT page.id AS id, title, count(article_id) FILTER (political_leaning = 'CONSERVATIVE') AS conservative, count(article_id) FILTER (political_leaning = 'PROGRESSIVE') AS progressive
+FROM page LEFT JOIN (SELECT * FROM l JOIN p USING (article_id)) x ON x.topic_id = page.id GROUP BY page.id, title""")
+def _(spark, d):
+    page = read.paged(read.list_topics(topics(spark, d), "ACTIVE")).items
+    full = read.topics_with_links(page, links(spark, d), linked_articles(spark, d))
+    n = lambda k: F.coalesce(F.try_element_at("political_leaning_counts", F.lit(k)), F.lit(0)).cast("long")
+    return full.select("id", "title", n("CONSERVATIVE").alias("conservative"), n("PROGRESSIVE").alias("progressive"))
+
+
+@_query("topics_by_country", f"WITH {_LINKED} SELECT country, count(DISTINCT topic_id) AS n FROM l JOIN p USING (article_id) GROUP BY country")
+def _(spark, d):
+    return dashboard.topics_by_country(links(spark, d), topics(spark, d), linked_articles(spark, d))
+
+
+@_query("exists_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def _(spark, d):
+    seen = _table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, d, "customer").join(seen, "c_custkey", "left_semi").select("c_custkey")
+
+
+@_query("resolve_publisher", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'FAILED' ELSE 'FOUND' END AS outcome FROM documents")
+def _(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "source")
+    known = docs.where("source NOT IN ('src1', 'src2')").select("source").distinct().withColumn("id", F.lit(1))
+    return docs.join(known, "source", "left").select("doc_id", F.when(F.col("id").isNull(), "FAILED").otherwise("FOUND").alias("outcome"))
+
+
+@_query("dashboard_summary", f"""WITH {_ARTICLES}, {_TOPICS}, {_STEPS}, k AS (SELECT * FROM s ORDER BY started_at DESC, id DESC LIMIT 10)
+SELECT (SELECT count(*) FROM a WHERE published_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY) AS total_articles,
+ (SELECT count(*) FROM a WHERE published_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY) AS today_collected_articles,
+ (SELECT count(*) FROM t WHERE created_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY) AS total_topics,
+ (SELECT count(*) FILTER (status IN ('SUCCESS', 'PARTIAL_FAILED')) FROM s WHERE started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY) AS success_jobs,
+ (SELECT count(*) FILTER (status IN ('FAILED', 'PARTIAL_FAILED')) FROM s WHERE started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY) AS failed_jobs,
+ (SELECT max(finished_at) FROM (SELECT finished_at FROM k WHERE finished_at IS NOT NULL ORDER BY started_at DESC, id DESC LIMIT 1)) AS last_collected_at""")
+def _(spark, d):
+    a = articles(spark, d).withColumn("fetched_at", F.col("published_at"))
+    return dashboard.summary(a, topics(spark, d), steps(spark, d), steps(spark, d), DAY)
+
+
+@_query("status_histogram", f"""WITH {_STEPS}, k AS (SELECT unnest(['RUNNING', 'SUCCESS', 'PARTIAL_FAILED', 'FAILED']) AS status)
+SELECT k.status AS status, count(s.id) AS n FROM k LEFT JOIN s ON s.status = k.status AND s.started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY GROUP BY k.status""")
+def _(spark, d):
+    return dashboard.status_histogram(steps(spark, d), DAY)
+
+
+@_query("leaning_distribution", f"WITH {_LINKED} SELECT topic_id, political_leaning AS leaning, CAST(count(*) AS INTEGER) AS n FROM l JOIN p USING (article_id) GROUP BY ALL")
+def _(spark, d):
+    maps = read.distribution(read.topic_articles(links(spark, d), linked_articles(spark, d)), "political_leaning")
+    return maps.select("topic_id", F.explode("political_leaning_counts").alias("leaning", "n"))
+
+
+@_query("first_headline_per_publisher", f"WITH {_LINKED} SELECT topic_id, publisher_name, min_by(headline, struct_pack(a := link_id, b := headline)) AS headline FROM l JOIN p USING (article_id) GROUP BY ALL")
+def _(spark, d):
+    return read.first_headlines(read.topic_articles(links(spark, d), linked_articles(spark, d)))
+
+
+@_query("cluster_having", f"WITH {_LINKED} SELECT topic_id, count(*) AS article_count, count(DISTINCT publisher_name) AS publisher_count FROM l JOIN p USING (article_id) GROUP BY topic_id HAVING count(DISTINCT publisher_name) >= 2")
+def _(spark, d):
+    x = read.topic_articles(links(spark, d), linked_articles(spark, d))
+    return x.groupBy("topic_id").agg(F.count("*").alias("article_count"), F.countDistinct("publisher_name").alias("publisher_count")).where("publisher_count >= 2")
+
+
+@_query("topic_start_date", f"WITH {_LINKED} SELECT topic_id, strftime(min(linked_at), '%Y-%m-%d') AS start_date FROM l GROUP BY topic_id")
+def _(spark, d):
+    return links(spark, d).groupBy("topic_id").agg(F.date_format(F.min(F.to_date("linked_at")), "yyyy-MM-dd").alias("start_date"))
+
+
+_COUNTERS = """SELECT user_id % 7 AS feed, count(*) AS fetched, count(*) FILTER (event_type = 'purchase') AS saved, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY feed"""
+
+
+def _feed_counts(spark, d):
+    e = _table(spark, d, "events")
+    return e.groupBy((F.col("user_id") % 7).alias("feed")).agg(F.count("*").alias("fetched"), F.count_if(F.col("event_type") == "purchase").alias("saved"), F.count_if(F.col("event_type") == "error").alias("failed"))
+
+
+@_query("ingest_counters", f"WITH c AS ({_COUNTERS}) SELECT *, CASE WHEN failed > 0 AND saved > 0 THEN 'PARTIAL_FAILED' WHEN failed > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM c")
+def _(spark, d):
+    return _feed_counts(spark, d).withColumn("status", ingest.status_of(F.col("saved"), F.col("failed")))
+
+
+@_query("merge_batches", f"WITH c AS ({_COUNTERS}), u AS (SELECT * FROM c UNION ALL SELECT * FROM c) SELECT CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(saved) AS BIGINT) AS saved, CAST(0 AS BIGINT) AS duplicates, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(failed) AS BIGINT) AS save_failed FROM u")
+def _(spark, d):
+    c = _feed_counts(spark, d).withColumns({"duplicates": F.lit(0).cast("long"), "save_failed": F.col("failed")})
+    return ingest.merge_totals([c, c])
+
+
+@_query("validate_required", """SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'headline' WHEN trim(coalesce(url, '')) = '' THEN 'url' END AS missing,
+ coalesce(url, 'UNKNOWN') AS target FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN ' ' ELSE html END AS html, CASE WHEN page_id % 7 = 0 THEN NULL ELSE url END AS url FROM pages)""")
+def _(spark, d):
+    p = _table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, " ").otherwise(F.col("html")).alias("html"), F.when(F.col("page_id") % 7 == 0, None).otherwise(F.col("url")).alias("url"))
+    return p.select("page_id", ingest.validation_error(F.col("html"), F.col("url"), F.lit("x")).alias("missing"), ingest.target_name(F.col("url"), F.lit(None).cast("string")).alias("target"))
+
+
+_HEAD = "regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]{{2,}}', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+_DECODED = "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '[ \\t\\n\\x0B\\f\\r]{{2,}}', ' ', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
+@_query("normalize_headline", f"SELECT doc_id, sha256({_HEAD.format('text')}) AS digest FROM documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.sha2(text.normalize_headline(F.col("text")), 256).alias("digest"))
+
+
+@_query("sanitize_text", f"SELECT doc_id, sha256({_DECODED.format('text')}) AS digest FROM documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.sha2(text.sanitize_text(F.col("text")), 256).alias("digest"))
+
+
+@_query("sanitize_html", f"""SELECT page_id, sha256(nullif({_DECODED.format("replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&nbsp;', ' ')")}, '')) AS digest FROM pages""")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.sha2(text.sanitize_html(F.col("html")), 256).alias("digest"))
+
+
+@_query("normalize_url", """WITH x AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/$', '') AS path,
+  list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','msclkid','ref','source'], lower(string_split(p, '=')[1]))) AS q FROM pages)
+SELECT page_id, lower('https://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END) AS normalized_url FROM x""")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", normalize_url(F.col("url")).alias("normalized_url"))
+
+
+@_query("dedupe_key", f"WITH {_ARTICLES} SELECT id, sha256(lower(publisher_name) || '|' || {_HEAD.format('headline')} || '|' || strftime(published_at, '%Y-%m-%d')) AS dedupe_key FROM a")
+def _(spark, d):
+    return articles(spark, d).select("id", text.dedupe_key(F.col("publisher_name"), text.normalize_headline(F.col("headline")), F.col("published_at")).alias("dedupe_key"))
+
+
+def _dedupe_rows(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.select(
+        F.col("doc_id").alias("pos"), F.substring("source", 4, 9).cast("long").alias("publisher_id"), F.left("text", F.lit(12)).alias("rss_guid"),
+        F.concat(F.lit("https://x/"), F.md5("text")).alias("normalized_url"), F.sha2(F.concat("lang", F.left("text", F.lit(24))), 256).alias("dedupe_key"))
+
+
+_ROWS = "r AS (SELECT doc_id AS pos, source AS publisher_id, substr(text, 1, 12) AS rss_guid, md5(text) AS u, lang || substr(text, 1, 24) AS k FROM documents)"
+
+
+@_query("dedupe_priority_store", f"""WITH {_ROWS}, s AS (SELECT * FROM r WHERE pos % 2 = 0)
+SELECT pos, CASE WHEN trim(rss_guid) <> '' AND EXISTS (SELECT 1 FROM s WHERE s.publisher_id = r.publisher_id AND s.rss_guid = r.rss_guid) THEN 'RSS_GUID'
+ WHEN EXISTS (SELECT 1 FROM s WHERE s.u = r.u) THEN 'NORMALIZED_URL' WHEN EXISTS (SELECT 1 FROM s WHERE s.k = r.k) THEN 'DEDUPE_KEY' END AS reason FROM r WHERE pos % 2 = 1""")
+def _(spark, d):
+    rows = _dedupe_rows(spark, d)
+    return dedupe.store_hits(rows.where("pos % 2 = 1"), rows.where("pos % 2 = 0")).select("pos", "reason")
+
+
+@_query("dedupe_sequential")
+def _(spark, d):
+    return dedupe.dedupe(_dedupe_rows(spark, d)).select("pos", "reason")
+
+
+@_query("tokenize")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
+
+
+@_query("tokenize_ascii", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 2), ' ') AS tokens FROM documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.array_join(text.ascii_tokens(F.col("text")), " ").alias("tokens"))
+
+
+_TFIDF = """tok AS (SELECT {id} AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 2) AS ts FROM {table}),
+w0 AS (SELECT id, len(ts) AS n, unnest(ts) AS term FROM tok), tf AS (SELECT id, term, count(*) / max(n) AS tf FROM w0 GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT id, tf.term AS term, tf * (ln(((SELECT count(*) FROM {table}) + 1) / (df + 1)) + 1) AS w FROM tf JOIN df ON df.term = tf.term),
+nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), un AS (SELECT w.id AS id, term, w / norm AS u FROM w JOIN nrm ON nrm.id = w.id)"""
+
+
+def _tokens(spark, d, table, id_):
+    return _table(spark, d, table).select(F.col(id_).alias("id"), text.ascii_tokens(F.col("text")).alias("tokens"))
+
+
+@_query("tfidf", f"WITH {_TFIDF.format(id='doc_id', table='documents')} SELECT id, term, round(w, 6) AS w FROM w")
+def _(spark, d):
+    return vector.tfidf(_tokens(spark, d, "documents", "doc_id")).select("id", "term", F.round("w", 6).alias("w"))
+
+
+@_query("cosine_dense", """SELECT a.vec_id AS vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def _(spark, d):
+    e = _table(spark, d, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", F.round(vector.cosine_dense(F.col("embedding"), F.col("other")), 6).alias("sim"))
+
+
+_SIMS = f"WITH {_TFIDF.format(id='item_id', table='benchmark')}, sims AS (SELECT x.id AS a, y.id AS b, sum(x.u * y.u) AS sim FROM un x JOIN un y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id)"
+
+
+@_query("similarity_edges", _SIMS + " SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.3")
+def _(spark, d):
+    return C.similarity_edges(_tokens(spark, d, "benchmark", "item_id"), 0.3, 0).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@_query("anchor_tokens", "SELECT conv_id, turn, list_has_any(string_split(lower(text), ' '), ['iran', 'israel', 'oman']) AS anchored FROM conversations")
+def _(spark, d):
+    return _table(spark, d, "conversations").select("conv_id", "turn", (F.size(F.array_intersect(text.anchor_tokens(F.split(F.lower("text"), " ")), F.array(*map(F.lit, ("iran", "israel", "oman"))))) > 0).alias("anchored"))
+
+
+@_query("components", "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS root, count(*) AS n FROM documents GROUP BY h) SELECT doc_id AS node, root FROM documents JOIN g ON md5(text) = h WHERE n > 1")
+def _(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("v"))
+    return connected_components(docs.join(first, "h").select(F.col("doc_id").alias("u"), "v"), stash)
+
+
+@_query("representative_title", _SIMS + """, both_ways AS (SELECT a AS id, b AS other, sim FROM sims UNION ALL SELECT b, a, sim FROM sims),
+m AS (SELECT item_id AS id, item_id % 10 AS root FROM benchmark), s AS (SELECT m.root AS root, m.id AS id, round(coalesce(sum(sim), 0), 12) AS s FROM m LEFT JOIN
+  (SELECT both_ways.id AS id, sim FROM both_ways JOIN m x ON x.id = both_ways.id JOIN m y ON y.id = other AND y.root = x.root) b ON b.id = m.id GROUP BY ALL)
+SELECT root, min(id) FILTER (s = top) AS id FROM (SELECT *, max(s) OVER (PARTITION BY root) AS top FROM s) GROUP BY root""")
+def _(spark, d):
+    docs = _tokens(spark, d, "benchmark", "item_id")
+    members = docs.select((F.col("id") % 10).alias("root"), "id", F.col("id").alias("rank"))
+    return C.representatives(members, vector.unit(vector.tfidf(docs)))
+
+
+@_query("topic_links")
+def _(spark, d):
+    b = _table(spark, d, "benchmark")
+    at = F.lit(DAY).cast("timestamp_ntz")
+    a = b.select(F.col("item_id").alias("id"), F.col("text").alias("headline"), F.lit(None).cast("string").alias("description"), at.alias("published_at"), at.alias("fetched_at"),
+                 (F.col("item_id") % 4).alias("publisher_id"), F.concat(F.lit("p"), F.col("item_id") % 4).alias("publisher_name"), F.lit("WORLD").alias("category"))
+    none = spark.createDataFrame([], "id long, topic_id long, article_id long, status string")
+    made = C.cluster(a, none.select("topic_id", "article_id"), none.select("id", "status"), DAY, threshold=0.3, min_shared=0)
+    return made.links.join(made.topics.select(F.col("id").alias("topic_id"), "title"), "topic_id") if made.links is not None else none
+
+
+@_query("pending_summaries", f"WITH {_TOPICS} SELECT id AS topic_id FROM t WHERE status = 'ACTIVE' AND id IN (SELECT l_orderkey FROM lineitem)")
+def _(spark, d):
+    t = topics(spark, d).withColumn("ai_summary", F.lit(None).cast("string"))
+    a = linked_articles(spark, d).withColumn("description", F.lit(None).cast("string"))
+    made = summarize.summarize(summarize.prompts(t, links(spark, d), a))
+    return made.where("error IS NULL").select("topic_id")
+
+
+@_query("summary_prompt", f"""SELECT conv_id, sha256('{summarize.HEADER}' || string_agg('- [' || role || '] ' || text || CASE WHEN length(text) > 120 THEN ' / ' || substr(text, 1, 120) || '…' ELSE ' / ' || text END || chr(10), '' ORDER BY turn DESC, text DESC, role DESC) || '{summarize.FOOTER}') AS digest
+FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def _(spark, d):
+    c = _table(spark, d, "conversations").where("trim(text) <> ''")
+    line = summarize.prompt_line(F.col("role"), F.col("text"), F.col("text"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text", "role", line.alias("line"))), asc=False), lambda x: x["line"]), "")
+    return c.groupBy("conv_id").agg(F.sha2(F.concat(F.lit(summarize.HEADER), body, F.lit(summarize.FOOTER)), 256).alias("digest"))
+
+
+@_query("classify_feed_error", """SELECT event_id, CASE WHEN contains(lower(props), '403') OR contains(lower(props), 'forbidden') THEN 'RSS_FORBIDDEN' WHEN contains(lower(props), 'parse') OR contains(lower(props), 'xml') THEN 'RSS_PARSE_ERROR'
+ WHEN event_type = 'error' THEN 'RSS_TIMEOUT' ELSE 'RSS_FEED_ERROR' END AS error_type FROM events""")
+def _(spark, d):
+    message = F.when(F.col("event_type") == "error", "read timed out").otherwise(F.lit(""))
+    return _table(spark, d, "events").select("event_id", error_class(F.col("props"), message).alias("error_type"))
 
-def _articles_by_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.col("source").alias("publisher")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "publisher")
 
+@_query("step_lineage")
+def _(spark, d):
+    from datetime import datetime
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"articles_by_publisher": _articles_by_publisher}
-ORACLE_SQL: dict[str, str] = {
-    "articles_by_publisher": "SELECT source AS publisher, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, publisher"
-}
+    feeds = _feed_counts(spark, d).select(F.col("feed").cast("string").alias("publisherName"), "fetched", (F.col("failed") == 0).alias("success"), F.lit("RSS_FEED_ERROR").alias("errorType"), F.lit("x").alias("errorMessage"))
+    at = datetime(2024, 1, 15)
+    return lineage.step_rows(spark, 1, feeds, {"fetched": 10, "saved": 9, "failed": 1, "save_failed": 1}, None, [("WORLD", 2)], 2, at, at)
