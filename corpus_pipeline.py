@@ -13,7 +13,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    judged = quality.quality_rules(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS, "kept")
+    # written first: a filter pushed below would repeat the verdict's whole expression for each of its parts
+    return stash(judged).where("kept").drop("kept")
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
