@@ -20,7 +20,7 @@ _ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "descr
     T.StructField("encoded", T.StringType()),
 ])
 _CHANNEL = T.StructType([T.StructField("title", T.StringType()), T.StructField("lastBuildDate", T.StringType()), T.StructField("pubDate", T.StringType()), T.StructField("item", T.ArrayType(_ITEM))])
-RFC822 = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z")
+RFC822 = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")
 
 
 def feed_dimension(spark: SparkSession) -> DataFrame:
@@ -40,7 +40,8 @@ def select_feeds(spark: SparkSession, codes: list[str] | None = None) -> DataFra
 
 def parse_date(x: Column, zone: str) -> Column:
     """RFC 822 or ISO date as local time of the zone."""
-    at = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in RFC822], F.try_to_timestamp(x))
+    bare = F.regexp_replace(F.regexp_replace(F.trim(x), r"^[A-Za-z]+,\s*", ""), r"\s(?:GMT|UTC?|Z)$", " +0000")
+    at = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in RFC822], F.try_to_timestamp(x))
     return F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp_ntz"))
 
 
