@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Edges of one part of a round's tables, and the least number of parts.
+EDGES_OF_PART, LEAST_PARTS = 50_000, 6
+
 
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
@@ -31,12 +34,18 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
 
     Every node that has an edge to another node gets a row; loops and null ends are ignored. ``keep``
     writes a table to storage that all executors share and reads it back, which cuts the lineage of each
-    round. Rounds stop when the edges no longer change; then they are stars around the roots.
+    round. A round's tables have as many parts as the number of edges asks for. Rounds stop when the edges no
+    longer change; then they are stars around the roots.
     """
     e = keep(edges.select("u", "v").where("u != v").distinct())
     before = _state(e)
+    parts = max(LEAST_PARTS, before[0] // EDGES_OF_PART)
+
+    def sized(df: DataFrame) -> DataFrame:
+        return keep(df.coalesce(parts))
+
     while before[0]:
-        e = keep(_small_star(keep(_large_star(e, keep)), keep))
+        e = sized(_small_star(sized(_large_star(e, sized)), sized))
         after = _state(e)
         if after == before:
             break
