@@ -381,11 +381,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _frequent_links(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links found through frequent shingles: in each round a list's members meet one leader of another
-    component than theirs; then all members that are still apart meet, past the filters."""
-    for r in range(ROUNDS + 1):
-        parts = stash(connected_components(links, stash))
-        h = stash(heavy.join(parts.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1")))
-        side = lambda x, p: x.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("f1", "n", "pos", "sketch", "root")])
+    component than theirs, as long as that links any; then all members that are still apart meet, past the
+    filters."""
+    side = lambda x, p: x.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("f1", "n", "pos", "sketch", "root")])
+    h, r = None, 0
+    while r <= ROUNDS:
+        if h is None:
+            parts = stash(connected_components(links, stash))
+            h = stash(heavy.join(parts.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1")))
         other = h
         if r < ROUNDS:
             order = F.struct("n", "f1") if r == 0 else F.struct(F.xxhash64("f1", F.lit(r)), F.col("f1"))
@@ -398,8 +401,11 @@ def _frequent_links(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs
         if r == ROUNDS:
             met = met.where("x_f1 < y_f1")
         pairs = stash(_pairs(met.select(F.col("x_f1").alias("a"), F.col("y_f1").alias("b"))))
-        if pairs.limit(1).count():
-            links = links.union(_checked(pairs, classes, docs))
+        new = None if pairs.isEmpty() else _checked(pairs, classes, docs)
+        if new is None or new.isEmpty():
+            r = max(r + 1, ROUNDS)
+        else:
+            links, h, r = links.union(new), None, r + 1
     return links
 
 
