@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -29,8 +30,10 @@ from .url_filters import with_host_path
 BROADCAST_CHARS = 8_000_000
 #: Hosts that a task holds before it hands on their wrappers.
 HELD_HOSTS = 5_000
-#: Pages that a host must have for text that they share to count as furniture.
-SHARED_PAGES = 3
+#: Pages of unlike content that must hold a text for it to count as furniture, and the share of the host's pages.
+SHARED_PAGES, SHARED_PERCENT = 3, 90
+#: A page that keeps less than one in so many characters beside its constants is a near copy of the host's others.
+NEAR_COPY = 10
 #: Rows of an output batch.
 BATCH_ROWS = 512
 #: Siblings of a repeated group, at most.
@@ -219,10 +222,21 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     return folded(out)
 
 
+@lru_cache(maxsize=100_000)
+def _fixed(path: str) -> bool:
+    """Whether an element on the path is furniture by its name or words."""
+    return any("." in key or key in FURNITURE for key in path.split("/"))
+
+
+#: What a slot holds: the pages that have it, the checksum that they share or None, and SHARED_PAGES of the
+#: checksums of their whole content, or all if they are fewer.
+Slot = tuple[int, int | None, list[int]]
+
+
 class Wrapper:
-    """A host's expression and its slots: path → checksum of what every page holds there, or None."""
+    """A host's expression and its slots by path."""
 
-    def __init__(self, root: Node | None = None, slots: dict[str, int | None] | None = None, pages: int = 0):
+    def __init__(self, root: Node | None = None, slots: dict[str, Slot] | None = None, pages: int = 0):
         self.root = root or Node("")
         self.slots = slots or {}
         self.pages = pages
@@ -252,13 +266,25 @@ class Wrapper:
             self._seen.add(shape)
             stack[0].parts = folded(stack[0].parts)
             self.root = merged(self.root, stack[0]) if self.pages else stack[0]
-        self._join(slots, 1)
-
-    def _join(self, slots: dict[str, int | None], pages: int) -> None:
-        for p, mark in slots.items():
-            self.slots[p] = mark if self.slots.get(p, mark) == mark else None
+        whole = [sum(mark for p, mark in slots.items() if not _fixed(p))]
+        self._join({p: (1, mark, whole) for p, mark in slots.items()}, 1)
+
+    def _join(self, slots: dict[str, Slot], pages: int) -> None:
+        for p, (n, mark, wholes) in slots.items():
+            if p in self.slots:
+                m, old, known = self.slots[p]
+                if len(known) < SHARED_PAGES:
+                    known = sorted({*known, *wholes})[:SHARED_PAGES]
+                self.slots[p] = (m + n, mark if old == mark else None, known)
+            else:
+                self.slots[p] = (n, mark, list(wholes))
         self.pages += pages
 
+    def constant(self, path: str) -> bool:
+        """Whether nearly all pages hold one text there and differ elsewhere."""
+        n, mark, wholes = self.slots.get(path, (0, None, []))
+        return mark is not None and 100 * n >= SHARED_PERCENT * self.pages and len(wholes) >= SHARED_PAGES
+
     def add(self, other: Wrapper) -> None:
         self.root = merged(self.root, other.root) if self.pages else other.root
         self._join(other.slots, other.pages)
@@ -272,7 +298,7 @@ class Wrapper:
         return Wrapper(Node.of_list(root), slots, pages)
 
     def roles(self) -> dict[str, str]:
-        """path → article, other or furniture, for every text slot that the expression has."""
+        """path → article, other, constant or furniture, for every text slot that the expression has."""
         out: dict[str, str] = {}
 
         def own(node: Node, path: str) -> list[str]:
@@ -299,21 +325,27 @@ class Wrapper:
                     inner = "furniture" if role == "furniture" or word or tag in FURNITURE else "article" if tag in ARTICLE else role
                     text = block if inner == role else inner
                     if tag in BLOCKS:
-                        shared = self.pages >= SHARED_PAGES and all(self.slots.get(x) is not None for x in own(p, below))
-                        text = "furniture" if inner == "other" and shared else inner
+                        text = "constant" if inner == "other" and all(map(self.constant, own(p, below))) else inner
                     walk(p, below, inner, text)
 
         walk(self.root, "", "other", "other")
         return out
 
 
-def page_text(page: str, roles: dict[str, str]) -> str:
-    """The page's text in content slots: the article's where the page has one, else all but furniture."""
+def page_text(page: str, roles: dict[str, str], constants: bool = False) -> str:
+    """The page's text in content slots: the article's where the page has one, else all but furniture.
+
+    Constants are left out unless hardly anything else is left, as on near copies, or they are asked for.
+    """
     found: dict[str, list[list[str]]] = {"article": [[]], "other": [[]]}
     path = [""]
+    left_out = 0
     for kind, what in events(page):
         if kind == "text":
             role = roles.get(path[-1], "furniture")
+            if role == "constant":
+                left_out += 0 if constants else len(what)
+                role = "other" if constants else "furniture"
             if role != "furniture":
                 found[role][-1].append(what)
             continue
@@ -331,7 +363,8 @@ def page_text(page: str, roles: dict[str, str]) -> str:
         else:
             path.pop()
     lines = {r: [t for t in (" ".join(entities.unescape("".join(b)).split()) for b in blocks) if t] for r, blocks in found.items()}
-    return "\n".join(lines["article"] or lines["other"])
+    out = "\n".join(lines["article"] or lines["other"])
+    return page_text(page, roles, True) if NEAR_COPY * len(out) < left_out else out
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

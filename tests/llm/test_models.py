@@ -117,6 +117,16 @@ def test_wrappers():
     assert str(a.root) == "<><ul>(<li>#)+ (<p>#)?"
 
 
+def test_text_of_one_page_or_of_copies_is_no_furniture():
+    pages = [f"<div>Site</div><p>Story {i}</p><div>End</div>" for i in range(4)]
+    quoted = "<div>Site</div><p>Story 9</p><blockquote>Only here</blockquote><div>End</div>"
+    assert _text([*pages, quoted], 4) == "Story 9\nOnly here"
+    assert _text([pages[0]] * 5, 0) == "Site\nStory 0\nEnd"  # nothing tells the story from the frame
+    assert _text([pages[0]] * 3 + [pages[1]] * 3, 0) == "Site\nStory 0\nEnd"
+    long = "<p>" + "A long story. " * 30 + "</p>"
+    assert "long story" in _text([f"{long}<div>{i} views</div>" for i in range(4)], 0)
+
+
 def test_trees_and_calibration():
     trees, threshold = pii.model()
     r = random.Random(99)
