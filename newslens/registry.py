@@ -386,6 +386,36 @@ def _(spark, d):
     return made.links.join(made.topics.select(F.col("id").alias("topic_id"), "title"), "topic_id") if made.links is not None else none
 
 
+# clustering over all documents; their SQL meets all pairs of frequent terms and is too slow, tests compare with brute force
+@_query("similarity_edges_documents")
+def _(spark, d):
+    docs = stash(_tokens(spark, d, "documents", "doc_id"))
+    return C.similarity_edges(docs, 0.3, 0, stash(vector.unit(vector.tfidf(docs)))).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@_query("representative_title_documents")
+def _(spark, d):
+    docs = stash(_tokens(spark, d, "documents", "doc_id"))
+    units = stash(vector.unit(vector.tfidf(docs)))
+    parts = connected_components(C.similarity_edges(docs, 0.3, 0, units).select(F.col("a").alias("u"), F.col("b").alias("v")), stash)
+    members = docs.select("id", F.col("id").alias("rank")).join(parts.withColumnRenamed("node", "id"), "id", "left")
+    return C.representatives(members.withColumn("root", F.coalesce("root", "id")), units)
+
+
+@_query("topic_links_documents")
+def _(spark, d):
+    at = F.lit(DAY).cast("timestamp_ntz")
+    a = _table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("headline"), F.lit(None).cast("string").alias("description"), at.alias("published_at"), at.alias("fetched_at"),
+        F.xxhash64("source").alias("publisher_id"), F.col("source").alias("publisher_name"), F.lit("WORLD").alias("category"))
+    none = spark.createDataFrame([], "id long, topic_id long, article_id long, status string")
+    made = C.cluster(a, none.select("topic_id", "article_id"), none.select("id", "status"), DAY, threshold=0.3, min_shared=0)
+    if made.links is None:
+        return spark.createDataFrame([], "topic_id long, id long, article_id long, linked_at timestamp_ntz, title_sha256 string")
+    # a headline is a whole document here
+    return made.links.join(made.topics.select(F.col("id").alias("topic_id"), F.sha2("title", 256).alias("title_sha256")), "topic_id")
+
+
 @_query("pending_summaries", f"WITH {_TOPICS} SELECT id AS topic_id FROM t WHERE status = 'ACTIVE' AND id IN (SELECT l_orderkey FROM lineitem)")
 def _(spark, d):
     t = topics(spark, d).withColumn("ai_summary", F.lit(None).cast("string"))
