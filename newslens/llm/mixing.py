@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table, words
+from .common import let, stash, table, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -112,6 +112,18 @@ def placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return inside.join(before, ["src", "run"]).withColumn("start", F.col("before") + F.col("inside"))
 
 
+def _pieces(at: DataFrame) -> DataFrame:
+    """The stretches ``from`` to ``to`` (words of the source's stream) of each document of ``at`` in each block."""
+    block_of = lambda p: ((p + 1) * F.col("blocks") - 1)
+    return (
+        at.where("size > 0")
+        .withColumn("b0", block_of(F.col("start"))).withColumn("b1", block_of(F.col("start") + F.col("size") - 1))
+        .withColumn("block", F.explode(F.expr("sequence(b0 div source_size, b1 div source_size)")))
+        .withColumn("from", F.greatest("start", F.expr("block * source_size div blocks")))
+        .withColumn("to", F.least(F.col("start") + F.col("size"), F.expr("(block + 1) * source_size div blocks")))
+    )
+
+
 def mix(docs: DataFrame, key: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document.
 
@@ -127,17 +139,9 @@ def mix(docs: DataFrame, key: bool = False) -> DataFrame:
     plan = plan_sources(rows)
     sources = _sources(spark, plan)
     at = stash(placed(rows, sources).select("_h", "doc_id", "source", "size", "source_size", "target", "src", "start", "blocks"))
-    block_of = lambda p: ((p + 1) * F.col("blocks") - 1)
-    pieces = (
-        at.where("size > 0")
-        .withColumn("b0", block_of(F.col("start"))).withColumn("b1", block_of(F.col("start") + F.col("size") - 1))
-        .withColumn("block", F.explode(F.expr("sequence(b0 div source_size, b1 div source_size)")))
-        .withColumn("from", F.greatest("start", F.expr("block * source_size div blocks")))
-        .withColumn("to", F.least(F.col("start") + F.col("size"), F.expr("(block + 1) * source_size div blocks")))
-    )
     times = schedule(spark, plan).groupBy("src", "block").agg(F.count("*").alias("times"))
     taken = (
-        pieces.join(times, ["src", "block"], "left")
+        _pieces(at).join(times, ["src", "block"], "left")
         .groupBy("_h", "doc_id", "source", "size", "source_size", "target", "src", "start")
         .agg(F.sum((F.col("to") - F.col("from")) * F.coalesce("times", F.lit(0))).alias("taken"))
     )
@@ -146,10 +150,47 @@ def mix(docs: DataFrame, key: bool = False) -> DataFrame:
     return taken.select(cols).unionByName(none.select(cols))
 
 
+def mixed_pieces(docs: DataFrame) -> DataFrame:
+    """The mix itself: for every used slot the pieces of documents that make up its block, in slot order.
+
+    Adds slot, start (of the piece in its source's stream) and n_words, and cuts ``text`` to the piece: its words with
+    the white space after each, before the first word too where the piece begins its document. A slot's pieces in
+    the order of start are its block, and each source has as many words as :func:`mix` takes of it. Further columns
+    pass through (those named slot, start or n_words are replaced); documents without words have no piece.
+    """
+    spark = docs.sparkSession
+    rows = stash(sized(docs))
+    plan = plan_sources(rows)
+    at = stash(placed(rows, _sources(spark, plan)).select("_h", "source", "size", "source_size", "src", "start", "blocks"))
+    taken = _pieces(at).join(schedule(spark, plan).select("slot", "src", "block"), ["src", "block"])
+    # of each document at once, so that a text is split once however many pieces it has
+    part = F.struct("slot", F.col("from").alias("start"), (F.col("from") - F.col("start")).cast("int").alias("first"), (F.col("to") - F.col("from")).alias("n_words"))
+    parts = taken.groupBy("_h", "source").agg(F.collect_list(part).alias("_parts"))
+    keyed = docs.drop("slot", "start", "n_words").withColumn("_h", F.xxhash64("doc_id", "text"))
+    if not at.groupBy("_h", "source").count().where("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["_h", "source"])  # equal rows' pieces are together in parts
+    on = (keyed["_h"] == parts["_h"]) & keyed["source"].eqNullSafe(parts["source"])
+    joined = keyed.join(parts, on).drop(parts["_h"]).drop(parts["source"])
+    blank = r"[\x20\x09-\x0D]"
+
+    def cut(chunks):
+        return F.transform("_parts", lambda x: F.struct(
+            x["slot"].alias("slot"), x["start"].alias("start"), x["n_words"].alias("n_words"),
+            F.concat(F.when(x["first"] == 0, F.regexp_extract("text", rf"^{blank}*", 0)).otherwise(""), F.array_join(F.slice(chunks, x["first"] + 1, x["n_words"].cast("int")), "")).alias("text"),
+        ))
+
+    chunks = F.regexp_extract_all("text", F.lit(rf"[^\x20\x09-\x0D]+{blank}*"), F.lit(0))
+    out = joined.withColumn("_piece", F.explode(let(chunks, cut)))
+    for c in ("slot", "start", "n_words", "text"):
+        out = out.withColumn(c, F.col("_piece")[c])
+    return out.drop("_h", "_parts", "_piece").orderBy("slot", "start")
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as many times as the mix takes its words, to the nearest whole number.
 
-    Columns stay as they are. Documents without words are taken no time. Equal rows are taken alike.
+    Columns stay as they are. Documents without words are taken no time. Equal rows are taken alike. For later
+    stages that need whole documents; sources are off target by what the rounding moves, :func:`mixed_pieces` is exact.
     """
     keyed = docs.withColumn("_h", F.xxhash64("doc_id", "text"))
     times = stash(
@@ -162,3 +203,8 @@ def mixture(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: one row per document."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9, the mix: one row per piece of a document in a slot."""
+    return mixed_pieces(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))

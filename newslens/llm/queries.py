@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": bpe.query,
     "op8_url_filters": url_filters.query,
     "op9_mixing": mixing.query,
+    "op9_mixing_pieces": mixing.pieces_query,
     "op10_chat": chat.query,
 }
 
