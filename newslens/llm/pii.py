@@ -34,13 +34,16 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+",
+    "value": r"(?<==)[A-Za-z0-9_/+-]{20,}+={0,2}+",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}+(?:[\x20]?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
     "national": r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9.-])",
     "localphone": r"(?<![A-Za-z0-9+.(-])(?:\([0-9]{2,4}\)[\x20]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![A-Za-z0-9.-])",
     "spelled": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}[\x20]?[\[(]at[\])][\x20]?[a-z0-9-]{1,63}(?:[\x20]?[\[(]dot[\])][\x20]?[a-z0-9-]{1,63}){1,5}+",
 }
 #: A text without this can't match; a cheap test before the pattern.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "phone": r"\+[0-9]", "spelled": r"(?i)[\[(]at[\])]"}
+NEEDS = {"value": "=[A-Za-z0-9_/+-]{20}", "email": "@", "ip": r"[0-9]\.[0-9]", "phone": r"\+[0-9]", "spelled": r"(?i)[\[(]at[\])]"}
+#: Patterns that propose candidates of a kind, where there are more than its own: NAME=VALUE as a whole and its value.
+ALSO = {"secret": ("value",)}
 #: Characters before and after a candidate that give its context.
 CONTEXT = 32
 CONTEXT_WORDS = {
@@ -74,7 +77,22 @@ def _feature_columns(kind: str, span: Column, before: Column, after: Column) ->
 
 
 def _example(r: random.Random) -> tuple[str, str, str, str, int]:
-    """A generated candidate (kind, span, before, after) and whether it is personal data or a secret."""
+    """A candidate (kind, span, before, after) that the patterns propose in a generated text, and whether it is
+    personal data or a secret. What overlaps a planted span without being it is not."""
+    while True:
+        kind, span, before, after, good = _planted(r)
+        whole, at = before + span + after, (len(before), len(before) + len(span))
+        found = {m.span() for k in (kind, *ALSO.get(kind, ())) for m in re.finditer(PATTERNS[k], whole)}
+        if at not in found:
+            continue
+        others = sorted(x for x in found if x != at and x[0] < at[1] and at[0] < x[1])
+        if good and others and r.random() < 0.3:
+            at, good = others[0], 0
+        return kind, whole[at[0] : at[1]], whole[max(0, at[0] - CONTEXT) : at[0]], whole[at[1] : at[1] + 2], good
+
+
+def _planted(r: random.Random) -> tuple[str, str, str, str, int]:
+    """A span of a kind with the text around it, and whether it is personal data or a secret."""
     pick = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
     hexes, mixed, lows = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
     word = lambda: pick(r.randint(2, 9), lows)
@@ -83,8 +101,9 @@ def _example(r: random.Random) -> tuple[str, str, str, str, int]:
     kind, good = r.choice(EXTRA), r.random() < 0.5
     if kind == "secret":
         if good:
-            before = cue(["token", "api_key", "secret", "password", "Authorization: Bearer", "key"])
-            return kind, r.choice([pick(40, hexes), pick(32, hexes), pick(r.randint(20, 64), mixed)]), before, '"' if before.endswith('"') else " ", 1
+            before = cue(["token", "api_key", "secret", "password", "Authorization: Bearer", "key", "?token", "access_token"])
+            return kind, r.choice([pick(40, hexes), pick(32, hexes), pick(r.randint(20, 64), mixed)]), before, '"' if before.endswith('"') else r.choice([" ", "&", "\n", ""]), 1
+        plain += r.choice(["", f"{word()}=", r.choice(["sha=", "id=", "commit=", "?page="])])
         return kind, r.choice([pick(r.randint(20, 40), lows), "-" * r.randint(20, 60), "=" * r.randint(20, 60), "/".join(word() for _ in range(6)), pick(20, lows) + pick(3, "0123456789"), pick(40, hexes)]), plain, r.choice([" ", ".", ","]), 0
     if kind == "account":
         span = pick(2, "DEFRGBES") + pick(2, "0123456789") + "".join(" " + pick(4, "0123456789") for _ in range(r.randint(3, 5)))
@@ -171,8 +190,8 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
-def _selected(text: Column, kind: str) -> Column:
-    """The kind's candidates that the trees select."""
+def _selected(text: Column, kind: str, pattern: str | None = None) -> Column:
+    """The kind's candidates by its own or another pattern that the trees select."""
     trees, threshold = model()
 
     def keep(x: Column) -> Column:
@@ -180,7 +199,7 @@ def _selected(text: Column, kind: str) -> Column:
         after = F.substring(text, x["e"] + 1, F.lit(2))
         return boosting.expression(trees, _feature_columns(kind, x["t"], before, after)) >= F.lit(threshold)
 
-    return F.filter(_spans(text, kind), keep)
+    return F.filter(_spans(text, pattern or kind), keep)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -197,6 +216,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"_{k}", F.filter(_spans(text, k), _checks(k)))
     for k in EXTRA:
         out = out.withColumn(f"_{k}", _selected(text, k))
+        for p in ALSO.get(k, ()):
+            # the value without its name, where both are selected
+            out = out.withColumn("_also", _selected(text, k, p))
+            apart = lambda x: ~F.exists("_also", lambda v: (v["s"] < x["e"]) & (x["s"] < v["e"]))
+            out = out.withColumn(f"_{k}", F.array_sort(F.concat(F.filter(f"_{k}", apart), "_also"))).drop("_also")
     named = lambda k: F.transform(F.col(f"_{k}"), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     return out.withColumn("spans_found", F.concat(*[named(k) for k in (*BASE, *EXTRA)])).drop(*[f"_{k}" for k in (*BASE, *EXTRA)])
 
