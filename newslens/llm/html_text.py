@@ -14,6 +14,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -39,7 +40,8 @@ BATCH_ROWS = 512
 #: Siblings of a repeated group, at most.
 GROUP = 4
 
-#: Open elements, at most; deeper ones are read as if they ended at once.
+#: Elements of an expression within each other, at most. What is deeper belongs to the deepest, but for furniture and
+#: articles there, which are told apart.
 MAX_DEPTH = 120
 #: Cells of an alignment, at most; longer sequences become one repeated group of optional parts.
 MAX_CELLS = 250_000
@@ -80,9 +82,34 @@ def _key(tag: str, rest: str) -> str:
     return tag
 
 
+@lru_cache(maxsize=100_000)
+def _fixed(path: str) -> bool:
+    """Whether an element on the path is furniture by its name or words."""
+    return any("." in key or key in FURNITURE for key in path.split("/"))
+
+
 def events(page: str) -> Iterator[tuple[str, str]]:
-    """("open", key), ("close", key) and ("text", raw text) with implied ends."""
-    open_: list[str] = []
+    """("open", key), ("close", key) and ("text", raw text) with implied ends.
+
+    Elements below MAX_DEPTH open and close at once where they begin and, blocks, where they end, so that text around
+    them is parted; their ends are matched as those of all others.
+    """
+    open_: list[tuple[str, str, bool]] = []  # name, key, whether it holds what follows
+    opened: Counter[str] = Counter()
+    held, deep = 0, []
+
+    def ended() -> Iterator[tuple[str, str]]:
+        nonlocal held
+        name, key, holds = open_.pop()
+        opened[name] -= 1
+        if holds:
+            held -= 1
+            if deep and held < deep[-1]:
+                deep.pop()
+            yield "close", key
+        elif name in BLOCKS:
+            yield from (("open", key), ("close", key))
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -95,39 +122,46 @@ def events(page: str) -> Iterator[tuple[str, str]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            names = [k.partition(".")[0] for k in open_]
-            if tag in names:
+            if opened[tag]:
                 while True:
-                    k = open_.pop()
-                    yield "close", k
-                    if k.partition(".")[0] == tag:
+                    last = open_[-1][0]
+                    yield from ended()
+                    if last == tag:
                         break
             continue
         ends = ENDS.get(tag) or ({"p"} if tag in BLOCKS else None)
-        if ends:
+        if ends and any(opened[e] for e in ends):
             # up to the nearest block: what it holds may have such an element open
             for i in range(len(open_) - 1, -1, -1):
-                name = open_[i].partition(".")[0]
+                name = open_[i][0]
                 if name in ends:
                     while len(open_) > i:
-                        yield "close", open_.pop()
+                        yield from ended()
                     break
                 if name in BLOCKS and not (name in ("td", "th") and tag == "tr"):
                     break
         key = _key(tag, m.group(3))
-        yield "open", key
         if tag in VOID or m.group(3).rstrip().endswith("/") and tag in RAW:
-            yield "close", key
+            yield from (("open", key), ("close", key))
         elif tag in RAW:
             stop = RAW_END[tag].search(page, at)
             at = stop.end() if stop else end
-            yield "close", key
-        elif len(open_) < MAX_DEPTH:
-            open_.append(key)
+            yield from (("open", key), ("close", key))
         else:
-            yield "close", key
+            # below the depth an article and furniture, one of it in another, still hold their text
+            marks = "furniture" if _fixed(key) else "article" if tag in ARTICLE else ""
+            holds = held < MAX_DEPTH or bool(marks) and len(deep) < (2 if marks == "furniture" else 1)
+            open_.append((tag, key, holds))
+            opened[tag] += 1
+            yield "open", key
+            if holds:
+                held += 1
+                if held > MAX_DEPTH:
+                    deep.append(held)
+            else:
+                yield "close", key
     while open_:
-        yield "close", open_.pop()
+        yield from ended()
 
 
 @dataclass
@@ -222,12 +256,6 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     return folded(out)
 
 
-@lru_cache(maxsize=100_000)
-def _fixed(path: str) -> bool:
-    """Whether an element on the path is furniture by its name or words."""
-    return any("." in key or key in FURNITURE for key in path.split("/"))
-
-
 #: What a slot holds: the pages that have it, the checksum that they share or None, and SHARED_PAGES of the
 #: checksums of their whole content, or all if they are fewer.
 Slot = tuple[int, int | None, list[int]]

@@ -127,6 +127,14 @@ def test_text_of_one_page_or_of_copies_is_no_furniture():
     assert "long story" in _text([f"{long}<div>{i} views</div>" for i in range(4)], 0)
 
 
+def test_deep_elements_end_where_they_end():
+    deep = "<div>" * 200 + "in<nav>menu<div>more</div></nav><p>deep</p>" + "</div>" * 200
+    assert _text([f"<div><article>before{deep}after</article></div><div>no</div>"], 0) == "before\nin\ndeep\nafter"
+    assert _text(["<article><p>" + "<b>" * 200 + "x</p><p>y</article>no"], 0) == "x\ny"
+    assert _text(["no" + "<div>" * 200 + "<article>yes<aside>no</aside></article>" + "</div>" * 200 + "no"], 0) == "yes"
+    assert _text(["<div>" * 130 + "<nav>a<nav>b</nav>c</nav>d" + "</div>" * 130 + "e"], 0) == "d\ne"
+
+
 def test_trees_and_calibration():
     trees, threshold = pii.model()
     r = random.Random(99)
