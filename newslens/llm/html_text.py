@@ -63,12 +63,17 @@ FURNITURE_WORDS = frozenset(
     "related replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 ARTICLE = frozenset(["article", "main"])
-PLAIN = frozenset(["html", "body", "article", "main", "h1", "h2", "h3", "p"])
+#: Elements that hold the whole page, whose words say nothing of its parts.
+PLAIN = frozenset(["html", "body"])
+#: Elements that hold text rather than furniture: only a whole name of a class, id or role counts there
+#: ("comment" or "comment-12", not "has-comments"), and the header of headings is a headline.
+TEXTUAL = frozenset(["article", "main", "h1", "h2", "h3", "p"])
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|[^<]+|<", re.S)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[^a-z0-9]+")
+NUMBERED = re.compile(r"[-_]?[0-9]+$")
 
 
 def _key(tag: str, rest: str) -> str:
@@ -76,8 +81,9 @@ def _key(tag: str, rest: str) -> str:
     if tag in PLAIN or not rest:
         return tag
     for _, *values in ATTRIBUTE.findall(rest):
-        for w in WORD.split("".join(values).lower()):
-            if w in FURNITURE_WORDS:
+        value = "".join(values).lower()
+        for w in (NUMBERED.sub("", v) for v in value.split()) if tag in TEXTUAL else WORD.split(value):
+            if w in FURNITURE_WORDS and not (w == "header" and tag in TEXTUAL):
                 return f"{tag}.{w}"
     return tag
 
@@ -326,7 +332,7 @@ class Wrapper:
         return Wrapper(Node.of_list(root), slots, pages)
 
     def roles(self) -> dict[str, str]:
-        """path → article, other, constant or furniture, for every text slot that the expression has."""
+        """path → article, other (each with "constant " before it for constants) or furniture, for every text slot that the expression has."""
         out: dict[str, str] = {}
 
         def own(node: Node, path: str) -> list[str]:
@@ -351,9 +357,9 @@ class Wrapper:
                     tag, _, word = p.key.partition(".")
                     below = f"{path}/{p.key}"
                     inner = "furniture" if role == "furniture" or word or tag in FURNITURE else "article" if tag in ARTICLE else role
-                    text = block if inner == role else inner
+                    text = block if inner == role else inner  # an inline element's text is judged with its block
                     if tag in BLOCKS:
-                        text = "constant" if inner == "other" and all(map(self.constant, own(p, below))) else inner
+                        text = f"constant {inner}" if inner != "furniture" and all(map(self.constant, own(p, below))) else inner
                     walk(p, below, inner, text)
 
         walk(self.root, "", "other", "other")
@@ -367,13 +373,14 @@ def page_text(page: str, roles: dict[str, str], constants: bool = False) -> str:
     """
     found: dict[str, list[list[str]]] = {"article": [[]], "other": [[]]}
     path = [""]
-    left_out = 0
+    left_out, of_article = 0, False
     for kind, what in events(page):
         if kind == "text":
             role = roles.get(path[-1], "furniture")
-            if role == "constant":
+            if role.startswith("constant "):
                 left_out += 0 if constants else len(what)
-                role = "other" if constants else "furniture"
+                of_article |= role.endswith("article") and not constants
+                role = role.removeprefix("constant ") if constants else "furniture"
             if role != "furniture":
                 found[role][-1].append(what)
             continue
@@ -392,7 +399,7 @@ def page_text(page: str, roles: dict[str, str], constants: bool = False) -> str:
             path.pop()
     lines = {r: [t for t in (" ".join(entities.unescape("".join(b)).split()) for b in blocks) if t] for r, blocks in found.items()}
     out = "\n".join(lines["article"] or lines["other"])
-    return page_text(page, roles, True) if NEAR_COPY * len(out) < left_out else out
+    return page_text(page, roles, True) if NEAR_COPY * len(out) < left_out or of_article and not lines["article"] else out
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

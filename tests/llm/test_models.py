@@ -135,6 +135,14 @@ def test_deep_elements_end_where_they_end():
     assert _text(["<div>" * 130 + "<nav>a<nav>b</nav>c</nav>d" + "</div>" * 130 + "e"], 0) == "d\ne"
 
 
+def test_constants_and_classes_inside_articles():
+    pages = [f'<article class="post has-comments"><h1 class="header">T{i}</h1><p>Story {i} <b>bold</b></p><div class="box-7"><p>Get the paper</p></div></article>'
+             '<article class="comment"><p>reader</p></article>' for i in range(4)]
+    assert _text(pages, 1) == "T1\nStory 1 bold"
+    assert _text(pages[:2], 1) == "T1\nStory 1 bold\nGet the paper"  # two pages don't tell
+    assert _text([f'<body class="nav-open"><main><p>a{i}</p><p class="advert">b</p><p id="comment-12">c</p></main>' for i in range(4)], 0) == "a0"
+
+
 def test_trees_and_calibration():
     trees, threshold = pii.model()
     r = random.Random(99)
