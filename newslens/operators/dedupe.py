@@ -56,6 +56,19 @@ def store_hits(rows: DataFrame, store: DataFrame) -> DataFrame:
     return _in_store(_with_keys(rows), store).withColumn("reason", hit).drop(*_KEYS, "s1", "s2", "s3")
 
 
+def earlier_hits(rows: DataFrame) -> DataFrame:
+    """Adds ``reason``: the first of guid, address and key that any earlier row has, kept or not, else null.
+
+    That is :func:`store_hits` for every row against the store of all rows before it.
+    """
+    out = _with_keys(rows)
+    for i, k in enumerate(_KEYS, 1):
+        first = out.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("pos").alias("_first"))
+        out = out.join(first, k, "left").withColumn(f"s{i}", F.coalesce(F.col("_first") < F.col("pos"), F.lit(False))).drop("_first")
+    hit = F.when(F.col("s1"), schema.DUPLICATE_REASONS[0]).when(F.col("s2"), schema.DUPLICATE_REASONS[1]).when(F.col("s3"), schema.DUPLICATE_REASONS[2])
+    return out.withColumn("reason", hit).drop(*_KEYS, "s1", "s2", "s3")
+
+
 def dedupe(rows: DataFrame, store: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = stash) -> DataFrame:
     """Adds ``reason`` (null: kept) to rows (pos, publisher_id, rss_guid, normalized_url, dedupe_key, ...).
 

@@ -311,6 +311,44 @@ def _(spark, d):
     return dedupe.dedupe(_dedupe_rows(spark, d)).select("pos", "reason")
 
 
+# the same over whole first lines, whole texts and all documents
+_WHOLE = _ARTICLES.replace("substr(string_split(text, chr(10))[1], 1, 60)", "string_split(text, chr(10))[1]")
+_WHOLE_KEY = f"sha256(lower(publisher_name) || '|' || {_HEAD.format('headline')} || '|' || strftime(published_at, '%Y-%m-%d'))"
+
+
+def whole_articles(spark: SparkSession, d: str) -> DataFrame:
+    return articles(spark, d).withColumn("headline", F.split("description", "\n")[0])
+
+
+def _whole_rows(spark, d):
+    key = text.dedupe_key(F.col("publisher_name"), text.normalize_headline(F.col("headline")), F.col("published_at"))
+    return whole_articles(spark, d).select(
+        F.col("id").alias("pos"), F.col("publisher_name").alias("publisher_id"), F.col("headline").alias("rss_guid"),
+        F.concat(F.lit("https://x/"), F.md5("description")).alias("normalized_url"), key.alias("dedupe_key"))
+
+
+@_query("articles_search_whole", f"WITH {_WHOLE} SELECT id, headline, publisher_name FROM a WHERE contains(upper(headline), upper('The'))")
+def _(spark, d):
+    return read.list_articles(whole_articles(spark, d), headline="The").select("id", "headline", "publisher_name")
+
+
+@_query("dedupe_key_whole", f"WITH {_WHOLE} SELECT id, {_WHOLE_KEY} AS dedupe_key FROM a")
+def _(spark, d):
+    return _whole_rows(spark, d).select(F.col("pos").alias("id"), "dedupe_key")
+
+
+@_query("dedupe_priority_store_whole", f"""WITH {_WHOLE}, r AS (SELECT id AS pos, publisher_name AS p, headline AS g, md5(description) AS u, {_WHOLE_KEY} AS k FROM a),
+f AS (SELECT *, min(pos) OVER (PARTITION BY p, g) AS g0, min(pos) OVER (PARTITION BY u) AS u0, min(pos) OVER (PARTITION BY k) AS k0 FROM r)
+SELECT pos, CASE WHEN trim(g) <> '' AND g0 < pos THEN 'RSS_GUID' WHEN u0 < pos THEN 'NORMALIZED_URL' WHEN k0 < pos THEN 'DEDUPE_KEY' END AS reason FROM f""")
+def _(spark, d):
+    return dedupe.earlier_hits(_whole_rows(spark, d)).select("pos", "reason")
+
+
+@_query("dedupe_sequential_whole")
+def _(spark, d):
+    return dedupe.dedupe(_whole_rows(spark, d)).select("pos", "reason")
+
+
 @_query("tokenize")
 def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
