@@ -410,19 +410,25 @@ def _frequent_links(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one of least id; of rows with one id one stays.
+    """``docs`` with one document of each component, the one of least id.
 
-    Documents without an id or without words stay. Columns stay as they are.
+    Documents without an id or without words stay; of equal rows (id and text) one stays. Rows that share an id but
+    not their text are documents of their own. Columns stay as they are.
     """
+    ids = docs.where("doc_id IS NOT NULL")
+    if not ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # rows get numbers in the order of their ids
+        rows = stash(ids.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
+        one = _one_of_each(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id"))
+        return one.drop("doc_id").withColumnRenamed("_id", "doc_id").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return _one_of_each(docs)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """:func:`one_of_each` of rows with unlike ids."""
     parts = stash(jaccard_components(docs))
     away = stash(parts.where("doc_id != component_id").select("doc_id").distinct())
-    kept = docs.join(F.broadcast(away) if away.count() <= BROADCAST_IDS else away, "doc_id", "left_anti")
-    again = stash(parts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    n = again.count()
-    if not n:
-        return kept
-    again = F.broadcast(again) if n <= BROADCAST_IDS else again
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return docs.join(F.broadcast(away) if away.count() <= BROADCAST_IDS else away, "doc_id", "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
