@@ -1,53 +1,86 @@
-"""Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014)."""
+"""Connected components: forests of each part, then alternating large-star and small-star rounds (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edges of one part of a round's tables, and the least number of parts.
 EDGES_OF_PART, LEAST_PARTS = 50_000, 6
+#: Edges of which a task holds the forest at a time.
+FOREST_EDGES = 200_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r["n"], r["x"]
+def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each node of the edges with the least node that the task has found connected to it."""
+    root: dict = {}
+    held = 0
 
+    def find(x):
+        top = x
+        while root.get(top, top) != top:
+            top = root[top]
+        while root.get(x, x) != top:
+            root[x], x = top, root[x]
+        return top
 
-def _large_star(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def stars() -> pd.DataFrame:
+        pairs = [(x, find(x)) for x in list(root)]
+        return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            x, y = find(u), find(v)
+            low, high = (x, y) if x < y else (y, x)
+            root[low] = low
+            root[high] = low
+        held += len(batch)
+        if held >= FOREST_EDGES:
+            yield stars()
+            root.clear()
+            held = 0
+    if root:
+        yield stars()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = keep(down.groupBy("u").agg(F.min("v").alias("m")))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    # every edge points from the greater node to the less
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge up, or edges from others only."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("v").alias("x"), F.lit(0), F.lit(1)))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return each.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``edges`` (u, v of one ordered type) → (node, root): root is the least node of the component.
 
     Every node that has an edge to another node gets a row; loops and null ends are ignored. ``keep``
     writes a table to storage that all executors share and reads it back, which cuts the lineage of each
-    round. A round's tables have as many parts as the number of edges asks for. Rounds stop when the edges no
-    longer change; then they are stars around the roots.
+    round. Each task first reduces its edges to stars, so rounds only join what several tasks have of a
+    component. A round's tables have as many parts as the number of edges asks for. Rounds stop when the
+    edges are stars around the roots.
     """
-    e = keep(edges.select("u", "v").where("u != v").distinct())
-    before = _state(e)
-    parts = max(LEAST_PARTS, before[0] // EDGES_OF_PART)
-
-    def sized(df: DataFrame) -> DataFrame:
-        return keep(df.coalesce(parts))
-
-    while before[0]:
-        e = sized(_small_star(sized(_large_star(e, sized)), sized))
-        after = _state(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    clean = edges.select("u", "v").where("u != v")
+    e = keep(clean.mapInPandas(_forests, clean.schema).distinct())
+    parts = max(LEAST_PARTS, e.count() // EDGES_OF_PART)
+    while not _are_stars(e):
+        e = keep(_large_star(e).coalesce(parts))
+        e = keep(_small_star(e).coalesce(parts))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
