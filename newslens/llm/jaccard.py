@@ -23,28 +23,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import drop, free_shuffles, stash, table
+from .common import drop, stash, table
+from .shingles import mix, sets_of_batches
 
-SHINGLE = 5
-#: A shingle in more documents than this is frequent ...
+#: A shingle in more documents than this is frequent; no list of more classes is scanned pair by pair in one task.
 FREQUENT = 8
-#: ... or, where more than this many are, the least higher bound that leaves at most this many.
-MAX_FREQUENT = 500_000
+#: Shingles (five bytes each) that every task knows to be frequent: those in the most documents. Lists that turn out
+#: long beyond these are treated as the frequent ones are.
+KNOWN_FREQUENT = 1_000_000
 #: Largest boundary between subsets and lists that is tried.
 MAX_BOUNDARY = 12
 #: Shingles that one group of the counting and scanning steps gets, about, and the least number of groups.
-GROUP, MIN_GROUPS = 1_000_000, 256
+GROUP, MIN_GROUPS = 1_000_000, 64
 #: Shingles that a task holds before it hands on its groups.
-HELD = 4_000_000
-#: Rounds of leaders for the frequent shingles' lists.
-ROUNDS = 3
-#: Class ids (8 bytes each) up to which the list of sets to check is broadcast.
-BROADCAST_IDS = 1_000_000
-#: Sets of a group of candidates that are checked together; larger groups are checked pair by pair.
-TOGETHER = 32
+HELD = 500_000
+#: Rounds of leaders for the frequent shingles' lists, and the pairs for each entry of these lists from which on rounds
+#: cost less than comparing all members at once.
+ROUNDS, LEADER_PAIRS = 3, 16
+#: Sets to check up to which their ids are broadcast.
+BROADCAST_IDS = 300_000
+#: Shingles of all sets that one group of candidates holds, about.
+CHECKED = 1_000_000
 SKETCH = 4  # 64-bit words of the parity sketch
 
-_MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+_LOW = np.uint64(0xFFFFFFFF)
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def overlap(n: int, m: int) -> int:
@@ -57,32 +60,9 @@ def prefix_size(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MULTIPLIERS[0]
-    x = (x ^ (x >> np.uint64(29))) * _MULTIPLIERS[3]
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of every text, over A-Z lower-cased words."""
-    words = [(t or "").encode().lower().split() for t in texts]
-    flat = [w for ws in words for w in ws]
-    h = pd.util.hash_array(np.array(flat, dtype=object), categorize=True) if flat else np.zeros(0, np.uint64)
-    out, at = [], 0
-    for ws in words:
-        a = h[at : at + len(ws)]
-        at += len(ws)
-        k = min(SHINGLE, len(a))
-        s = np.full(max(0, len(a) - k + 1) if k else 0, k, np.uint64)
-        for j in range(k):
-            s = (s ^ (s >> np.uint64(29))) * _MULTIPLIERS[j] + a[j : len(a) - k + 1 + j]
-        out.append(np.unique(_mix(s)))
-    return out
-
-
 def class_id(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit sums over the set."""
-    return int(_mix(s).sum(dtype=np.uint64).astype(np.int64)), int(_mix(s ^ _MULTIPLIERS[1]).sum(dtype=np.uint64).astype(np.int64))
+    return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ _OTHER).sum(dtype=np.uint64).astype(np.int64))
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:
@@ -114,16 +94,41 @@ def best_boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(4, MAX_BOUNDARY + 1), key=cost)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 1000):
-            part = batch.slice(start, 1000)
-            yield part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist())
+# ---- how frequent shingles are
+
+
+def _group_of(low: np.ndarray, groups: int) -> np.ndarray:
+    """The group, of so many, of shingles by their low halves; rising with them."""
+    return (low.astype(np.uint64) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal numbers begin and end."""
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+    return cuts, np.r_[cuts[1:], len(x)] if len(x) else cuts
+
+
+def _gaps(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as 16-bit gaps; a gap that doesn't fit is 65535 and follows at the end in full."""
+    d = np.diff(x, prepend=np.uint32(0))
+    wide = d >= 65535
+    return np.uint32(len(x)).tobytes() + np.where(wide, 65535, d).astype("<u2").tobytes() + d[wide].astype("<u4").tobytes()
+
+
+def _ungap(p: bytes) -> np.ndarray:
+    n = int(np.frombuffer(p, "<u4", 1)[0])
+    d = np.frombuffer(p, "<u2", n, 4).astype(np.uint32)
+    d[d == 65535] = np.frombuffer(p, "<u4", -1, 4 + 2 * n)
+    return np.cumsum(d, dtype=np.uint32)
 
 
 def _frequencies(docs: DataFrame, groups: int) -> DataFrame:
-    """kind 0: (shingle's low 32 bits, its document count) above FREQUENT; 1: (set size, sets) of small sizes;
-    2: (sum of counts, sum of their squares up to FREQUENT) of a group."""
+    """kind 0: (shingle's low half, its document count) above FREQUENT; 1: (set size, sets) of small sizes;
+    2: (sum of counts, sum of their squares up to FREQUENT) of a group.
+
+    A task counts what it holds first, so that a shingle of a third of all documents reaches its group as
+    one number and its count for every HELD shingles read.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -131,137 +136,194 @@ def _frequencies(docs: DataFrame, groups: int) -> DataFrame:
         n = 0
 
         def packed() -> pa.RecordBatch:
-            x = np.sort((np.concatenate(held) if held else np.zeros(0, np.uint64)).astype(np.uint32))
-            edges = np.searchsorted(x, (np.arange(groups + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(groups))
-            rows = [(g, _gaps(x[a:b])) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["g", "payload"])
-
-        for _, sets in _batches(batches):
+            x, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint32), return_counts=True)
+            g, many, cuts, ends, payloads = _group_of(x, groups), np.flatnonzero(count > 1), *_runs(_group_of(x, groups)), []
+            lows = np.searchsorted(many, cuts)
+            highs = np.searchsorted(many, ends)
+            for a, b, i, j in zip(cuts.tolist(), ends.tolist(), lows.tolist(), highs.tolist(), strict=True):
+                at = many[i:j]
+                payloads.append(np.uint32(j - i).tobytes() + (at - a).astype("<u4").tobytes() + count[at].astype("<u4").tobytes() + _gaps(x[a:b]))
+            return pa.RecordBatch.from_arrays([pa.array(g[cuts], pa.int32()), pa.array(payloads, pa.binary())], names=["g", "payload"])
+
+        for _, sets in sets_of_batches(batches):
             for s in sets:
-                held.append(s)
-                n += len(s)
-                if 0 < len(s) < len(small):
-                    small[len(s)] += 1
-            if n >= HELD:
-                yield packed()
-                held, n = [], 0
+                if len(s):
+                    held.append((s & _LOW).astype(np.uint32))
+                    n += len(s)
+                    if len(s) < len(small):
+                        small[len(s)] += 1
+                if n >= HELD:
+                    yield packed()
+                    held.clear()
+                    n = 0
         yield packed()
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([small.tobytes()], pa.binary())], names=["g", "payload"])
 
+    def opened(p: bytes) -> tuple[np.ndarray, np.ndarray]:
+        k = int(np.frombuffer(p, "<u4", 1)[0])
+        at, count = np.frombuffer(p, "<u4", 2 * k, 4).reshape(2, k)
+        x = _ungap(p[4 + 8 * k :])
+        n = np.ones(len(x), np.int64)
+        n[at] = count
+        return x, n
+
     def count(key, rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             total = sum(np.frombuffer(p, np.int64) for p in rows["payload"])
             return pd.DataFrame({"kind": 1, "a": np.arange(len(total)), "b": total})[total > 0]
-        x, n = np.unique(np.concatenate([_ungap(p) for p in rows["payload"]]), return_counts=True)
-        usual = n[n <= FREQUENT].astype(np.int64)
-        many = n > FREQUENT
-        return pd.DataFrame({"kind": [2] + [0] * int(many.sum()), "a": [int(usual.sum()), *x[many].tolist()], "b": [int((usual * usual).sum()), *n[many].tolist()]})
+        parts = [opened(p) for p in rows["payload"]]
+        x, each = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        cuts, _ = _runs(x)
+        n = np.add.reduceat(each[order], cuts)
+        many, usual = n > FREQUENT, n[n <= FREQUENT]
+        return pd.DataFrame({
+            "kind": [2] + [0] * int(many.sum()),
+            "a": [int(usual.sum()), *x[cuts][many].tolist()],
+            "b": [int((usual * usual).sum()), *n[many].tolist()],
+        })
+
+    return docs.mapInArrow(pack, "g int, payload binary").groupBy("g").applyInPandas(count, "kind int, a long, b long")
+
+
+def _known(found: DataFrame) -> bytes:
+    """The frequent shingles' low halves in order, and the logarithms of their counts."""
+    many = found.where("kind = 0").select("a", F.least(F.log2("b").cast("int"), F.lit(255)).alias("b"))
+    per_level = {r["b"]: r["count"] for r in many.groupBy("b").count().collect()}  # 64 rows at most
+    total, least = 0, 256
+    for level in sorted(per_level, reverse=True):
+        total += per_level[level]
+        if total > KNOWN_FREQUENT:
+            break
+        least = level
+    top = many.where(F.col("b") >= least).orderBy("a").toPandas()
+    return top["a"].to_numpy(np.uint32).tobytes() + top["b"].to_numpy(np.uint8).tobytes()
 
-    return (
-        docs.mapInArrow(pack, "g int, payload binary").groupBy("g")
-        .applyInPandas(count, "kind int, a long, b long")
-    )
 
+@lru_cache(maxsize=1)
+def _unpacked(key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(key) // 5
+    return np.frombuffer(key, np.uint32, n), np.frombuffer(key, np.uint8, n, 4 * n)
 
-def _gaps(x: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as 16-bit gaps; a gap that doesn't fit is 65535 and follows at the end in full."""
-    d = np.diff(x, prepend=np.uint32(0))
-    wide = d >= 65535
-    return np.uint32(len(x)).tobytes() + np.where(wide, 65535, d).astype("<u2").tobytes() + d[wide].astype("<u4").tobytes()
 
+# ---- entries of lists and subsets
 
-def _ungap(p: bytes) -> np.ndarray:
-    n = int(np.frombuffer(p, "<u4", 1)[0])
-    d = np.frombuffer(p, "<u2", n, 4).astype(np.uint32)
-    d[d == 65535] = np.frombuffer(p, "<u4", -1, 4 + 2 * n)
-    return np.cumsum(d, dtype=np.uint32)
+_SCHEMA = pa.schema([
+    ("kind", pa.int8()), ("g", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()),
+    ("f2", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("sketch", pa.list_(pa.int64())),
+])
+_ROWS = "kind byte, g int, payload binary, doc_id long, n int, f1 long, f2 long, token long, pos int, sketch array<long>"
 
 
-_ROWS = "kind int, g int, payload binary, doc_id long, n int, f1 long, f2 long, token long, pos int, sketch array<long>"
-_ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()), ("f2", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+def _batch(kind: int, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Rows of one kind; columns that aren't given are null."""
+    n = len(next(iter(columns.values())))
+    made = {k: v if isinstance(v, pa.Array) else pa.array(v, _SCHEMA.field(k).type) for k, v in columns.items()}
+    made["kind"] = pa.array(np.full(n, kind, np.int8))
+    return pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(n, f.type)) for f in _SCHEMA], schema=_SCHEMA)
 
 
-@lru_cache(maxsize=1)
-def _unpacked(key: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(key, np.int64).reshape(2, -1)
-    return x[0].astype(np.uint32), x[1]
+def _subset_key(s: np.ndarray, sub: tuple[int, ...]) -> int:
+    return int(mix(np.array([mix(s[list(sub)]).sum(dtype=np.uint64)]))[0].astype(np.int64))
 
 
 def _entries(docs: DataFrame, groups: int, frequent: bytes, boundary: int) -> DataFrame:
-    """kind 0: a document; 1: a group of list entries (shingles, class ids); 2: an entry of a frequent shingle's
-    list; 3: a subset (token) of size pos."""
+    """kind 0: a document; 1: a group of list entries (shingles, sizes, class ids); 2: an entry of a frequent
+    shingle's list; 3: a subset (token) of size pos. Of equal sets that a task reads only one has entries."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = _unpacked(shared.value)
-        tokens: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        known, levels = _unpacked(shared.value)
+        seen: set[tuple[int, int]] = set()
+        lists: list[tuple[np.ndarray, int, int]] = []
         n_held = 0
 
         def packed() -> pa.RecordBatch:
-            t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-            g = ((t >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(g, kind="stable")
-            g, t, o = g[order], t[order], o[order]
-            cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
-            ends = np.r_[cuts[1:], len(g)] if len(g) else cuts
-            rows = [{"kind": 1, "g": int(g[a]), "payload": t[a:b].tobytes() + o[a:b].tobytes()} for a, b in zip(cuts, ends, strict=True)]
-            return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-        for ids, sets in _batches(batches):
-            rows = []
-            for i, s in zip(ids, sets, strict=True):
+            each = [len(t) for t, _, _ in lists]
+            t = np.concatenate([t for t, _, _ in lists]) if lists else np.zeros(0, np.uint32)
+            n = np.repeat(np.array([min(n, 65535) for _, n, _ in lists], np.uint16), each)
+            o = np.repeat(np.array([f for _, _, f in lists], np.int64), each)
+            order = np.argsort(t)
+            t, n, o = t[order], n[order], o[order]
+            g = _group_of(t, groups)
+            cuts, ends = _runs(g)
+            payloads = [t[a:b].tobytes() + n[a:b].tobytes() + o[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]
+            return _batch(1, g=g[cuts], payload=payloads)
+
+        for part, sets in sets_of_batches(batches):
+            marks: list[tuple] = []
+            sketches: list[np.ndarray] = []
+            heavy: list[tuple] = []
+            subsets: list[tuple] = []
+            for i, s in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                 n = len(s)
                 f1, f2 = class_id(s)
-                sketch = parity_sketch(s).tolist()
-                rows.append({"kind": 0, "doc_id": i, "n": n, "f1": f1, "f2": f2, "sketch": sketch})
-                if not n or i is None:
+                marks.append((i, n, f1, f2))
+                sketches.append(parity_sketch(s))
+                if not n or i is None or (f1, f2) in seen:
                     continue
+                seen.add((f1, f2))
                 for c in subset_sizes(n, boundary):
-                    for sub in combinations(range(n), c):
-                        key = int(_mix(np.array([_mix(s[list(sub)]).sum(dtype=np.uint64)]))[0].astype(np.int64))
-                        rows.append({"kind": 3, "n": n, "f1": f1, "token": key, "pos": c})
+                    subsets += [(n, f1, f2, _subset_key(s, sub), c) for sub in combinations(range(n), c)]
                 if not uses_lists(n, boundary):
                     continue
-                low = s.astype(np.uint32)
+                low = (s & _LOW).astype(np.uint32)
                 at = np.minimum(np.searchsorted(known, low), max(0, len(known) - 1))
-                df = np.where(known[at] == low, counts[at], 0) if len(known) else np.zeros(n, np.int64)
+                level = np.where(known[at] == low, levels[at], 0) if len(known) else np.zeros(n, np.uint8)
                 p = prefix_size(n)
-                first = np.lexsort((s, df))[:p]
-                usual = first[df[first] == 0]
-                tokens.append(s[usual])
-                owners.append(np.full(len(usual), f1, np.int64))
+                first = np.lexsort((s, low, level))[:p]
+                usual = first[level[first] == 0]
+                lists.append((low[usual], n, f1))
                 n_held += len(usual)
-                for k in range(len(usual), p):
-                    rows.append({"kind": 2, "n": n, "f1": f1, "token": int(s[first[k]].astype(np.int64)), "pos": k, "sketch": sketch})
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                heavy += [(n, f1, f2, int(low[first[k]]), k) for k in range(len(usual), p)]
+            ids, n, f1, f2 = zip(*marks, strict=True)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(marks) + 1, SKETCH, dtype=np.int32)), pa.array(np.concatenate(sketches)))
+            yield _batch(0, doc_id=list(ids), n=list(n), f1=list(f1), f2=list(f2), sketch=bits)
+            for kind, rows in ((2, heavy), (3, subsets)):
+                if rows:
+                    n, f1, f2, token, pos = zip(*rows, strict=True)
+                    yield _batch(kind, n=list(n), f1=list(f1), f2=list(f2), token=list(token), pos=list(pos))
             if n_held >= HELD:
                 yield packed()
-                tokens, owners, n_held = [], [], 0
+                lists.clear()
+                n_held = 0
         yield packed()
 
     return docs.mapInArrow(run, _ROWS)
 
 
 def _scan(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of class ids that share a list; the lists of a group, each with few entries."""
-    halves = [(p[: len(p) // 2], p[len(p) // 2 :]) for p in rows["payload"]]
-    t = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in halves])
-    o = np.concatenate([np.frombuffer(b, np.int64) for _, b in halves])
+    """Pairs a, b of class ids of fitting sizes that share a list, with the list k; entries (b null) of the lists
+    of more than FREQUENT classes."""
+    parts = []
+    for p in rows["payload"]:
+        n = len(p) // 14
+        parts.append((np.frombuffer(p, np.uint32, n), np.frombuffer(p, np.uint16, n, 4 * n), np.frombuffer(p, np.int64, n, 6 * n)))
+    t, n, o = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((o, t))
-    t, o = t[order], o[order]
+    t, n, o = t[order], n[order].astype(np.int64), o[order]
     new = np.r_[True, (t[1:] != t[:-1]) | (o[1:] != o[:-1])]
-    t, o = t[new], o[new]
-    found, d = [], 1
-    while d < len(t):
+    t, n, o = t[new], n[new], o[new]
+    cuts, ends = _runs(t)
+    each = np.repeat(ends - cuts, ends - cuts)
+    long = each > FREQUENT
+    held = each > 1
+    found = [(o[long], np.zeros(int(long.sum()), np.int64), t[long], np.ones(int(long.sum()), bool))]
+    t, n, o = t[held & ~long], n[held & ~long], o[held & ~long]
+    for d in range(1, FREQUENT):
         same = np.flatnonzero(t[d:] == t[:-d])
-        if not len(same):
-            break
-        found.append(np.stack([o[same], o[same + d]]))
-        d += 1
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        same = same[5 * np.minimum(n[same], n[same + d]) >= 4 * np.maximum(n[same], n[same + d])]
+        found.append((o[same], o[same + d], t[same], np.zeros(len(same), bool)))
+    a, b, k, alone = (np.concatenate(x) for x in zip(*found, strict=True))
+    # of the lists that a pair shares in this group one is enough
+    order = np.lexsort((k, b, a, alone))
+    a, b, k, alone = a[order], b[order], k[order].astype(np.int64), alone[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] | alone if len(a) else alone
+    return pd.DataFrame({"a": a[new], "b": pd.array(b[new], dtype="Int64").copy(), "k": k[new], "alone": alone[new]})
+
+
+# ---- candidates and links
 
 
 def _fits(n: Column, m: Column, ps: Column | None = None, pt: Column | None = None) -> Column:
@@ -284,46 +346,99 @@ def _links(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets.
+    """The pairs (a, b) that link, as u, v, decided on the whole sets.
 
-    Candidates that hang together in small groups go to one task each with their sets, so that every set
-    moves once; the pairs of larger groups are joined with their sets.
+    Pairs go to groups by ``k``, as many as their sizes (na, nb) ask for, and every set goes once to each group
+    that asks for it; pairs of one short list or one member of a long one share a group.
     """
-    groups = stash(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), stash))
-    sizes = stash(groups.groupBy("root").agg((F.count("*") <= TOGETHER).alias("small")))
-    placed = stash(groups.join(sizes, "root").select(F.col("node").alias("f1"), "root", "small"))
-    hint = F.broadcast if placed.count() <= BROADCAST_IDS else (lambda x: x)
-    owners = stash(classes.join(hint(placed), "f1", "left_semi").select("doc_id"))
+    asked = pairs.agg(F.sum(F.col("na").cast("long") + F.col("nb")).alias("n"), F.count("*").alias("c")).first()
+    spark = docs.sparkSession
+    if not asked["c"]:
+        return spark.createDataFrame([], "u long, v long")
+    groups = math.ceil(asked["n"] / CHECKED) + 12
+    placed = pairs.select("a", "b", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("group"))
+    ends = placed.select("group", F.explode(F.array("a", "b")).alias("c")).distinct()
+    needed = stash(ends.join(classes.select("c", "doc_id", "f1", "f2"), "c"))
+    few = needed.count() <= BROADCAST_IDS
+    columns = ["text", "group", "c", "f1", "f2"]
+    owners = docs.join(F.broadcast(needed) if few else needed, "doc_id").select(columns)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _batches(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([class_id(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f1", "s"])
-
-    sets = docs.join(hint(owners), "doc_id", "left_semi").mapInArrow(sets_of, "f1 long, s binary").join(hint(placed), "f1")
-    asked = pairs.join(placed.select(F.col("f1").alias("a"), "root", "small"), "a")
-
-    def together(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        held = {f: np.frombuffer(x, np.uint64) for f, x in zip(left["f1"], left["s"], strict=True)} if len(left) else {}
-        found = [(a, b) for a, b in zip(right["a"], right["b"], strict=True) if _links(held[a], held[b])] if len(right) else []
+        for part, sets in sets_of_batches(batches):
+            f1, f2 = part.column("f1").to_pylist(), part.column("f2").to_pylist()
+            # rows of one id may have unlike texts
+            own = pa.array([class_id(s) == f for s, f in zip(sets, zip(f1, f2, strict=True), strict=True)], pa.bool_())
+            held = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("group").filter(own), part.column("c").filter(own), held.filter(own)], names=["group", "c", "s"])
+
+    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = {c: np.frombuffer(x, np.uint64) for c, x in zip(left["c"], left["s"], strict=True)}
+        found = [(a, b) for a, b in zip(right["a"], right["b"], strict=True) if _links(held[a], held[b])]
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [_links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
-
-    few = sets.where("small").select("root", "f1", "s").groupBy("root").cogroup(
-        asked.where("small").select(F.col("root").alias("r"), "a", "b").groupBy("r")
-    ).applyInPandas(together, "u long, v long")
-    if sizes.where("NOT small").isEmpty():
-        return stash(few)
-    big = stash(sets.where("NOT small").select("f1", "s"))
-    sides = asked.where("NOT small").select("a", "b").join(big.select(F.col("f1").alias("a"), F.col("s").alias("sa")), "a").join(big.select(F.col("f1").alias("b"), F.col("s").alias("sb")), "b")
-    return stash(few.union(sides.select("a", "b", "sa", "sb").mapInArrow(apart, "u long, v long")))
+    sets = owners.mapInArrow(sets_of, "group int, c long, s binary")
+    return stash(sets.groupBy("group").cogroup(placed.groupBy("group")).applyInPandas(check, "u long, v long"))
+
+
+def _of_lists(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links among the pairs of class ids that share a short list, and among classes of one first sum."""
+    pairs = found.where("NOT alone").groupBy("a", "b").agg(F.min("k").alias("k"))
+    info = classes.select("f1", "c", "n", "sketch")
+    side = lambda p: info.select(*[F.col(x).alias(f"{x}_{p}") for x in info.columns])
+    met = pairs.join(side("a"), F.col("a") == F.col("f1_a")).join(side("b"), F.col("b") == F.col("f1_b"))
+    met = met.where(_fits(F.col("n_a"), F.col("n_b")) & _near(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b")))
+    met = met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "k", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+    twins = classes.groupBy("f1").agg(F.collect_list(F.struct("c", "n")).alias("l")).where(F.size("l") > 1)
+    twins = twins.select("f1", F.explode("l").alias("x"), "l").select("f1", "x", F.explode("l").alias("y")).where("x.c < y.c")
+    twins = twins.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("f1").alias("k"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    return _checked(stash(met.union(twins)), classes, docs)
+
+
+def _of_subsets(subsets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links through subsets of one size: the smallest set of each is within the overlap of all that link through it."""
+    rows = subsets.join(classes.select("f1", "f2", "c"), ["f1", "f2"]).select("token", "pos", "n", "c")
+    least = rows.groupBy("token", "pos").agg(F.min(F.struct("n", "c")).alias("m"))
+    met = rows.join(least, ["token", "pos"]).where(F.ceil(4 * (F.col("n") + F.col("m")["n"]) / 9) <= F.col("pos"))
+    return stash(met.select(F.col("m")["c"].alias("u"), F.col("c").alias("v")).where("u != v").distinct())
+
+
+def _of_frequent(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """All links with those through frequent shingles (token, c, n, pos, sketch): in each round a list's members
+    meet one leader of another component than theirs, as long as that links any; then all members of like size
+    that are still apart meet, past the filters."""
+    columns = ("c", "n", "pos", "sketch", "root")
+    side = lambda x, p: x.select("token", *[F.col(c).alias(f"{p}_{c}") for c in columns], *(["band"] if "band" in x.columns else []))
+    fit = _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos")) & _near(F.col("x_sketch"), F.col("y_sketch"), F.col("x_n"), F.col("y_n"))
+    of_token = heavy.groupBy("token").agg(F.count("*").alias("n"))
+    cost = of_token.agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n") / 2).alias("pairs")).first()
+    h, r = None, 0 if cost["pairs"] > LEADER_PAIRS * cost["n"] else ROUNDS
+    while r <= ROUNDS:
+        if h is None:
+            parts = connected_components(links, stash)
+            h = stash(heavy.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+        if r < ROUNDS:
+            order = F.struct("n", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), F.col("c"))
+            lead = h.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.struct(*columns).alias("x"))).alias("m"))
+            met = side(h, "x").join(side(lead.select("token", "m.x.*"), "y"), "token").where((F.col("x_root") != F.col("y_root")) & fit)
+        else:
+            # sizes of linked sets are in one band or in neighbours; the smaller set looks into both
+            band = F.floor(F.log("n") / math.log(1.25) + 1e-9).cast("int")
+            small = side(h.withColumn("band", F.explode(F.array(band, band + 1))), "x")
+            met = small.join(side(h.withColumn("band", band), "y"), ["token", "band"]).where((F.col("x_root") != F.col("y_root")) & fit)
+            met = met.where(F.struct("x_n", "x_c") < F.struct("y_n", "y_c"))
+        pairs = met.select(F.col("x_c").alias("a"), F.col("y_c").alias("b"), F.col("x_c").alias("k"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"))
+        new = _checked(stash(pairs.distinct()), classes, docs)
+        if new.isEmpty():
+            r = max(r + 1, ROUNDS)
+        else:
+            links, h, r = links.union(new), None, r + 1
+    return links
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+def _groups_for(docs: DataFrame) -> int:
+    """Groups of the counting and scanning steps by the length of all texts."""
+    chars = docs.agg(F.sum(F.octet_length("text")).alias("c")).first()["c"] or 0
+    return max(MIN_GROUPS, chars // 6 // GROUP)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -334,79 +449,41 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     gives an empty result; other columns are left out. Texts are read whole.
     """
     docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text")).alias("c")).first()["c"] or 0
-    groups = max(MIN_GROUPS, chars // 6 // GROUP)
-    found = stash(_frequencies(docs, groups))
-    sizes = {r["a"]: r["b"] for r in found.where("kind = 1").collect()}
-    scan = found.where("kind = 2").agg(F.sum("a").alias("n"), F.sum("b").alias("n2")).first()
+    groups = _groups_for(docs)
+    counted = stash(_frequencies(docs, groups))
+    sizes = {r["a"]: r["b"] for r in counted.where("kind = 1").collect()}  # sizes up to 24
+    scan = counted.where("kind = 2").agg(F.sum("a").alias("n"), F.sum("b").alias("n2")).first()
     boundary = best_boundary(sizes, (scan["n2"] or 0) / max(1, scan["n"] or 0))
-    many = found.where("kind = 0")
-    bound = FREQUENT
-    while many.where(F.col("b") > bound).count() > MAX_FREQUENT:
-        bound *= 2
-    free_shuffles(docs.sparkSession)
-    top = many.where(F.col("b") > bound).select("a", "b").orderBy("a").toPandas()
-    frequent = np.stack([top["a"].to_numpy(np.int64), top["b"].to_numpy(np.int64)]).tobytes()
+    frequent = _known(counted)
+    drop(counted)
 
     rows = stash(_entries(docs, groups, frequent, boundary))
-    marks = stash(rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch"))
-    lists = stash(_pairs(rows.where("kind = 1").select("g", "payload").groupBy("g").applyInPandas(_scan, "a long, b long")))
-    heavy = stash(rows.where("kind = 2").select("token", "f1", "n", "pos", "sketch").dropDuplicates(["token", "f1"]))
-    subsets = stash(rows.where("kind = 3").select("token", "pos", "n", "f1").distinct())
-    drop(rows)
-    drop(found)
-    free_shuffles(docs.sparkSession)
+    marks = rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch")
     linkable = marks.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stash(linkable.groupBy("f1", "f2", "n", "sketch").agg(F.min("doc_id").alias("doc_id")))
-    info = classes.groupBy("f1").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("k"))
-
-    about = lambda c: info.select(F.col("f1").alias(c), F.col("n").alias(f"n{c}"), F.col("k").alias(f"k{c}"))
-    lists = lists.join(about("a"), "a").join(about("b"), "b").where(_fits(F.col("na"), F.col("nb")) & _near(F.col("ka"), F.col("kb"), F.col("na"), F.col("nb")))
-    links = _checked(stash(lists.select("a", "b")), classes, docs)
-
-    # subsets of one size: the smallest set of each is within the overlap of all that link through it
-    least = subsets.groupBy("token", "pos").agg(F.min(F.struct("n", "f1")).alias("m"))
-    met = subsets.join(stash(least), ["token", "pos"]).where(F.ceil(4 * (F.col("n") + F.col("m")["n"]) / 9) <= F.col("pos"))
-    links = links.union(stash(met.select(F.col("m")["f1"].alias("u"), F.col("f1").alias("v")).where("u != v").distinct()))
+    grouped = linkable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"))
+    classes = stash(grouped.withColumn("c", F.monotonically_increasing_id()))
+    scanned = rows.where("kind = 1").select("g", "payload").groupBy("g").applyInPandas(_scan, "a long, b long, k long, alone boolean")
+    found = stash(scanned)
+    links = _of_lists(found, classes, docs)
+    subsets = rows.where("kind = 3").select("token", "pos", "n", "f1", "f2").distinct()
+    links = links.union(_of_subsets(subsets, classes))
+
+    entries = rows.where("kind = 2").select("token", "f1", "f2", "pos").dropDuplicates(["token", "f1", "f2"])
+    heavy = entries.join(classes, ["f1", "f2"]).select("token", "c", "n", "pos", "sketch")
+    long = found.where("alone").select(F.col("k").alias("token"), F.col("a").alias("f1"))
+    long = long.join(classes, "f1").select("token", "c", "n", F.lit(0).alias("pos"), "sketch")
+    heavy = stash(heavy.union(long))
+    drop(found)
+    if not heavy.isEmpty():
+        links = _of_frequent(heavy, links, classes, docs)
 
-    if heavy.limit(1).count():
-        links = _frequent_links(heavy, links, classes, docs)
     parts = stash(connected_components(links, stash))
-    rooted = stash(marks.join(parts.withColumnRenamed("node", "f1"), "f1", "left").select("doc_id", "n", F.coalesce("root", "f1").alias("root"), "f2"))
+    rooted = classes.join(parts.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", "n", "doc_id", F.coalesce("root", "c").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = rooted.join(first, "root").select("f1", "f2", "n", "component_id")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    first = stash(rooted.where(~alone).groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = rooted.where(~alone).join(first, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return named.union(rooted.where(alone).select("doc_id", F.col("n").cast("long"), "doc_id"))
-
-
-def _frequent_links(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links found through frequent shingles: in each round a list's members meet one leader of another
-    component than theirs, as long as that links any; then all members that are still apart meet, past the
-    filters."""
-    side = lambda x, p: x.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("f1", "n", "pos", "sketch", "root")])
-    h, r = None, 0
-    while r <= ROUNDS:
-        if h is None:
-            parts = stash(connected_components(links, stash))
-            h = stash(heavy.join(parts.withColumnRenamed("node", "f1"), "f1", "left").withColumn("root", F.coalesce("root", "f1")))
-        other = h
-        if r < ROUNDS:
-            order = F.struct("n", "f1") if r == 0 else F.struct(F.xxhash64("f1", F.lit(r)), F.col("f1"))
-            lead = h.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.struct("f1", "n", "pos", "sketch", "root").alias("x"))).alias("m"))
-            other = stash(lead.select("token", "m.x.*"))
-        met = side(h, "x").join(side(other, "y"), "token").where(
-            (F.col("x_root") != F.col("y_root")) & _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"))
-            & _near(F.col("x_sketch"), F.col("y_sketch"), F.col("x_n"), F.col("y_n"))
-        )
-        if r == ROUNDS:
-            met = met.where("x_f1 < y_f1")
-        pairs = stash(_pairs(met.select(F.col("x_f1").alias("a"), F.col("y_f1").alias("b"))))
-        new = None if pairs.isEmpty() else _checked(pairs, classes, docs)
-        if new is None or new.isEmpty():
-            r = max(r + 1, ROUNDS)
-        else:
-            links, h, r = links.union(new), None, r + 1
-    return links
+    named = marks.where(~alone).join(of_class, ["f1", "f2", "n"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return named.union(marks.where(alone).select("doc_id", F.col("n").cast("long"), "doc_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
