@@ -106,17 +106,25 @@ def member(key: Column, levels: list[Level]) -> Column:
     return out
 
 
-def with_host_path(pages: DataFrame) -> DataFrame:
-    """Adds host and path of ``url``; both empty for null or a text without ``://``."""
-    at = F.instr("url", "://")
-    rest = F.when(at > 0, F.substring(F.col("url"), at + 3, F.length("url"))).otherwise(F.lit(""))
+def _after_scheme(url: Column) -> Column:
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+
+
+def host_of(url: Column) -> Column:
+    """The host, A-Z lower-cased; empty for null or a text without ``://``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return (
-        pages.withColumn("_rest", F.coalesce(rest, F.lit("")))
-        .withColumn("host", F.translate(F.regexp_extract("_rest", "^[^/?#]*", 0), upper, upper.lower()))
-        .withColumn("path", F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1))
-        .drop("_rest")
-    )
+    return F.translate(F.regexp_extract(_after_scheme(url), "^[^/?#]*", 0), upper, upper.lower())
+
+
+def path_of(url: Column) -> Column:
+    """The path, without query and fragment; empty where the host is."""
+    return F.regexp_extract(_after_scheme(url), "^[^/?#]*([^?#]*)", 1)
+
+
+def with_host_path(pages: DataFrame) -> DataFrame:
+    """Adds host and path of ``url`` (columns of these names are replaced)."""
+    return pages.select(*[c for c in pages.columns if c not in ("host", "path")], host_of(pages["url"]).alias("host"), path_of(pages["url"]).alias("path"))
 
 
 def _suffixes(host: Column, labels: int) -> Column:
