@@ -39,12 +39,13 @@ GROUP, MIN_GROUPS = 1_000_000, 64
 HELD = 500_000
 #: Rounds of leaders for the frequent shingles' lists, and the pairs for each entry of these lists from which on rounds
 #: cost less than comparing all members at once.
-ROUNDS, LEADER_PAIRS = 3, 16
+ROUNDS, LEADER_PAIRS = 4, 16
 #: Sets to check up to which their ids are broadcast.
 BROADCAST_IDS = 300_000
 #: Shingles of all sets that one group of candidates holds, about.
 CHECKED = 1_000_000
-SKETCH = 4  # 64-bit words of the parity sketch
+#: 64-bit words of the short parity sketch, and of the longest full one (which has a bit for each shingle, at least).
+SKETCH, MAX_SKETCH = 4, 1 << 20
 
 _LOW = np.uint64(0xFFFFFFFF)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,13 +66,18 @@ def class_id(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(mix(s ^ _OTHER).sum(dtype=np.uint64).astype(np.int64))
 
 
-def parity_sketch(s: np.ndarray) -> np.ndarray:
+def parity_sketch(s: np.ndarray, words: int) -> np.ndarray:
     """Bit i is the parity of the shingles that fall on i: sketches of two sets differ in at most as many
-    bits as the sets differ in shingles."""
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    bits as the sets differ in shingles. Halves of a sketch, one xor the other, are the sketch of half the words."""
+    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def sketch_words(n: int) -> int:
+    """Words of a set's full sketch: a power of two with a bit for each shingle."""
+    return max(SKETCH, min(MAX_SKETCH, 1 << max(0, (n - 1).bit_length() - 6)))
+
+
 def subset_sizes(n: int, boundary: int) -> list[int]:
     """Sizes of the subsets by which a set of n meets its partners up to the boundary."""
     if n > boundary:
@@ -211,9 +217,9 @@ def _unpacked(key: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 _SCHEMA = pa.schema([
     ("kind", pa.int8()), ("g", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int32()), ("f1", pa.int64()),
-    ("f2", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("sketch", pa.list_(pa.int64())),
+    ("f2", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("sketch", pa.list_(pa.int64())), ("full", pa.list_(pa.int64())),
 ])
-_ROWS = "kind byte, g int, payload binary, doc_id long, n int, f1 long, f2 long, token long, pos int, sketch array<long>"
+_ROWS = "kind byte, g int, payload binary, doc_id long, n int, f1 long, f2 long, token long, pos int, sketch array<long>, full array<long>"
 
 
 def _batch(kind: int, **columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -233,6 +239,13 @@ def _entries(docs: DataFrame, groups: int, frequent: bytes, boundary: int) -> Da
     shingle's list; 3: a subset (token) of size pos. Of equal sets that a task reads only one has entries."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def lists_of(found: list[np.ndarray | None]) -> pa.ListArray:
+        """Arrays of numbers, null where there are none."""
+        ends = np.cumsum([0, *(0 if x is None else len(x) for x in found)])
+        values = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int64)])
+        missing = np.array([x is None for x in found] + [False])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=missing), pa.array(values))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, levels = _unpacked(shared.value)
         seen: set[tuple[int, int]] = set()
@@ -253,17 +266,21 @@ def _entries(docs: DataFrame, groups: int, frequent: bytes, boundary: int) -> Da
 
         for part, sets in sets_of_batches(batches):
             marks: list[tuple] = []
-            sketches: list[np.ndarray] = []
+            short: list[np.ndarray | None] = []
+            full: list[np.ndarray | None] = []
             heavy: list[tuple] = []
             subsets: list[tuple] = []
             for i, s in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                 n = len(s)
                 f1, f2 = class_id(s)
                 marks.append((i, n, f1, f2))
-                sketches.append(parity_sketch(s))
                 if not n or i is None or (f1, f2) in seen:
+                    short.append(None)
+                    full.append(None)
                     continue
                 seen.add((f1, f2))
+                short.append(parity_sketch(s, SKETCH))
+                full.append(parity_sketch(s, sketch_words(n)))
                 for c in subset_sizes(n, boundary):
                     subsets += [(n, f1, f2, _subset_key(s, sub), c) for sub in combinations(range(n), c)]
                 if not uses_lists(n, boundary):
@@ -278,8 +295,7 @@ def _entries(docs: DataFrame, groups: int, frequent: bytes, boundary: int) -> Da
                 n_held += len(usual)
                 heavy += [(n, f1, f2, int(low[first[k]]), k) for k in range(len(usual), p)]
             ids, n, f1, f2 = zip(*marks, strict=True)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(marks) + 1, SKETCH, dtype=np.int32)), pa.array(np.concatenate(sketches)))
-            yield _batch(0, doc_id=list(ids), n=list(n), f1=list(f1), f2=list(f2), sketch=bits)
+            yield _batch(0, doc_id=list(ids), n=list(n), f1=list(f1), f2=list(f2), sketch=lists_of(short), full=lists_of(full))
             for kind, rows in ((2, heavy), (3, subsets)):
                 if rows:
                     n, f1, f2, token, pos = zip(*rows, strict=True)
@@ -334,10 +350,21 @@ def _fits(n: Column, m: Column, ps: Column | None = None, pt: Column | None = No
     return ok
 
 
+def _bits(s: Column, t: Column) -> Column:
+    """Bits in which two short sketches differ."""
+    return sum((F.bit_count(s[i].bitwiseXOR(t[i])) for i in range(1, SKETCH)), F.bit_count(s[0].bitwiseXOR(t[0])))
+
+
 def _near(s: Column, t: Column, n: Column, m: Column) -> Column:
-    """The sketches differ in no more bits than linked sets may differ in shingles."""
-    bits = sum((F.bit_count(s[i].bitwiseXOR(t[i])) for i in range(1, SKETCH)), F.bit_count(s[0].bitwiseXOR(t[0])))
-    return 9 * bits <= n + m
+    """The full sketches differ in no more bits than linked sets may differ in shingles."""
+
+    def halved(x: Column, other: Column) -> Column:
+        half = F.size(x).bitwiseAND(-2) / 2
+        both = F.zip_with(F.slice(x, 1, half.cast("int")), F.slice(x, half.cast("int") + 1, half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), both).otherwise(x)
+
+    unlike = F.zip_with(halved(s, t), halved(t, s), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return 9 * F.aggregate(unlike, F.lit(0), lambda a, x: a + x) <= n + m
 
 
 def _links(s: np.ndarray, t: np.ndarray) -> bool:
@@ -345,6 +372,15 @@ def _links(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(s) + len(t) - both)
 
 
+def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, k) of classes whose sizes and full sketches allow a link, with their sizes na and nb."""
+    info = classes.select("c", "n", "full")
+    side = lambda p: info.select(*[F.col(x).alias(f"{x}_{p}") for x in info.columns])
+    met = pairs.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b"))
+    met = met.where(_fits(F.col("n_a"), F.col("n_b")) & _near(F.col("full_a"), F.col("full_b"), F.col("n_a"), F.col("n_b")))
+    return met.select("a", "b", "k", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, as u, v, decided on the whole sets.
 
@@ -352,12 +388,11 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     that asks for it; pairs of one short list or one member of a long one share a group.
     """
     asked = pairs.agg(F.sum(F.col("na").cast("long") + F.col("nb")).alias("n"), F.count("*").alias("c")).first()
-    spark = docs.sparkSession
     if not asked["c"]:
-        return spark.createDataFrame([], "u long, v long")
+        return docs.sparkSession.createDataFrame([], "u long, v long")
     groups = math.ceil(asked["n"] / CHECKED) + 12
     placed = pairs.select("a", "b", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int").alias("group"))
-    ends = placed.select("group", F.explode(F.array("a", "b")).alias("c")).distinct()
+    ends = placed.select("group", F.col("a").alias("c")).union(placed.select("group", "b")).distinct()
     needed = stash(ends.join(classes.select("c", "doc_id", "f1", "f2"), "c"))
     few = needed.count() <= BROADCAST_IDS
     columns = ["text", "group", "c", "f1", "f2"]
@@ -383,15 +418,12 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def _of_lists(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among the pairs of class ids that share a short list, and among classes of one first sum."""
     pairs = found.where("NOT alone").groupBy("a", "b").agg(F.min("k").alias("k"))
-    info = classes.select("f1", "c", "n", "sketch")
-    side = lambda p: info.select(*[F.col(x).alias(f"{x}_{p}") for x in info.columns])
-    met = pairs.join(side("a"), F.col("a") == F.col("f1_a")).join(side("b"), F.col("b") == F.col("f1_b"))
-    met = met.where(_fits(F.col("n_a"), F.col("n_b")) & _near(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b")))
-    met = met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "k", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
-    twins = classes.groupBy("f1").agg(F.collect_list(F.struct("c", "n")).alias("l")).where(F.size("l") > 1)
-    twins = twins.select("f1", F.explode("l").alias("x"), "l").select("f1", "x", F.explode("l").alias("y")).where("x.c < y.c")
-    twins = twins.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("f1").alias("k"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    return _checked(stash(met.union(twins)), classes, docs)
+    ids = classes.select("f1", "c")
+    met = pairs.join(ids.toDF("a", "ca"), "a").join(ids.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "k")
+    twins = classes.groupBy("f1").agg(F.collect_list("c").alias("l")).where(F.size("l") > 1)
+    twins = twins.select("f1", F.explode("l").alias("x"), "l").select("f1", "x", F.explode("l").alias("y")).where("x < y")
+    met = met.union(twins.select("x", "y", "f1"))
+    return _checked(stash(_near_pairs(met, classes)), classes, docs)
 
 
 def _of_subsets(subsets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -403,12 +435,17 @@ def _of_subsets(subsets: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _of_frequent(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """All links with those through frequent shingles (token, c, n, pos, sketch): in each round a list's members
-    meet one leader of another component than theirs, as long as that links any; then all members of like size
-    that are still apart meet, past the filters."""
+    """All links with those through frequent shingles (token, c, n, pos, sketch).
+
+    In each round every list has a leader, and each class meets the nearest leader, by the short sketch, of those
+    that are of another component than its own, as long as that links any; then all members of like size that are
+    still apart meet, past the filters.
+    """
     columns = ("c", "n", "pos", "sketch", "root")
     side = lambda x, p: x.select("token", *[F.col(c).alias(f"{p}_{c}") for c in columns], *(["band"] if "band" in x.columns else []))
-    fit = _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos")) & _near(F.col("x_sketch"), F.col("y_sketch"), F.col("x_n"), F.col("y_n"))
+    fit = _fits(F.col("x_n"), F.col("y_n"), F.col("x_pos"), F.col("y_pos"))
+    bits = _bits(F.col("x_sketch"), F.col("y_sketch"))
+    fit = (F.col("x_root") != F.col("y_root")) & fit & (9 * bits <= F.col("x_n") + F.col("y_n"))
     of_token = heavy.groupBy("token").agg(F.count("*").alias("n"))
     cost = of_token.agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n") / 2).alias("pairs")).first()
     h, r = None, 0 if cost["pairs"] > LEADER_PAIRS * cost["n"] else ROUNDS
@@ -419,15 +456,16 @@ def _of_frequent(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: D
         if r < ROUNDS:
             order = F.struct("n", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), F.col("c"))
             lead = h.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.struct(*columns).alias("x"))).alias("m"))
-            met = side(h, "x").join(side(lead.select("token", "m.x.*"), "y"), "token").where((F.col("x_root") != F.col("y_root")) & fit)
+            met = side(h, "x").join(side(lead.select("token", "m.x.*"), "y"), "token").where(fit)
+            met = met.groupBy("x_c").agg(F.min(F.struct(bits.alias("d"), F.col("y_c"))).alias("m")).select("x_c", "m.y_c")
         else:
             # sizes of linked sets are in one band or in neighbours; the smaller set looks into both
             band = F.floor(F.log("n") / math.log(1.25) + 1e-9).cast("int")
             small = side(h.withColumn("band", F.explode(F.array(band, band + 1))), "x")
-            met = small.join(side(h.withColumn("band", band), "y"), ["token", "band"]).where((F.col("x_root") != F.col("y_root")) & fit)
-            met = met.where(F.struct("x_n", "x_c") < F.struct("y_n", "y_c"))
-        pairs = met.select(F.col("x_c").alias("a"), F.col("y_c").alias("b"), F.col("x_c").alias("k"), F.col("x_n").alias("na"), F.col("y_n").alias("nb"))
-        new = _checked(stash(pairs.distinct()), classes, docs)
+            met = small.join(side(h.withColumn("band", band), "y"), ["token", "band"]).where(fit)
+            met = met.where(F.struct("x_n", "x_c") < F.struct("y_n", "y_c")).select("x_c", "y_c").distinct()
+        pairs = _near_pairs(met.select(F.col("x_c").alias("a"), F.col("y_c").alias("b"), F.col("x_c").alias("k")), classes)
+        new = _checked(stash(pairs), classes, docs)
         if new.isEmpty():
             r = max(r + 1, ROUNDS)
         else:
@@ -458,9 +496,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     drop(counted)
 
     rows = stash(_entries(docs, groups, frequent, boundary))
-    marks = rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch")
+    marks = rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch", "full")
     linkable = marks.where("n > 0 AND doc_id IS NOT NULL")
-    grouped = linkable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"))
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)  # noqa: E731  equal sets have equal sketches
+    grouped = linkable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), one("sketch"), one("full"))
     classes = stash(grouped.withColumn("c", F.monotonically_increasing_id()))
     scanned = rows.where("kind = 1").select("g", "payload").groupBy("g").applyInPandas(_scan, "a long, b long, k long, alone boolean")
     found = stash(scanned)
