@@ -14,9 +14,10 @@ def test_pieces_are_the_scheduled_mix(spark):
     words = [f"w{i}" for i in range(3000)]
     rows = [(0, "a", "  " + "\n ".join(words[:1000])), (1, "b", " ".join(words[1000:1007])), (2, "b", "one"), (3, None, "\t".join(words[2000:2300])), (4, "c", None), (5, "c", " ")]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("slot", F.lit("clash"))
-    plan = mixing.plan_sources(mixing.sized(d))
+    planned = mixing.plan_sources(mixing.sized(d))
+    plan = sorted(tuple(r[c] for c in ("src", "source", "source_size", "target", "blocks")) for r in planned.collect())
     source_of = {p[0]: p[1] for p in plan}
-    slots = {r["slot"]: (source_of[r["src"]], r["block"]) for r in mixing.schedule(spark, plan).collect()}
+    slots = {r["slot"]: (source_of[r["src"]], r["block"]) for r in mixing.schedule(planned).collect()}
     got = mixing.mixed_pieces(d).collect()
     assert [(r["slot"], r["start"]) for r in got] == sorted((r["slot"], r["start"]) for r in got)
     assert {r["slot"] for r in got} == set(slots) and all(slots[r["slot"]][0] == r["source"] for r in got)
