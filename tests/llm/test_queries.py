@@ -202,3 +202,19 @@ def test_chat(spark):
             (2, None, "u", "hi", 0, None, None, 0, None), (3, 7, "u", "ok", 1, None, 7, 0, 0)]
     assert got == sorted(want, key=str)
     assert chat.link_quotes(df.where("false")).count() == 0
+
+
+def test_topk_of_repeated_rows(spark):
+    r = random.Random(7)
+    rows = [(i, [float(r.randint(-9, 9)) for _ in range(3)]) for i in range(40)]
+    rows += [rows[0], rows[0], (100, rows[3][1]), (100, [1.0, 2.0, 3.0])]
+    got = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+    scaled = [(i, [int(c * 1024) for c in v]) for i, v in rows]
+    want = []
+    for at, (q, y) in enumerate(scaled):
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(y, x, strict=True)), c) for n, (c, x) in enumerate(scaled) if n != at)[:10]
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash"))
+    assert 0 < topk.exact_topk(d, F.col("vec_id") == 5, report=True).first()["evaluated"] <= 1
