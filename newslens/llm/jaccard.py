@@ -37,15 +37,15 @@ MAX_BOUNDARY = 12
 GROUP, MIN_GROUPS = 1_000_000, 64
 #: Shingles that a task holds before it hands on its groups.
 HELD = 500_000
-#: Rounds of leaders for the frequent shingles' lists, and the pairs for each entry of these lists from which on rounds
-#: cost less than comparing all members at once.
-ROUNDS, LEADER_PAIRS = 4, 16
+#: Rounds of leaders for the frequent shingles' lists, leaders of a list, and the pairs for each entry of these lists
+#: from which on rounds cost less than comparing all members at once.
+ROUNDS, LEADERS, LEADER_PAIRS = 3, 4, 16
 #: Sets to check up to which their ids are broadcast.
 BROADCAST_IDS = 300_000
 #: Shingles of all sets that one group of candidates holds, about.
 CHECKED = 1_000_000
-#: 64-bit words of the short parity sketch, and of the longest full one (which has a bit for each shingle, at least).
-SKETCH, MAX_SKETCH = 4, 1 << 20
+#: 64-bit words of the short parity sketch, and of the longest full one (which has two bits for each shingle, at least).
+SKETCH, MAX_SKETCH = 8, 1 << 20
 
 _LOW = np.uint64(0xFFFFFFFF)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -74,8 +74,8 @@ def parity_sketch(s: np.ndarray, words: int) -> np.ndarray:
 
 
 def sketch_words(n: int) -> int:
-    """Words of a set's full sketch: a power of two with a bit for each shingle."""
-    return max(SKETCH, min(MAX_SKETCH, 1 << max(0, (n - 1).bit_length() - 6)))
+    """Words of a set's full sketch: a power of two with two bits for each shingle."""
+    return max(SKETCH, min(MAX_SKETCH, 1 << max(0, (n - 1).bit_length() - 5)))
 
 
 def subset_sizes(n: int, boundary: int) -> list[int]:
@@ -437,9 +437,9 @@ def _of_subsets(subsets: DataFrame, classes: DataFrame) -> DataFrame:
 def _of_frequent(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """All links with those through frequent shingles (token, c, n, pos, sketch).
 
-    In each round every list has a leader, and each class meets the nearest leader, by the short sketch, of those
-    that are of another component than its own, as long as that links any; then all members of like size that are
-    still apart meet, past the filters.
+    In each round every list has leaders of its own, and each class meets the nearest of its lists' leaders, by the
+    short sketch, that are of another component than its own, as long as that links any; then all members of like
+    size that are still apart meet, past the filters.
     """
     columns = ("c", "n", "pos", "sketch", "root")
     side = lambda x, p: x.select("token", *[F.col(c).alias(f"{p}_{c}") for c in columns], *(["band"] if "band" in x.columns else []))
@@ -454,9 +454,11 @@ def _of_frequent(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: D
             parts = connected_components(links, stash)
             h = stash(heavy.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
         if r < ROUNDS:
-            order = F.struct("n", "c") if r == 0 else F.struct(F.xxhash64("c", F.lit(r)), F.col("c"))
-            lead = h.groupBy("token").agg(F.min(F.struct(order.alias("o"), F.struct(*columns).alias("x"))).alias("m"))
-            met = side(h, "x").join(side(lead.select("token", "m.x.*"), "y"), "token").where(fit)
+            # by hashes of list and class, or lists of the same members would have the same leaders
+            own = F.struct(*columns).alias("x")
+            least = [F.min(F.struct(F.xxhash64("c", "token", F.lit(r), F.lit(i)).alias("o"), own))["x"] for i in range(LEADERS)]
+            lead = h.groupBy("token").agg(F.array_distinct(F.array(*least)).alias("l")).select("token", F.explode("l").alias("m"))
+            met = side(h, "x").join(side(lead.select("token", "m.*"), "y"), "token").where(fit)
             met = met.groupBy("x_c").agg(F.min(F.struct(bits.alias("d"), F.col("y_c"))).alias("m")).select("x_c", "m.y_c")
         else:
             # sizes of linked sets are in one band or in neighbours; the smaller set looks into both
