@@ -16,3 +16,12 @@ def on_workers(spark: _SparkSession) -> None:
     here = str(_Path(__file__).resolve().parents[1])
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(p for p in (here, env.get("PYTHONPATH", "")) if p)
+
+
+def register(spark: _SparkSession) -> None:
+    """``tokenize`` and ``normalize_url`` as functions of the session's SQL."""
+    from .functions import text, url
+
+    on_workers(spark)
+    spark.udf.register("tokenize", text.sql_tokenize)
+    spark.udf.register("normalize_url", url.sql_normalize_url)

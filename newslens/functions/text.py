@@ -1,21 +1,18 @@
-"""Text functions as column expressions; one Arrow UDF for Unicode normal forms, which Spark lacks."""
+"""Text functions as column expressions; the tokeniser is one Arrow UDF, as Spark lacks Unicode normal forms."""
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from .tokens import tokens_of_series
 
 # Replaced in this order.
 ENTITIES = (("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-# Word borders are ASCII ones.
-_NO_WORD_BEFORE, _NO_WORD_AFTER = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 _SPACE = r"[ \t\n\x0B\f\r]"
 
 
@@ -58,28 +55,6 @@ def dedupe_key(publisher: Column, normalized_headline: Column, published_at: Col
     return F.sha2(F.concat(F.lower(publisher), F.lit("|"), normalized_headline, F.lit("|"), day), 256)
 
 
-@F.pandas_udf(T.StringType())
-def nfkd_without_marks(x: pd.Series) -> pd.Series:
-    """NFKD without combining marks."""
-
-    def one(s: str | None) -> str | None:
-        if s is None or s.isascii():
-            return s
-        return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.category(c).startswith("M"))
-
-    return x.map(one)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def nfc_tokens(x: pd.Series) -> pd.Series:
-    """Tokens without ``_`` recomposed (NFC)."""
-    return x.map(lambda ts: None if ts is None else [t if "_" in t or t.isascii() else unicodedata.normalize("NFC", t) for t in ts])
-
-
-def is_korean(x: Column) -> Column:
-    return x.rlike("[\\uAC00-\\uD7A3\\u1100-\\u11FF\\u3130-\\u318F]")
-
-
 def strip_particle(x: Column) -> Column:
     """Without the first listed particle that is a proper suffix."""
     out = x
@@ -88,72 +63,20 @@ def strip_particle(x: Column) -> Column:
     return out
 
 
-def _cut(x: Column, n: int) -> Column:
-    """Without a suffix of n and one of two like final consonants; the word itself if under two characters stay."""
-    base = F.regexp_replace(F.left(x, F.length(x) - n), r"([b-df-hj-np-tv-z])\1$", "$1")
-    return F.when(F.length(base) >= 2, base).otherwise(x)
-
-
-def stem(x: Column) -> Column:
-    """The first rule that fits."""
-    n = F.length(x)
-    less = lambda k: F.left(x, n - k)
-    return (
-        F.when((n > 7) & x.endswith("ations"), less(6))
-        .when((n > 5) & x.endswith("ings"), _cut(x, 4))
-        .when((n > 4) & x.endswith("ing"), _cut(x, 3))
-        .when((n > 4) & x.endswith("ed"), _cut(x, 2))
-        .when((n > 4) & x.endswith("es"), less(2))
-        .when((n > 3) & x.endswith("s") & ~x.endswith("ss"), less(1))
-        .otherwise(x)
-    )
-
-
-def _lookup(table: dict[str, str], x: Column) -> Column:
-    pairs = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
-    return F.try_element_at(pairs, x)
-
-
-def merge_bigrams(tokens: Column) -> Column:
-    """Listed neighbours as one token, greedily from the left."""
-    heads: dict[str, list[str]] = {}
-    for a, b in schema.BIGRAMS:
-        heads.setdefault(a, []).append(b)
-    parts = [f"({a}) ({'|'.join(sorted(bs, key=len, reverse=True))})" for a, bs in heads.items()]
-    one = "".join(f"${2 * i + 1}" for i in range(len(parts)))
-    two = "".join(f"${2 * i + 2}" for i in range(len(parts)))
-    joined = F.regexp_replace(F.array_join(tokens, " "), "(?<![^ ])(?:" + "|".join(parts) + ")(?![^ ])", f"{one}_{two}")
-    return F.filter(F.split(joined, " "), lambda t: t != "")
-
-
-def raw_tokens(x: Column) -> Column:
-    """Words of two or more UTF-16 units after normalisation and number folding, with bigrams merged."""
-    s = nfkd_without_marks(F.lower(x))
-    s = F.regexp_replace(s, r"(?<=\p{L})\.(?=\p{L})", "")
-    s = F.regexp_replace(s, "[\\u2019']s" + _NO_WORD_AFTER + r"|(?<=[sS])[’'](?=" + _SPACE + "|$)", "")
-    s = F.regexp_replace(s, r"[0-9]+(?:\.[0-9]+)?" + _SPACE + r"*(?:%|percent(?:age(?:" + _SPACE + r"+points?)?)?)", "NUM_PCT")
-    s = F.regexp_replace(s, _NO_WORD_BEFORE + "(?:19|20)[0-9]{2}" + _NO_WORD_AFTER, "NUM_YEAR")
-    s = F.regexp_replace(s, _NO_WORD_BEFORE + r"[0-9]+(?:[,.][0-9]+)*" + _NO_WORD_AFTER, "NUM")
-    s = F.regexp_replace(s, r"[^\p{L}0-9_]", " ")
-    # a letter beyond U+FFFF has two UTF-16 units
-    long_enough = lambda t: (F.length(t) >= 2) | (F.octet_length(t) == 4)
-    return merge_bigrams(F.filter(F.split(s, " +"), long_enough))
-
-
-def canonical_token(t: Column) -> Column:
-    korean = strip_particle(t)
-    stemmed = stem(t)
-    return (
-        F.when(F.contains(t, F.lit("_")), t)
-        .when(is_korean(t), F.coalesce(_lookup(schema.KOREAN_ALIAS, korean), korean))
-        .otherwise(F.coalesce(_lookup(schema.ENGLISH_ALIAS, t), _lookup(schema.POST_STEM, stemmed), stemmed))
-    )
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _tokens(x: pd.Series) -> pd.Series:
+    return tokens_of_series(x)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sql_tokenize(x: pd.Series) -> pd.Series:
+    """:func:`tokenize` for SQL."""
+    return tokens_of_series(x.str.lower())
 
 
 def tokenize(x: Column) -> Column:
     """Canonical tokens in order, with repeats; none for null or blank text."""
-    tokens = nfc_tokens(raw_tokens(x))
-    return F.when(is_blank(x), F.array().cast("array<string>")).otherwise(F.transform(tokens, canonical_token))
+    return _tokens(F.when(~is_blank(x), F.lower(x)))
 
 
 def anchor_tokens(tokens: Column) -> Column:

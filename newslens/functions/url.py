@@ -92,6 +92,12 @@ def _normalized(x: pd.Series) -> pd.Series:
     return x.map(normalize_one)
 
 
+@F.pandas_udf(T.StringType())
+def sql_normalize_url(x: pd.Series) -> pd.Series:
+    """:func:`normalize_url` for SQL."""
+    return x.map(normalize_one)
+
+
 def plain_url(x: Column) -> Column:
     """:func:`normalize_one` of an address that fits PLAIN."""
     path = F.regexp_replace(F.regexp_extract(x, r"^https?://[^/?#]*([^?#]*)", 1), "/$", "")

@@ -80,9 +80,9 @@ KOREAN_ALIAS = {
 }
 # Particles in match order.
 PARTICLES = (
-    "에서 으로 까지 부터 에게 한테 께서 이라 라는 이란 라며 이며 이고 라고 이가 이는 이를 이의 이나 라도 으로 로서 에서 에서의 이서 "
-    "은 는 이 가 을 를 의 에 로 와 과 도 만 서"
-).split()
+    "에서", "으로", "까지", "부터", "에게", "한테", "께서", "이라", "라는", "이란", "라며", "이며", "이고", "라고", "이가", "이는", "이를", "이의", "이나", "라도", "으로", "로서",
+    "에서", "에서의", "이서", "은", "는", "이", "가", "을", "를", "의", "에", "로", "와", "과", "도", "만", "서",
+)
 # Word pairs that make one token.
 BIGRAMS = (
     ("trade", "war"), ("trade", "deal"), ("trade", "deficit"), ("trade", "policy"), ("interest", "rate"), ("interest", "rates"),
@@ -91,8 +91,8 @@ BIGRAMS = (
 )
 # Tokens that anchor a story.
 ANCHORS = (
-    "netanyahu putin zelensky xi_jinping wang_yi khamenei mojtaba vance iran israel lebanon ukraine north_korea hezbollah pakistan russia "
-    "taiwan oman hungary hormuz uranium"
-).split()
+    "netanyahu", "putin", "zelensky", "xi_jinping", "wang_yi", "khamenei", "mojtaba", "vance", "iran", "israel", "lebanon", "ukraine",
+    "north_korea", "hezbollah", "pakistan", "russia", "taiwan", "oman", "hungary", "hormuz", "uranium",
+)
 # Stems put right afterwards.
 POST_STEM = {"impos": "impose"}
