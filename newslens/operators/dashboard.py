@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from .read import last_collected, newest, on_day
+from .numbering import with_running
+from .read import history_rows, last_collected, newest, on_day
 
 
 def summary(articles: DataFrame, topics: DataFrame, steps: DataFrame, runs: DataFrame, day: str) -> DataFrame:
@@ -27,6 +28,26 @@ def recent_steps(steps: DataFrame) -> DataFrame:
     return newest(steps)
 
 
+def full_summary(articles: DataFrame, topics: DataFrame, steps: DataFrame, runs: DataFrame, day: str) -> DataFrame:
+    """:func:`summary` with recent_runs, the ten newest steps of all days with their runs' counts, newest first."""
+    items = history_rows(newest(steps), runs)
+    one = F.struct("started_at", "id", *[c for c in items.columns if c not in ("started_at", "id")])
+    recent = items.agg(F.sort_array(F.collect_list(one), asc=False).alias("recent_runs"))  # ten at most
+    return summary(articles, topics, steps, runs, day).join(recent, how="cross")
+
+
+def charts(articles: DataFrame, links: DataFrame, topics: DataFrame, linked: DataFrame, steps: DataFrame, day: str) -> DataFrame:
+    """chart, place, name and n: articles by publisher and topics by country of all times, and the day's steps by status."""
+    parts = []
+    for chart, rows in (
+        ("articlesByPublisher", articles_by_publisher(articles).toDF("name", "n")), ("topicsByCountry", topics_by_country(links, topics, linked).toDF("name", "n")),
+        ("pipelineStatusCounts", status_histogram(steps, day).toDF("name", "n")),
+    ):
+        first = F.array_position(F.array(*map(F.lit, schema.RUN_STATUSES)), F.col("name")) if chart == "pipelineStatusCounts" else -F.col("n")
+        parts.append(with_running(rows, [first, F.col("name")], place=F.lit(1)).select(F.lit(chart).alias("chart"), "place", "name", "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def articles_by_publisher(articles: DataFrame) -> DataFrame:
     return articles.groupBy("publisher_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "publisher_name")
 

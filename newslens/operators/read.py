@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
+from ..functions.text import tokenize
+from .numbering import with_running
 
-class NotFound(LookupError):
-    """No row with the asked id."""
+__all__ = ["NotFound"]
 
 
 def contains_ignoring_case(x: Column, part: str) -> Column:
@@ -107,8 +109,10 @@ def last_collected(runs: DataFrame) -> DataFrame:
     return found.agg(F.max("finished_at").alias("last_collected_at"))
 
 
-def latest_run_date(runs: DataFrame) -> DataFrame:
-    return runs.agg(F.date_format(F.max("started_at"), "yyyy-MM-dd").alias("run_date"))
+def latest_run_date(runs: DataFrame, as_of: str | None = None) -> DataFrame:
+    """run_date of the newest run (null without runs) and, with ``as_of``, the day of that time as today."""
+    found = runs.agg(F.date_format(F.max("started_at"), "yyyy-MM-dd").alias("run_date"))
+    return found.withColumn("today", F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd")) if as_of else found
 
 
 def get(df: DataFrame, id_: int) -> DataFrame:
@@ -119,6 +123,65 @@ def get(df: DataFrame, id_: int) -> DataFrame:
     return row
 
 
+def get_by_name(df: DataFrame, name: str) -> DataFrame:
+    """The one row of this name, else NotFound."""
+    row = df.where(F.col("name") == name).limit(1)
+    if row.isEmpty():
+        raise NotFound(f"no row named {name}")
+    return row
+
+
+def existing(rows: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys a stored row has; null keys exist nowhere."""
+    return rows.join(stored.select(*keys), list(keys), "left_semi")
+
+
+def is_stored(rows: DataFrame, stored: DataFrame, *keys: str, name: str = "is_stored") -> DataFrame:
+    """Adds whether a stored row has the keys; null keys exist nowhere."""
+    known = stored.select(*keys).distinct().withColumn(name, F.lit(True))
+    return rows.drop(name).join(known, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def between(rows: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Rows from ``start`` to ``end``, both counting."""
+    return rows.where(F.col(at).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+
+
+def active_feeds(feeds: DataFrame) -> DataFrame:
+    return feeds.where("active")
+
+
+def count_status(rows: DataFrame, statuses: tuple[str, ...], start: str | None = None, end: str | None = None) -> DataFrame:
+    """n, the number of rows of these statuses, of all times or of those started from ``start`` to ``end``."""
+    if start and end:
+        rows = between(rows, "started_at", start, end)
+    return rows.where(F.col("status").isin(*statuses)).agg(F.count("*").alias("n"))
+
+
+def with_run(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """Steps with the counts of their run."""
+    counts = ("fetched_count", "saved_count", "clustered_count", "summarized_count")
+    return steps.join(runs.select(F.col("id").alias("pipeline_run_id"), *counts), "pipeline_run_id")
+
+
+def article_rows(articles: DataFrame, publishers: DataFrame) -> DataFrame:
+    """What a listing shows of an article: its fields with its publisher's name, country and leaning."""
+    full = with_publisher(articles, publishers)
+    return full.select("id", "headline", "url", "description", "published_at", "publisher_id", "publisher_name", "country", "political_leaning", "category", "fetched_at")
+
+
+def publisher_rows(publishers: DataFrame) -> DataFrame:
+    return publishers.select("id", "name", "country", "political_leaning", "rss_url", "created_at")
+
+
+def history_rows(steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """What a listing shows of a step: its fields with its run's counts."""
+    return with_run(steps, runs).select(
+        "id", "pipeline_run_id", "step", "status", "fetched_count", "saved_count", "clustered_count", "summarized_count", "processed_count",
+        "success_count", "failed_count", "target_type", "target_name", "error_type", "error_message", "message", "started_at", "finished_at",
+    )
+
+
 def with_publisher(articles: DataFrame, publishers: DataFrame) -> DataFrame:
     p = publishers.select(F.col("id").alias("publisher_id"), F.col("name").alias("publisher_name"), "country", "political_leaning")
     return articles.join(p, "publisher_id")
@@ -141,6 +204,12 @@ def topic_details(detailed: DataFrame) -> DataFrame:
     return detailed.groupBy("topic_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("articles"))
 
 
+def topic_tokens(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """For debugging: the articles of every topic with the tokens of their headlines alone."""
+    columns = ("topic_id", "article_id", "publisher_name", "country", "political_leaning", "headline", "normalized_headline", "description")
+    return topic_articles(links, articles).select(*columns, tokenize(F.col("headline")).alias("tokens"))
+
+
 def distribution(detailed: DataFrame, column: str) -> DataFrame:
     """topic_id and the map from the column's values to their numbers of links."""
     n = detailed.groupBy("topic_id", column).agg(F.count("*").cast("int").alias("n"))
@@ -165,4 +234,5 @@ def topics_with_links(page: DataFrame, links: DataFrame, articles: DataFrame) ->
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
     """Adds n, the row's number from 1 in this order."""
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*order)))
+    numbers = with_running(df, list(order), n=F.lit(1))
+    return numbers.withColumn("n", F.col("n") + 1)

@@ -59,8 +59,17 @@ class Fallback:
         raise failure
 
 
+def shortened(x: Column) -> Column:
+    """The first LONGEST UTF-16 units and an ellipsis if there are more; half a character at the cut is a question mark."""
+    units = F.encode(x, "UTF-16BE")
+    cut = F.substring(units, 1, 2 * LONGEST)
+    halved = F.hex(F.substring(units, 2 * LONGEST - 1, 1)).between("D8", "DB")
+    whole = F.when(halved, F.concat(F.decode(F.substring(units, 1, 2 * LONGEST - 2), "UTF-16BE"), F.lit("?"))).otherwise(F.decode(cut, "UTF-16BE"))
+    return F.when(F.octet_length(units) > 2 * LONGEST, F.concat(whole, F.lit("…"))).otherwise(x)
+
+
 def prompt_line(publisher: Column, headline: Column, description: Column) -> Column:
-    short = F.when(F.length(description) > LONGEST, F.concat(F.left(description, F.lit(LONGEST)), F.lit("…"))).otherwise(description)
+    short = shortened(description)
     return F.concat(F.lit("- ["), publisher, F.lit("] "), headline, F.when(is_blank(description), "").otherwise(F.concat(F.lit(" / "), short)), F.lit("\n"))
 
 

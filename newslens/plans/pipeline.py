@@ -94,7 +94,10 @@ class Pipeline:
             self._say(run_id, "RSS_COLLECT", "SUCCESS" if ok else "FAILED", f"{f['publisherName']} RSS 수집 {'완료' if ok else '실패'}", 10, f["publisherName"], f["errorMessage"])
         got = ingest(candidates, status, self.store.read("publisher"), self.store.read("article"), str(as_of))
         totals = {k: v for k, v in got.totals.first().asDict().items() if k != "reasons"}
-        self.store.append("article", stash(got.articles))
+        new = stash(got.articles)
+        self.store.append("article", new)
+        for key in ("normalized_url", "dedupe_key"):  # what another writer may have added meanwhile
+            self.store.check_unique("article", key, among=new)
         text = f"기사 저장 완료 (저장 {totals['saved']}건, 중복 {totals['duplicates']}건, 실패 {totals['failed']}건)"
         self._say(run_id, "ARTICLE_SAVE", "FAILED" if totals["failed"] else "SUCCESS", text, 45)
         return got, totals

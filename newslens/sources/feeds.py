@@ -7,6 +7,8 @@ import os
 import socket
 import urllib.request
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,13 @@ _ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "descr
     T.StructField("encoded", T.StringType()),
 ])
 _CHANNEL = T.StructType([T.StructField("title", T.StringType()), T.StructField("lastBuildDate", T.StringType()), T.StructField("pubDate", T.StringType()), T.StructField("item", T.ArrayType(_ITEM))])
+_TEXT = T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_type", T.StringType())])
+_LINK = T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())])
+_ENTRY = T.StructType([
+    T.StructField("title", _TEXT), T.StructField("link", T.ArrayType(_LINK)), T.StructField("id", T.StringType()), T.StructField("published", T.StringType()),
+    T.StructField("updated", T.StringType()), T.StructField("summary", _TEXT), T.StructField("content", _TEXT),
+])
+_FEED = T.StructType([T.StructField("updated", T.StringType()), T.StructField("entry", T.ArrayType(_ENTRY))])
 RFC822 = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")
 
 
@@ -48,48 +57,61 @@ def parse_date(x: Column, zone: str) -> Column:
 def read_xml_feed(spark: SparkSession, path: str, zone: str = "UTC") -> DataFrame:
     """Entries with a link: headline, url, description, rssGuid, publishedAt, and their place in the feed.
 
-    Date: published, else updated, else the channel's. Description: the description, else the content. Guid:
-    the guid, else the link.
+    RSS channels and Atom feeds. Date: published, else updated, else the channel's. Description: the description
+    (the summary), else the content. Guid: the guid (the id), else the link; an Atom entry's link is its alternate
+    one, else its first.
     """
-    channel = spark.read.format("xml").option("rowTag", "channel").option("ignoreNamespace", True).schema(_CHANNEL).load(path)
+    read = lambda tag, kinds: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).schema(kinds).load(path)
+    channel = read("channel", _CHANNEL)
     items = channel.select(F.coalesce("pubDate", "lastBuildDate").alias("channel_date"), F.posexplode("item").alias("item_pos", "item"))
-    e = items.select("item_pos", "channel_date", "item.*")
+    rss = items.select("item_pos", "channel_date", "item.*").select(
+        "item_pos", "title", "link", "description", F.coalesce("encoded", "content").alias("content"), F.col("guid._VALUE").alias("guid"),
+        F.coalesce("pubDate", "updated", "channel_date").alias("date"),
+    )
+    entries = read("feed", _FEED).select(F.col("updated").alias("channel_date"), F.posexplode("entry").alias("item_pos", "item"))
+    alternate = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    atom = entries.select("item_pos", "channel_date", "item.*").select(
+        "item_pos", F.col("title._VALUE").alias("title"), F.coalesce(F.get(alternate, F.lit(0)), F.get("link", F.lit(0)))["_href"].alias("link"),
+        F.col("summary._VALUE").alias("description"), F.col("content._VALUE").alias("content"), F.col("id").alias("guid"),
+        F.coalesce("published", "updated", "channel_date").alias("date"),
+    )
+    e = rss.unionByName(atom)
     return e.where(~is_blank(F.col("link"))).select(
         "item_pos", F.trim("title").alias("headline"), F.trim("link").alias("url"),
-        F.when(~is_blank(F.col("description")), F.col("description")).otherwise(F.coalesce("encoded", "content")).alias("description"),
-        F.coalesce(F.col("guid._VALUE"), F.trim("link")).alias("rssGuid"),
-        parse_date(F.coalesce("pubDate", "updated", "channel_date"), zone).alias("publishedAt"),
+        F.when(~is_blank(F.col("description")), F.col("description")).otherwise(F.col("content")).alias("description"),
+        F.coalesce("guid", F.trim("link")).alias("rssGuid"), parse_date(F.col("date"), zone).alias("publishedAt"),
     )
 
 
+# Words of an error's text and its class, in the order in which they are looked for.
+CAUSE_RULES = (("RSS_FORBIDDEN", ("403", "forbidden")), ("RSS_PARSE_ERROR", ("parse", "xml")))
+MESSAGE_RULES = (("RSS_TIMEOUT", ("timeout", "timed out")), *CAUSE_RULES)
+
+
 def error_class(cause: Column, message: Column, timeout: Column | None = None) -> Column:
     """Class of a collection error: the cause's type and text first, then the message's."""
-    c, m = F.lower(F.coalesce(cause, F.lit(""))), F.lower(F.coalesce(message, F.lit("")))
-    has = lambda x, *parts: F.lit(False) if not parts else F.contains(x, F.lit(parts[0])) | has(x, *parts[1:])
-    return (
-        F.when(F.coalesce(timeout, F.lit(False)) if timeout is not None else F.lit(False), "RSS_TIMEOUT")
-        .when(has(c, "403", "forbidden"), "RSS_FORBIDDEN").when(has(c, "parse", "xml"), "RSS_PARSE_ERROR")
-        .when(has(m, "timeout", "timed out"), "RSS_TIMEOUT").when(has(m, "403", "forbidden"), "RSS_FORBIDDEN")
-        .when(has(m, "parse", "xml"), "RSS_PARSE_ERROR").otherwise("RSS_FEED_ERROR")
-    )
+    out = F.when(F.lit(False) if timeout is None else F.coalesce(timeout, F.lit(False)), "RSS_TIMEOUT")
+    for text, rules in ((cause, CAUSE_RULES), (message, MESSAGE_RULES)):
+        said = F.lower(F.coalesce(text, F.lit("")))
+        for name, words in rules:
+            out = out.when(reduce(or_, (F.contains(said, F.lit(w)) for w in words)), name)
+    return out.otherwise("RSS_FEED_ERROR")
+
+
+def _class_of(text: str, rules: tuple) -> str | None:
+    return next((name for name, words in rules if any(w in text.lower() for w in words)), None)
 
 
 def classify(error: Exception) -> str:
     """:func:`error_class` of a Python exception and its chain of causes."""
-    cause, text = error.__cause__, str(error).lower()
+    cause = error.__cause__
     while cause is not None:
-        said = str(cause).lower()
         if isinstance(cause, (socket.timeout, TimeoutError)):
             return "RSS_TIMEOUT"
-        if "403" in said or "forbidden" in said:
-            return "RSS_FORBIDDEN"
-        if "parse" in said or "xml" in said:
-            return "RSS_PARSE_ERROR"
+        if found := _class_of(str(cause), CAUSE_RULES):
+            return found
         cause = cause.__cause__
-    for words, name in ((("timeout", "timed out"), "RSS_TIMEOUT"), (("403", "forbidden"), "RSS_FORBIDDEN"), (("parse", "xml"), "RSS_PARSE_ERROR")):
-        if any(w in text for w in words):
-            return name
-    return "RSS_FEED_ERROR"
+    return _class_of(str(error), MESSAGE_RULES) or "RSS_FEED_ERROR"
 
 
 def fixture_fetcher(folder: str) -> Callable[[SparkSession, str, str], DataFrame]:
@@ -109,6 +131,11 @@ def network_fetcher(folder: str, timeout: float = 10.0) -> Callable[[SparkSessio
     return fetch
 
 
+def feed_fetcher(folder: str, use_fixture: bool) -> Callable[[SparkSession, str, str], DataFrame]:
+    """The switch between the fixtures in ``folder`` and the network, which downloads into it."""
+    return fixture_fetcher(folder) if use_fixture else network_fetcher(folder)
+
+
 def collect(spark: SparkSession, fetch: Callable[[SparkSession, str, str], DataFrame], codes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates with pos, feed status). A feed that fails gives a status row and the others go on."""
     found, status = [], []
@@ -197,3 +224,15 @@ def write_json_array(candidates: DataFrame, folder: str, name: str) -> dict[str,
             counts[r["publisherCode"]] = counts.get(r["publisherCode"], 0) + 1
         f.write("\n]\n")
     return counts
+
+
+def export_snapshot(spark: SparkSession, fetch: Callable[[SparkSession, str, str], DataFrame], folder: str, day: str, codes: list[str] | None = None) -> dict:
+    """Collects the feeds and writes their articles to ``folder/day.json``: date, path, total and each feed's outcome."""
+    candidates, status = collect(spark, fetch, codes)
+    counts = write_json_array(candidates, folder, day)
+    feeds = [
+        {"feedSourceCode": f["publisherCode"], "publisherName": f["publisherName"], "success": f["success"],
+         "count": counts.get(f["publisherCode"], 0) if f["success"] else 0, "errorMessage": f["errorMessage"]}
+        for f in status.collect()  # a row for each feed
+    ]
+    return {"date": day, "path": f"{folder}/{day}.json", "total": sum(counts.values()), "feeds": feeds}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +11,15 @@ _stashed: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where that is unset, a local folder (tests)."""
+    """``spark.checkpoint.dir`` of the session. Only where that is unset and one machine does all the work, a local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = of_context.get() if of_context.isDefined() else "/tmp/checkpoints"
+        named = of_context.get() if of_context.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "/tmp/checkpoints"
     return named.rstrip("/")
 
 
@@ -41,12 +44,6 @@ def drop(df: DataFrame) -> None:
             _stashed.remove((spark, path))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators.read import NotFound
-
-
-class Conflict(RuntimeError):
-    """A row is still referred to."""
+from ..errors import Conflict, NotFound
 
+__all__ = ["Conflict", "NotFound", "Store", "seed"]
+#: Tables in which later rows of an id replace earlier ones.
+LOGGED = ("pipeline_run",)
+#: Versions of a table that are kept when it is replaced.
+KEPT_VERSIONS = 2
 
 #: Tables and columns that refer to a table.
 REFERENCES = {"publisher": (("article", "publisher_id"), ("publisher_feed", "publisher_id")), "article": (("topic_article", "article_id"),), "topic": (("topic_article", "topic_id"),)}
 
 
 class Store:
-    """Tables under ``path``. Appends are one write each; a table is replaced through a new version folder, and
-    the newest whole version counts, so that a broken write leaves the old one in place."""
+    """Tables under ``path``. A table's version is a folder of parts; each append is a part, written at once, and
+    counts when it is whole. Replacing a table writes a new version, so that a broken write leaves the old one in
+    place; older versions than the last KEPT_VERSIONS are removed."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -29,33 +31,55 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _versions(self, name: str) -> list[int]:
+    def _numbers(self, folder: str, letter: str) -> list[int]:
         fs, path = self._fs()
-        root = path(f"{self.path}/{name}")
-        if not fs.exists(root):
+        if not fs.exists(path(folder)):
             return []
-        found = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(v[1:]) for v in found if v[:1] == "v" and fs.exists(path(f"{self.path}/{name}/{v}/_SUCCESS")))
+        found = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+        return sorted(int(v[1:]) for v in found if v[:1] == letter and v[1:].isdigit())
+
+    def _parts(self, name: str, version: int) -> list[int]:
+        """The whole parts of a version."""
+        fs, path = self._fs()
+        folder = f"{self.path}/{name}/v{version}"
+        return [n for n in self._numbers(folder, "p") if fs.exists(path(f"{folder}/p{n}/_SUCCESS"))]
+
+    def _version(self, name: str) -> int:
+        """The newest version whose first part is whole; 0 without any."""
+        return next((v for v in reversed(self._numbers(f"{self.path}/{name}", "v")) if 0 in self._parts(name, v)), 0)
+
+    def _write(self, name: str, version: int, part: int, rows: DataFrame) -> None:
+        fields = schema.TABLES[name].fields
+        rows.select([F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}/p{part}")
 
     def read(self, name: str) -> DataFrame:
-        kinds = schema.TABLES[name]
-        versions = self._versions(name)
-        if not versions:
+        kinds, version = schema.TABLES[name], self._version(name)
+        parts = self._parts(name, version)
+        if not parts:
             return self.spark.createDataFrame([], kinds)
-        return self.spark.read.schema(kinds).parquet(f"{self.path}/{name}/v{versions[-1]}")
+        rows = self.spark.read.schema(kinds).parquet(*[f"{self.path}/{name}/v{version}/p{n}" for n in parts])
+        if name not in LOGGED:
+            return rows
+        part = F.regexp_extract(F.col("_metadata.file_path"), "/p([0-9]+)/[^/]*$", 1).cast("int")
+        numbered = rows.select(part.alias("part"), F.struct(*kinds.fieldNames()).alias("row"))
+        return numbered.groupBy("row.id").agg(F.max_by("row", "part").alias("row")).select("row.*")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        kinds = schema.TABLES[name]
-        version = (self._versions(name) or [0])[-1]
-        rows.select([F.col(f.name).cast(f.dataType) for f in kinds.fields]).write.mode("append").parquet(f"{self.path}/{name}/v{version}")
+        version = self._version(name)
+        self._write(name, version, 1 + max(self._numbers(f"{self.path}/{name}/v{version}", "p"), default=-1), rows)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        kinds = schema.TABLES[name]
-        version = (self._versions(name) or [0])[-1] + 1
-        rows.select([F.col(f.name).cast(f.dataType) for f in kinds.fields]).write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
+        versions = self._numbers(f"{self.path}/{name}", "v")
+        self._write(name, 1 + max(versions, default=0), 0, rows)
+        fs, path = self._fs()
+        for old in versions[: 1 - KEPT_VERSIONS or None]:
+            fs.delete(path(f"{self.path}/{name}/v{old}"), True)
 
     def update_latest(self, name: str, rows: DataFrame) -> None:
-        """Rows of the same id replace the stored ones."""
+        """Rows of the same id replace the stored ones: an append where later rows count, else a new version."""
+        if name in LOGGED:
+            self.append(name, rows)
+            return
         old = self.read(name)
         self.replace(name, old.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(old.columns)))
 
@@ -69,9 +93,12 @@ class Store:
                 raise Conflict(f"{name} {id_} is used by {child}")
         self.replace(name, rows.where(F.col("id") != id_))
 
-    def check_unique(self, name: str, *columns: str) -> None:
-        twice = self.read(name).groupBy(*columns).count().where("count > 1").limit(1)
-        if not twice.isEmpty():
+    def check_unique(self, name: str, *columns: str, among: DataFrame | None = None) -> None:
+        """Conflict if two rows have the same columns; with ``among`` only of rows that have those of one of them."""
+        rows = self.read(name).select(*columns)
+        if among is not None:
+            rows = rows.join(among.select(*columns).distinct(), list(columns), "left_semi")
+        if not rows.groupBy(*columns).count().where("count > 1").limit(1).isEmpty():
             raise Conflict(f"{name} has {columns} twice")
 
 
@@ -86,5 +113,3 @@ def seed(store: Store, as_of: str) -> None:
     names = store.read("publisher").select(F.col("id").alias("publisher_id"), F.col("name").alias("publisherName"))
     f = dim.join(names, "publisherName").select(F.xxhash64("publisher_id", "category").alias("id"), "publisher_id", F.col("category").alias("article_category"), F.col("feed_url").alias("rss_url"), F.lit(True).alias("active"))
     store.append("publisher_feed", f.join(store.read("publisher_feed").select("publisher_id", "article_category"), ["publisher_id", "article_category"], "left_anti"))
-
-
