@@ -8,15 +8,18 @@ steps by events.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import text
 from .functions.url import normalize_url
 from .operators import cluster as C
 from .operators import dashboard, dedupe, ingest, lineage, read, summarize, vector
 from .operators.graph import connected_components
+from .sources import feeds
 from .sources.feeds import error_class
 from .sources.shared import stash
 
@@ -25,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 # SQL of the stand-ins
-_ARTICLES = """a AS (SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 60) AS headline, text AS description, source AS publisher_name, lang AS country,
+_ARTICLES = """a AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS headline, text AS description, source AS publisher_name, lang AS country,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS published_at FROM documents)"""
 _STATUS = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'RUNNING' WHEN 'purchase' THEN 'PARTIAL_FAILED' ELSE 'SUCCESS' END"
 _STEPS = f"s AS (SELECT event_id AS id, ts AS started_at, {_STATUS} AS status, CASE WHEN event_type = 'error' THEN NULL ELSE ts + INTERVAL 5 MINUTE END AS finished_at FROM events)"
@@ -42,7 +45,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def articles(spark: SparkSession, d: str) -> DataFrame:
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.pmod("doc_id", F.lit(720)).cast("int"))
     return _table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.left(F.split("text", "\n")[0], F.lit(60)).alias("headline"), F.col("text").alias("description"),
+        F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("headline"), F.col("text").alias("description"),
         F.col("source").alias("publisher_name"), F.col("lang").alias("country"), at.alias("published_at"),
     )
 
@@ -132,9 +135,9 @@ def _(spark, d):
     return read.last_collected(steps(spark, d))
 
 
-@_query("latest_run", "SELECT strftime(max(ts), '%Y-%m-%d') AS run_date FROM events")
+@_query("latest_run", f"SELECT strftime(max(ts), '%Y-%m-%d') AS run_date, '{DAY}' AS today FROM events")
 def _(spark, d):
-    return read.latest_run_date(steps(spark, d))
+    return read.latest_run_date(steps(spark, d), DAY)
 
 
 @_query("point_lookup", "SELECT o_orderkey AS id, o_orderpriority AS title FROM orders WHERE o_orderkey = 1")
@@ -151,10 +154,12 @@ def _(spark, d):
     return read.with_publisher(a, publishers).select("id", "publisher_name", F.col("own_country").alias("country"), "publisher_id")
 
 
-@_query("candidates_anti", f"WITH {_TOPICS}, {_LINKED} SELECT article_id AS id FROM p WHERE NOT EXISTS (SELECT 1 FROM l JOIN t ON t.id = l.topic_id WHERE l.article_id = p.article_id AND t.status = 'ACTIVE' AND l.linked_at >= TIMESTAMP '2001-06-01')")
+@_query("candidates_anti", """SELECT doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""")
 def _(spark, d):
-    recent = links(spark, d).where(F.col("linked_at") >= F.lit("2001-06-01").cast("timestamp_ntz"))
-    return read.unlinked(linked_articles(spark, d), recent, topics(spark, d)).select("id")
+    labels = _table(spark, d, "labels")
+    linked = labels.select(F.col("quality").alias("topic_id"), F.col("doc_id").alias("article_id"))
+    kinds = labels.select(F.col("quality").alias("id")).distinct().withColumn("status", F.when(F.col("id") == 1, "ACTIVE").otherwise("ARCHIVED"))
+    return read.unlinked(articles(spark, d), linked, kinds).select("id")
 
 
 @_query("topic_links_detail", f"WITH {_LINKED} SELECT topic_id, article_id, headline, publisher_name, linked_at FROM l JOIN p USING (article_id)")
@@ -181,14 +186,47 @@ def _(spark, d):
 @_query("exists_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def _(spark, d):
     seen = _table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, d, "customer").join(seen, "c_custkey", "left_semi").select("c_custkey")
+    return read.existing(_table(spark, d, "customer"), seen, "c_custkey").select("c_custkey")
+
+
+@_query("exists_pairs", f"""WITH {_TOPICS}, {_LINKED} SELECT link_id, EXISTS (SELECT 1 FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = l.topic_id AND c_nationkey = l.article_id % 25) AS is_stored FROM l""")
+def _(spark, d):
+    stored = _table(spark, d, "orders").join(_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    pairs = links(spark, d).withColumn("c_nationkey", (F.col("article_id") % 25).cast(stored.schema["c_nationkey"].dataType))
+    return read.is_stored(pairs, stored.withColumnRenamed("o_orderkey", "topic_id"), "topic_id", "c_nationkey").select("link_id", "is_stored")
+
+
+@_query("lookup_by_name", "SELECT r_regionkey AS id, r_name AS name FROM region WHERE r_name = 'ASIA'")
+def _(spark, d):
+    return read.get_by_name(_table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), "ASIA")
+
+
+@_query("history_rows", f"""WITH {_STEPS}, x AS (SELECT s.*, user_id FROM s JOIN events ON event_id = id), r AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT id, x.user_id AS pipeline_run_id, status, n AS fetched_count, started_at FROM x JOIN r ON r.user_id = x.user_id""")
+def _(spark, d):
+    e = _table(spark, d, "events")
+    none = [F.lit(None).cast("int").alias(c) for c in ("saved_count", "clustered_count", "summarized_count")]
+    runs = e.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("fetched_count")).select("id", "fetched_count", *none)
+    rows = steps(spark, d).join(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("pipeline_run_id")), "id")
+    texts = {c: F.lit(None).cast("string") for c in ("step", "target_type", "target_name", "error_type", "error_message", "message")}
+    counts = {c: F.lit(0) for c in ("processed_count", "success_count", "failed_count")}
+    return read.history_rows(rows.withColumns(texts | counts), runs).select("id", "pipeline_run_id", "status", "fetched_count", "started_at")
+
+
+@_query("status_count", f"WITH {_STEPS} SELECT count(*) AS n FROM s WHERE status IN ('FAILED') AND started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 7 DAY")
+def _(spark, d):
+    return read.count_status(steps(spark, d), ("FAILED",), DAY, "2024-01-22")
 
 
 @_query("resolve_publisher", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 'FAILED' ELSE 'FOUND' END AS outcome FROM documents")
 def _(spark, d):
-    docs = _table(spark, d, "documents").select("doc_id", "source")
-    known = docs.where("source NOT IN ('src1', 'src2')").select("source").distinct().withColumn("id", F.lit(1))
-    return docs.join(known, "source", "left").select("doc_id", F.when(F.col("id").isNull(), "FAILED").otherwise("FOUND").alias("outcome"))
+    a = articles(spark, d)
+    publishers = a.where("publisher_name NOT IN ('src1', 'src2')").select(F.xxhash64("publisher_name").alias("id"), F.col("publisher_name").alias("name")).distinct()
+    candidates = a.select(
+        F.col("id").alias("pos"), F.col("country").alias("publisherCode"), F.col("publisher_name").alias("publisherName"), "headline", "description",
+        F.concat(F.lit("https://x/"), "id").alias("url"), F.col("published_at").alias("publishedAt"), F.lit("WORLD").alias("category"), F.lit(None).cast("string").alias("rssGuid"))
+    got = ingest.normalize(candidates, publishers)
+    return got.select(F.col("pos").alias("doc_id"), F.when(F.col("publisher_id").isNull(), "FAILED").otherwise("FOUND").alias("outcome"))
 
 
 @_query("dashboard_summary", f"""WITH {_ARTICLES}, {_TOPICS}, {_STEPS}, k AS (SELECT * FROM s ORDER BY started_at DESC, id DESC LIMIT 10)
@@ -203,6 +241,30 @@ def _(spark, d):
     return dashboard.summary(a, topics(spark, d), steps(spark, d), steps(spark, d), DAY)
 
 
+@_query("recent_runs", f"""WITH {_STEPS}, k AS (SELECT * FROM s ORDER BY started_at DESC, id DESC LIMIT 10), r AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT k.id AS id, k.status AS status, n AS fetched_count FROM k JOIN events ON event_id = k.id JOIN r USING (user_id)""")
+def _(spark, d):
+    e = _table(spark, d, "events")
+    zero = {c: F.lit(0) for c in ("saved_count", "clustered_count", "summarized_count", "processed_count", "success_count", "failed_count")}
+    texts = {c: F.lit(None).cast("string") for c in ("step", "target_type", "target_name", "error_type", "error_message", "message")}
+    runs = e.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("fetched_count")).withColumns(zero)
+    runs = runs.crossJoin(steps(spark, d).agg(F.max("started_at").alias("started_at"), F.max("finished_at").alias("finished_at")))  # one row
+    rows = steps(spark, d).join(e.select(F.col("event_id").alias("id"), F.col("user_id").alias("pipeline_run_id")), "id").withColumns(texts | zero)
+    rows = rows.drop("saved_count", "clustered_count", "summarized_count")
+    a = articles(spark, d).withColumn("fetched_at", F.col("published_at"))
+    full = dashboard.full_summary(a, topics(spark, d), rows, runs, DAY)
+    return full.select(F.explode("recent_runs").alias("x")).select("x.id", "x.status", "x.fetched_count")
+
+
+@_query("charts", f"""WITH {_ARTICLES}, {_LINKED}, {_STEPS}, k AS (SELECT unnest(['RUNNING', 'SUCCESS', 'PARTIAL_FAILED', 'FAILED']) AS status, unnest([0, 1, 2, 3]) AS place),
+x AS (SELECT 'articlesByPublisher' AS chart, publisher_name AS name, count(*) AS n FROM a GROUP BY name UNION ALL
+  SELECT 'topicsByCountry', country, count(DISTINCT topic_id) FROM l JOIN p USING (article_id) GROUP BY country)
+SELECT chart, row_number() OVER (PARTITION BY chart ORDER BY n DESC, name) - 1 AS place, name, n FROM x UNION ALL
+SELECT 'pipelineStatusCounts', place, k.status, count(s.id) FROM k LEFT JOIN s ON s.status = k.status AND s.started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY GROUP BY place, k.status""")
+def _(spark, d):
+    return dashboard.charts(articles(spark, d), links(spark, d), topics(spark, d), linked_articles(spark, d), steps(spark, d), DAY)
+
+
 @_query("status_histogram", f"""WITH {_STEPS}, k AS (SELECT unnest(['RUNNING', 'SUCCESS', 'PARTIAL_FAILED', 'FAILED']) AS status)
 SELECT k.status AS status, count(s.id) AS n FROM k LEFT JOIN s ON s.status = k.status AND s.started_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY GROUP BY k.status""")
 def _(spark, d):
@@ -220,34 +282,52 @@ def _(spark, d):
     return read.first_headlines(read.topic_articles(links(spark, d), linked_articles(spark, d)))
 
 
-@_query("cluster_having", f"WITH {_LINKED} SELECT topic_id, count(*) AS article_count, count(DISTINCT publisher_name) AS publisher_count FROM l JOIN p USING (article_id) GROUP BY topic_id HAVING count(DISTINCT publisher_name) >= 2")
-def _(spark, d):
+def _members(spark, d):
+    """Links as members of groups: root (topic), publisher_id, published_at and fetched_at."""
     x = read.topic_articles(links(spark, d), linked_articles(spark, d))
-    return x.groupBy("topic_id").agg(F.count("*").alias("article_count"), F.countDistinct("publisher_name").alias("publisher_count")).where("publisher_count >= 2")
+    return x.select(F.col("topic_id").alias("root"), F.col("publisher_name").alias("publisher_id"), F.col("linked_at").alias("published_at"), F.col("linked_at").alias("fetched_at"))
+
+
+@_query("cluster_having", f"""WITH {_LINKED} SELECT topic_id, CAST(count(*) AS INTEGER) AS article_count, CAST(count(DISTINCT publisher_name) AS INTEGER) AS publisher_count
+FROM l JOIN p USING (article_id) GROUP BY topic_id HAVING count(DISTINCT publisher_name) >= 2""")
+def _(spark, d):
+    return C.valid_groups(_members(spark, d), 2).select(F.col("root").alias("topic_id"), "article_count", "publisher_count")
 
 
-@_query("topic_start_date", f"WITH {_LINKED} SELECT topic_id, strftime(min(linked_at), '%Y-%m-%d') AS start_date FROM l GROUP BY topic_id")
+@_query("topic_start_date", f"WITH {_LINKED} SELECT topic_id, strftime(min(linked_at), '%Y-%m-%d') AS start_date FROM l JOIN p USING (article_id) GROUP BY topic_id")
 def _(spark, d):
-    return links(spark, d).groupBy("topic_id").agg(F.date_format(F.min(F.to_date("linked_at")), "yyyy-MM-dd").alias("start_date"))
+    return C.valid_groups(_members(spark, d), 1).select(F.col("root").alias("topic_id"), F.date_format("start_date", "yyyy-MM-dd").alias("start_date"))
 
 
-_COUNTERS = """SELECT user_id % 7 AS feed, count(*) AS fetched, count(*) FILTER (event_type = 'purchase') AS saved, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY feed"""
+_COUNTERS = """SELECT CAST(user_id % 7 AS VARCHAR) AS feed, count(*) AS fetched, count(*) FILTER (event_type = 'purchase') AS saved,
+ count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS duplicates, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY feed"""
 
 
-def _feed_counts(spark, d):
+def _outcomes(spark, d):
+    """Events as outcomes of candidates of seven feeds, and the feeds, of which one failed."""
     e = _table(spark, d, "events")
-    return e.groupBy((F.col("user_id") % 7).alias("feed")).agg(F.count("*").alias("fetched"), F.count_if(F.col("event_type") == "purchase").alias("saved"), F.count_if(F.col("event_type") == "error").alias("failed"))
+    kind = F.col("event_type")
+    outcomes = e.select(
+        F.col("event_id").alias("pos"), (F.col("user_id") % 7).cast("string").alias("publisherCode"),
+        F.when(~kind.isin("purchase", "error"), "NORMALIZED_URL").alias("reason"), F.when(kind == "error", "SAVE_FAILED").alias("failure"))
+    code = F.col("publisherCode")
+    wrong = F.when(code == "3", "RSS_TIMEOUT")
+    status = outcomes.select("publisherCode").distinct().select(code, F.concat(F.lit("feed "), code).alias("publisherName"), (code != "3").alias("success"), wrong.alias("errorType"), wrong.alias("errorMessage"))
+    return outcomes, status
 
 
 @_query("ingest_counters", f"WITH c AS ({_COUNTERS}) SELECT *, CASE WHEN failed > 0 AND saved > 0 THEN 'PARTIAL_FAILED' WHEN failed > 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status FROM c")
 def _(spark, d):
-    return _feed_counts(spark, d).withColumn("status", ingest.status_of(F.col("saved"), F.col("failed")))
+    got = ingest.feed_counters(*_outcomes(spark, d)).withColumn("status", ingest.status_of(F.col("saved"), F.col("failed")))
+    return got.select(F.col("publisherCode").alias("feed"), "fetched", "saved", "duplicates", "failed", "status")
 
 
-@_query("merge_batches", f"WITH c AS ({_COUNTERS}), u AS (SELECT * FROM c UNION ALL SELECT * FROM c) SELECT CAST(sum(fetched) AS BIGINT) AS fetched, CAST(sum(saved) AS BIGINT) AS saved, CAST(0 AS BIGINT) AS duplicates, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(failed) AS BIGINT) AS save_failed FROM u")
+@_query("merge_batches", f"""WITH c AS ({_COUNTERS}) SELECT CAST(2 * sum(fetched) AS BIGINT) AS fetched, CAST(2 * sum(saved) AS BIGINT) AS saved, CAST(2 * sum(duplicates) AS BIGINT) AS duplicates,
+CAST(2 * (sum(failed) + 1) AS BIGINT) AS failed, CAST(2 * sum(failed) FILTER (feed <> '3') AS BIGINT) AS save_failed FROM c""")
 def _(spark, d):
-    c = _feed_counts(spark, d).withColumns({"duplicates": F.lit(0).cast("long"), "save_failed": F.col("failed")})
-    return ingest.merge_totals([c, c])
+    outcomes, status = _outcomes(spark, d)
+    totals = ingest.total_counters(ingest.feed_counters(outcomes, status), outcomes)
+    return ingest.merge_totals([totals.drop("reasons")] * 2)
 
 
 @_query("validate_required", """SELECT page_id, CASE WHEN trim(coalesce(html, '')) = '' THEN 'headline' WHEN trim(coalesce(url, '')) = '' THEN 'url' END AS missing,
@@ -283,70 +363,52 @@ def _(spark, d):
     return _table(spark, d, "pages").select("page_id", normalize_url(F.col("url")).alias("normalized_url"))
 
 
-@_query("dedupe_key", f"WITH {_ARTICLES} SELECT id, sha256(lower(publisher_name) || '|' || {_HEAD.format('headline')} || '|' || strftime(published_at, '%Y-%m-%d')) AS dedupe_key FROM a")
-def _(spark, d):
-    return articles(spark, d).select("id", text.dedupe_key(F.col("publisher_name"), text.normalize_headline(F.col("headline")), F.col("published_at")).alias("dedupe_key"))
+_KEY = f"sha256(lower(publisher_name) || '|' || {_HEAD.format('headline')} || '|' || strftime(published_at, '%Y-%m-%d'))"
+_ROWS = f"r AS (SELECT id AS pos, publisher_name AS p, headline AS g, md5(description) AS u, {_KEY} AS k FROM a)"
 
 
 def _dedupe_rows(spark, d):
-    docs = _table(spark, d, "documents")
-    return docs.select(
-        F.col("doc_id").alias("pos"), F.substring("source", 4, 9).cast("long").alias("publisher_id"), F.left("text", F.lit(12)).alias("rss_guid"),
-        F.concat(F.lit("https://x/"), F.md5("text")).alias("normalized_url"), F.sha2(F.concat("lang", F.left("text", F.lit(24))), 256).alias("dedupe_key"))
-
-
-_ROWS = "r AS (SELECT doc_id AS pos, source AS publisher_id, substr(text, 1, 12) AS rss_guid, md5(text) AS u, lang || substr(text, 1, 24) AS k FROM documents)"
-
-
-@_query("dedupe_priority_store", f"""WITH {_ROWS}, s AS (SELECT * FROM r WHERE pos % 2 = 0)
-SELECT pos, CASE WHEN trim(rss_guid) <> '' AND EXISTS (SELECT 1 FROM s WHERE s.publisher_id = r.publisher_id AND s.rss_guid = r.rss_guid) THEN 'RSS_GUID'
- WHEN EXISTS (SELECT 1 FROM s WHERE s.u = r.u) THEN 'NORMALIZED_URL' WHEN EXISTS (SELECT 1 FROM s WHERE s.k = r.k) THEN 'DEDUPE_KEY' END AS reason FROM r WHERE pos % 2 = 1""")
-def _(spark, d):
-    rows = _dedupe_rows(spark, d)
-    return dedupe.store_hits(rows.where("pos % 2 = 1"), rows.where("pos % 2 = 0")).select("pos", "reason")
-
-
-@_query("dedupe_sequential")
-def _(spark, d):
-    return dedupe.dedupe(_dedupe_rows(spark, d)).select("pos", "reason")
-
-
-# the same over whole first lines, whole texts and all documents
-_WHOLE = _ARTICLES.replace("substr(string_split(text, chr(10))[1], 1, 60)", "string_split(text, chr(10))[1]")
-_WHOLE_KEY = f"sha256(lower(publisher_name) || '|' || {_HEAD.format('headline')} || '|' || strftime(published_at, '%Y-%m-%d'))"
-
-
-def whole_articles(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).withColumn("headline", F.split("description", "\n")[0])
-
-
-def _whole_rows(spark, d):
+    """Documents as rows that arrive in the order of their ids: guid is the first line, address the text's digest."""
     key = text.dedupe_key(F.col("publisher_name"), text.normalize_headline(F.col("headline")), F.col("published_at"))
-    return whole_articles(spark, d).select(
+    return articles(spark, d).select(
         F.col("id").alias("pos"), F.col("publisher_name").alias("publisher_id"), F.col("headline").alias("rss_guid"),
         F.concat(F.lit("https://x/"), F.md5("description")).alias("normalized_url"), key.alias("dedupe_key"))
 
 
-@_query("articles_search_whole", f"WITH {_WHOLE} SELECT id, headline, publisher_name FROM a WHERE contains(upper(headline), upper('The'))")
+@_query("dedupe_key", f"WITH {_ARTICLES} SELECT id, {_KEY} AS dedupe_key FROM a")
 def _(spark, d):
-    return read.list_articles(whole_articles(spark, d), headline="The").select("id", "headline", "publisher_name")
+    return _dedupe_rows(spark, d).select(F.col("pos").alias("id"), "dedupe_key")
 
 
-@_query("dedupe_key_whole", f"WITH {_WHOLE} SELECT id, {_WHOLE_KEY} AS dedupe_key FROM a")
+@_query("dedupe_priority_store", f"""WITH {_ARTICLES}, {_ROWS}, s AS (SELECT * FROM r WHERE pos IN (SELECT doc_id FROM labels))
+SELECT pos, CASE WHEN trim(g) <> '' AND EXISTS (SELECT 1 FROM s WHERE s.p = r.p AND s.g = r.g) THEN 'RSS_GUID'
+ WHEN EXISTS (SELECT 1 FROM s WHERE s.u = r.u) THEN 'NORMALIZED_URL' WHEN EXISTS (SELECT 1 FROM s WHERE s.k = r.k) THEN 'DEDUPE_KEY' END AS reason FROM r""")
 def _(spark, d):
-    return _whole_rows(spark, d).select(F.col("pos").alias("id"), "dedupe_key")
+    rows = _dedupe_rows(spark, d)  # every document against the store of those that labels names
+    store = rows.join(_table(spark, d, "labels").select(F.col("doc_id").alias("pos")), "pos", "left_semi")
+    return dedupe.store_hits(rows, store).select("pos", "reason")
 
 
-@_query("dedupe_priority_store_whole", f"""WITH {_WHOLE}, r AS (SELECT id AS pos, publisher_name AS p, headline AS g, md5(description) AS u, {_WHOLE_KEY} AS k FROM a),
+@_query("dedupe_earlier", f"""WITH {_ARTICLES}, {_ROWS},
 f AS (SELECT *, min(pos) OVER (PARTITION BY p, g) AS g0, min(pos) OVER (PARTITION BY u) AS u0, min(pos) OVER (PARTITION BY k) AS k0 FROM r)
 SELECT pos, CASE WHEN trim(g) <> '' AND g0 < pos THEN 'RSS_GUID' WHEN u0 < pos THEN 'NORMALIZED_URL' WHEN k0 < pos THEN 'DEDUPE_KEY' END AS reason FROM f""")
 def _(spark, d):
-    return dedupe.earlier_hits(_whole_rows(spark, d)).select("pos", "reason")
+    return dedupe.earlier_hits(_dedupe_rows(spark, d)).select("pos", "reason")
 
 
-@_query("dedupe_sequential_whole")
+@_query("dedupe_sequential", f"""WITH RECURSIVE {_ARTICLES}, {_ROWS},
+o AS (SELECT row_number() OVER (ORDER BY pos) AS rn, pos, CASE WHEN trim(g) <> '' THEN dense_rank() OVER (ORDER BY p, g) END AS g,
+  dense_rank() OVER (ORDER BY u) AS u, dense_rank() OVER (ORDER BY k) AS k FROM r),
+z(rn, pos, reason, gs, us, ks) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT rn, pos, reason, CASE WHEN reason IS NULL AND g IS NOT NULL THEN list_append(gs, g) ELSE gs END,
+    CASE WHEN reason IS NULL THEN list_append(us, u) ELSE us END, CASE WHEN reason IS NULL THEN list_append(ks, k) ELSE ks END
+  FROM (SELECT o.*, gs, us, ks, CASE WHEN o.g IS NOT NULL AND list_contains(gs, o.g) THEN 'RSS_GUID' WHEN list_contains(us, u) THEN 'NORMALIZED_URL'
+    WHEN list_contains(ks, k) THEN 'DEDUPE_KEY' END AS reason FROM z JOIN o ON o.rn = z.rn + 1))
+SELECT pos, reason FROM z WHERE rn > 0""")
 def _(spark, d):
-    return dedupe.dedupe(_whole_rows(spark, d)).select("pos", "reason")
+    return dedupe.dedupe(_dedupe_rows(spark, d)).select("pos", "reason")
 
 
 @_query("tokenize")
@@ -391,16 +453,56 @@ def _(spark, d):
     return C.similarity_edges(_tokens(spark, d, "benchmark", "item_id"), 0.3, 0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@_query("cosine_sparse", f"""WITH {_TFIDF.format(id='doc_id', table='documents')}
+SELECT doc_id AS a, doc_id + 1 AS b, coalesce(sim, 0) AS sim FROM documents LEFT JOIN
+  (SELECT x.id AS id, round(sum(x.u * y.u), 6) AS sim FROM un x JOIN un y ON x.term = y.term AND y.id = x.id + 1 GROUP BY x.id) ON id = doc_id""")
+def _(spark, d):
+    docs = _tokens(spark, d, "documents", "doc_id")
+    pairs = docs.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return vector.cosine_of_pairs(pairs, vector.unit(vector.tfidf(docs))).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+_NAMES = ("iran", "israel", "lebanon", "ukraine", "russia", "taiwan", "oman")
+_NAMED = f"said AS (SELECT conv_id * 1000 + turn AS said_id, text || ' ' || [{', '.join(repr(n) for n in _NAMES)}][CAST(conv_id % 7 AS INTEGER) + 1] AS text FROM conversations)"
+
+
+# messages, each with the name of a place that anchors it
+@_query("similarity_edges_anchored", f"""WITH {_NAMED}, {_TFIDF.format(id='said_id', table='said')},
+h AS (SELECT id, list_filter(ts, lambda t: list_contains([{', '.join(repr(n) for n in _NAMES)}], t)) AS anchors FROM tok),
+sims AS (SELECT x.id AS a, y.id AS b, sum(x.u * y.u) AS sim FROM un x JOIN un y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id)
+SELECT a, b, round(sim, 6) AS sim FROM sims JOIN h x ON x.id = a JOIN h y ON y.id = b WHERE sim >= 0.3 AND list_has_any(x.anchors, y.anchors)""")
+def _(spark, d):
+    c = _table(spark, d, "conversations")
+    named = F.concat_ws(" ", "text", F.get(F.array(*map(F.lit, _NAMES)), F.pmod("conv_id", F.lit(7)).cast("int")))
+    docs = stash(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.ascii_tokens(named).alias("tokens")))
+    return C.similarity_edges(docs, 0.3, 1).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@_query("explode_batches", """WITH c AS (SELECT *, ['FOX_WORLD', 'NYT_WORLD', 'CHOSUN_WORLD', 'HANI_WORLD'][CAST(doc_id % 4 AS INTEGER) + 1] AS code FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS guid, (CASE code WHEN 'CHOSUN_WORLD' THEN 1 WHEN 'FOX_WORLD' THEN 2 WHEN 'HANI_WORLD' THEN 3 ELSE 4 END) * 4294967296
+  + row_number() OVER (PARTITION BY lang ORDER BY code, source, CAST(doc_id AS VARCHAR)) - 1 AS pos FROM c""")
+def _(spark, d):
+    a = articles(spark, d)
+    code = F.get(F.array(*[F.lit(f[0]) for f in schema.FEEDS]), F.pmod("id", F.lit(4)).cast("int"))
+    none = F.lit(None).cast("string")
+    values = {"publisherCode": code, "publisherName": F.col("publisher_name"), "publishedAt": F.col("published_at"), "rssGuid": F.col("id").cast("string"), "url": F.col("id").cast("string")}
+    one = F.struct(*[values.get(f.name, none).cast(f.dataType).alias(f.name) for f in schema.CANDIDATE.fields])
+    batches = a.groupBy("country").agg(F.sort_array(F.collect_list(one)).alias("articles"))
+    return feeds.batch_candidates(batches).select(F.col("rssGuid").alias("guid"), "pos")
+
+
 @_query("anchor_tokens", "SELECT conv_id, turn, list_has_any(string_split(lower(text), ' '), ['iran', 'israel', 'oman']) AS anchored FROM conversations")
 def _(spark, d):
     return _table(spark, d, "conversations").select("conv_id", "turn", (F.size(F.array_intersect(text.anchor_tokens(F.split(F.lower("text"), " ")), F.array(*map(F.lit, ("iran", "israel", "oman"))))) > 0).alias("anchored"))
 
 
-@_query("components", "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS root, count(*) AS n FROM documents GROUP BY h) SELECT doc_id AS node, root FROM documents JOIN g ON md5(text) = h WHERE n > 1")
+# chains: documents with consecutive ids in one language
+@_query("components", """WITH g AS (SELECT doc_id, lang, doc_id - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS run FROM documents),
+x AS (SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY lang, run) AS root, count(*) OVER (PARTITION BY lang, run) AS n FROM g) SELECT node, root FROM x WHERE n > 1""")
 def _(spark, d):
-    docs = _table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("v"))
-    return connected_components(docs.join(first, "h").select(F.col("doc_id").alias("u"), "v"), stash)
+    docs = _table(spark, d, "documents").select("doc_id", "lang")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang")
+    return connected_components(docs.join(following, ["doc_id", "lang"]).select(F.col("doc_id").alias("u"), (F.col("doc_id") + 1).alias("v")), stash)
 
 
 @_query("representative_title", _SIMS + """, both_ways AS (SELECT a AS id, b AS other, sim FROM sims UNION ALL SELECT b, a, sim FROM sims),
@@ -478,10 +580,18 @@ def _(spark, d):
     return _table(spark, d, "events").select("event_id", error_class(F.col("props"), message).alias("error_type"))
 
 
-@_query("step_lineage")
+@_query("step_lineage", f"""WITH c AS ({_COUNTERS}), t AS (SELECT CAST(sum(saved) AS INTEGER) AS saved, CAST(sum(failed) FILTER (feed <> '3') AS INTEGER) AS bad FROM c)
+SELECT 'RSS_COLLECT' AS step, CASE feed WHEN '3' THEN 'FAILED' ELSE 'SUCCESS' END AS status, 'feed ' || feed AS target_name, CAST(fetched AS INTEGER) AS processed_count,
+  CAST(CASE feed WHEN '3' THEN 0 ELSE fetched END AS INTEGER) AS success_count, CASE feed WHEN '3' THEN 1 ELSE 0 END AS failed_count FROM c UNION ALL
+SELECT 'ARTICLE_SAVE', CASE WHEN bad > 0 AND saved > 0 THEN 'PARTIAL_FAILED' WHEN bad > 0 THEN 'FAILED' ELSE 'SUCCESS' END, 'NORMALIZED_ARTICLES', saved + bad, saved, bad FROM t UNION ALL
+SELECT 'TOPIC_CLUSTERING', 'SUCCESS', 'WORLD', CAST(count(*) AS INTEGER), CAST(count(*) AS INTEGER), 0 FROM orders UNION ALL
+SELECT 'AI_SUMMARY', 'SUCCESS', 'ACTIVE_TOPICS', CAST(count(*) AS INTEGER), CAST(count(*) AS INTEGER), 0 FROM orders WHERE o_orderstatus = 'O' UNION ALL
+SELECT 'COMPLETED', 'SUCCESS', 'FULL_PIPELINE', 0, 0, 0""")
 def _(spark, d):
-    from datetime import datetime
-
-    feeds = _feed_counts(spark, d).select(F.col("feed").cast("string").alias("publisherName"), "fetched", (F.col("failed") == 0).alias("success"), F.lit("RSS_FEED_ERROR").alias("errorType"), F.lit("x").alias("errorMessage"))
+    outcomes, status = _outcomes(spark, d)
+    per_feed = stash(ingest.feed_counters(outcomes, status))
+    totals = {k: v for k, v in ingest.total_counters(per_feed, outcomes).first().asDict().items() if k != "reasons"}
+    made = topics(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ACTIVE").alias("active")).first()
     at = datetime(2024, 1, 15)
-    return lineage.step_rows(spark, 1, feeds, {"fetched": 10, "saved": 9, "failed": 1, "save_failed": 1}, None, [("WORLD", 2)], 2, at, at)
+    rows = lineage.step_rows(spark, 1, per_feed, totals, None, [("WORLD", made["n"])], made["active"], at, at)
+    return rows.select("step", "status", "target_name", "processed_count", "success_count", "failed_count")

@@ -49,3 +49,9 @@ def test_against_the_sequential_model(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_chains_and_hot_keys(spark):
+    chain = [(i, 1, f"g{i}", f"u{i // 2}", f"k{(i + 1) // 2}") for i in range(60)]  # each row shares a key with the next
+    hot = [(100 + i, 1, f"h{i}", "same", f"h{i}") for i in range(50)] + [(200, 2, None, None, None), (201, 2, None, None, None)]
+    assert run(spark, chain + hot) == model(chain + hot)
