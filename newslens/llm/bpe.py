@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 
 #: The pre-tokenizer's pieces of a text (fixed value of byte-level BPE).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -177,9 +177,9 @@ def default_path() -> str:
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False, text: bool = True) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 to every document; with ``ids`` also ``ids``, the
-    packed ids (little-endian unsigned 32-bit).
+    packed ids (little-endian unsigned 32-bit); without ``text`` the text itself is left out.
 
     ``path`` names the tokenizer file on every executor. Null and empty texts give no ids. Texts and
     pieces of any length are encoded whole; repeated rows are encoded one by one; an empty table gives
@@ -187,9 +187,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
     """
     where = path or default_path()
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
+    bounded_batches(docs.sparkSession)
     kept = docs.drop(*added)
     names = kept.columns
-    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCHEMA, *["ids binary"] * ids])
+    passed = [k for k, name in enumerate(names) if text or name != "text"]
+    out = [*(names[k] for k in passed), *added]
+    spec = ", ".join([*(f"`{kept.schema[k].name}` {kept.schema[k].dataType.simpleString()}" for k in passed), SCHEMA, *["ids binary"] * ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(where)
@@ -197,18 +200,18 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
             for start in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(start, BATCH_ROWS)
                 n, h, d, raw = [], [], [], []
-                for text in batch.column(names.index("text")):
-                    packed = v.encode(text.as_py() or "")
+                for x in batch.column(names.index("text")):
+                    packed = v.encode(x.as_py() or "")
                     n.append(len(packed) // 4)
                     h.append(hashlib.sha256(packed).hexdigest())
                     d.append(hashlib.sha256(v.decode(packed).encode()).hexdigest())
                     raw.append(packed if ids else None)
                 cols = [pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string()), *[pa.array(raw, pa.binary())] * ids]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*names, *added])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), *cols], names=out)
 
     return kept.mapInArrow(run, spec)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: one row per document."""
-    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), text=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop, shared_dir, stash
 
-__all__ = ["WS", "double_array", "drop", "let", "long_array", "shared_dir", "spaced", "stash", "table", "words"]
+__all__ = ["WS", "bounded_batches", "double_array", "drop", "let", "long_array", "shared_dir", "spaced", "stash", "table", "words"]
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 WS = " \t\n\x0b\x0c\r"
@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to Python and back, at most: texts are long, and both sides hold a batch several times over.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python have BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def spaced(text: Column) -> Column:
     """The text with every white-space character as one blank, empty for null; plain byte searches, no regex."""
     out = F.coalesce(text, F.lit(""))

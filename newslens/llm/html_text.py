@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import bounded_batches, stash, table
 from .url_filters import host_of
 
 #: Characters of all wrappers up to which they are broadcast; beyond, pages and wrappers are joined by host.
@@ -672,6 +672,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     text is furniture; an empty table gives an empty result; further columns of any name pass through (those
     named text and n_chars are replaced). A line break inside a block is white space.
     """
+    bounded_batches(pages.sparkSession)
     kept = pages.drop("text", "n_chars")
     rows = kept.select(F.struct(*kept.columns).alias("page"), host_of(kept["url"]).alias("host"), kept["html"].alias("html"))
     wrappers = stash(infer_wrappers(rows))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import drop, stash, table
+from .common import bounded_batches, drop, stash, table
 from .shingles import mix, sets_of_batches
 
 #: A shingle in more documents than this is frequent; no list of more classes is scanned pair by pair in one task.
@@ -488,6 +488,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     no part and has a null component. Repeated rows are equal sets and share a component; an empty table
     gives an empty result; other columns are left out. Texts are read whole.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     groups = _groups_for(docs)
     counted = stash(_frequencies(docs, groups))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import byte_letters, default_path
-from .common import table
+from .common import bounded_batches, table
 
 #: Counts of words that one Python worker remembers, at most, and the longest word remembered.
 MEMORY, MEMORY_WORD = 500_000, 64
@@ -119,6 +119,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     empty result; further columns pass through (those with an added one's name are replaced).
     """
     where = path or default_path()
+    bounded_batches(docs.sparkSession)
     added = ["n_words", "n_tokens", "n_unknown"]
     kept = docs.drop(*added)
     names = kept.columns

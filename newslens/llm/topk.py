@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, stash, table
+from .common import bounded_batches, drop, stash, table
 
 #: Components become floor(SCALE * x).
 SCALE = 1024
@@ -151,6 +151,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = K, report: bool =
     ``report`` the result has one row instead: ``evaluated``, the share of pairs whose product was computed.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     base = stash(scaled(vectors.withColumn("is_query", F.coalesce(is_query, F.lit(False)))).withColumn("row", F.monotonically_increasing_id()))
     norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     facts = base.agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("nq"), F.max(norm).alias("square"), F.max(F.size("x")).alias("width")).first()
