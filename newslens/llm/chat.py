@@ -134,5 +134,32 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: one row per message."""
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    """op10: one row per message; parent_turn is -1 for a message without one."""
+    return link_quotes(table(spark, sf_dir, "conversations")).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
+
+
+_NORMAL = r"trim(regexp_replace(lower({0}), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')"
+
+ORACLE = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text, coalesce(regexp_matches(text, '(?m)^[ \t]*>'), false) AS quoted FROM conversations),
+l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m WHERE quoted),
+v AS (SELECT id, i, length(regexp_replace(regexp_extract(line, '{MARKS}'), '[^>]+', '', 'g')) AS level, regexp_replace(line, '{MARKS}', '') AS body FROM l),
+n AS (SELECT *, lag(level) OVER w AS last_level, lead(level) OVER w AS next_level FROM v WINDOW w AS (PARTITION BY id ORDER BY i)),
+o AS (SELECT id, string_agg(body, chr(10) ORDER BY i) AS own FROM n WHERE level = 0 AND NOT (regexp_matches(body, '{CREDIT}') AND coalesce(next_level > 0, false)) GROUP BY id),
+p AS (SELECT m.*, CASE WHEN quoted THEN trim(coalesce(own, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END AS own FROM m LEFT JOIN o USING (id)),
+r AS (SELECT *, sum(CASE WHEN last_level IS DISTINCT FROM level THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS run FROM n),
+q AS (SELECT id, level, run, string_agg(body, chr(10) ORDER BY i) AS passage, row_number() OVER (PARTITION BY id ORDER BY run) AS place FROM r WHERE level > 0 GROUP BY id, level, run),
+c AS (SELECT id, count(*) AS n_quotes FROM q GROUP BY id),
+a AS (SELECT conv_id AS c, turn AS t, place, level, k, {_NORMAL.format("part")} AS key FROM (SELECT p.conv_id, p.turn, place, level,
+  unnest(list_concat([passage], regexp_split_to_array(passage, '\n[ \t]*\n'), string_split(passage, chr(10)))) AS part,
+  unnest(list_concat([0], list_transform(regexp_split_to_array(passage, '\n[ \t]*\n'), lambda x: 1), list_transform(string_split(passage, chr(10)), lambda x: 1))) AS k
+  FROM q JOIN p USING (id) WHERE p.conv_id IS NOT NULL AND p.turn IS NOT NULL)),
+h AS (SELECT c, key, min(t) AS p FROM (SELECT conv_id AS c, turn AS t, {_NORMAL.format("part")} AS key FROM (SELECT conv_id, turn,
+  unnest(list_concat([own], regexp_split_to_array(own, '\n[ \t]*\n'), string_split(own, chr(10)))) AS part FROM p WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND own IS NOT NULL)) WHERE key <> '' GROUP BY c, key),
+b AS (SELECT a.c, a.t, min(struct_pack(level := level, k := k, place := place, p := h.p)) AS b FROM a JOIN h ON a.c = h.c AND a.key = h.key WHERE h.p < a.t GROUP BY a.c, a.t),
+u AS (SELECT DISTINCT conv_id AS c, turn AS t FROM p WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+g(c, t, root, depth) AS (SELECT c, t, t, 0 FROM u UNION ALL SELECT g.c, g.t, b.b.p, depth + 1 FROM g JOIN b ON b.c = g.c AND b.t = g.root),
+z AS (SELECT c, t, min(root) AS root, CAST(max(depth) AS BIGINT) AS depth FROM g GROUP BY c, t),
+y AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY root, t) - 1 AS position FROM z)
+SELECT p.conv_id AS conv_id, p.turn AS turn, role, own AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(b.b.p, -1) AS parent_turn, coalesce(root, p.turn) AS thread_turn, coalesce(depth, 0) AS depth, position
+FROM p LEFT JOIN c USING (id) LEFT JOIN y ON y.c = p.conv_id AND y.t = p.turn LEFT JOIN b ON b.c = p.conv_id AND b.t = p.turn"""
