@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import bounded_batches, drop, stash, table
-from .shingles import mix, sets_of_batches
+from .shingles import SHINGLE, mix, sets_of_batches
 
 #: A shingle in more documents than this is frequent; no list of more classes is scanned pair by pair in one task.
 FREQUENT = 8
@@ -553,3 +553,14 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: one row per document."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM d),
+g AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, max(x.n) AS n, max(y.n) AS m, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n + m - c)),
+r(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT id, min(other) AS component_id FROM r GROUP BY id) ON id = doc_id"""

@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": chat.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE, "op8_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op8_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
