@@ -25,12 +25,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Hosts that are blocked, with their subdomains, where no rule fits.
-BLOCKED_HOSTS = (
-    "ads-track.example.org", "casino-win.example.org", "cheap-pills.example.com",
-    "free-bets.example.com", "spam-farm.example.org",
-)
-#: Listed keys of one cascade, at most: their bits become constants of the plan.
+#: Words of a host's name that block it where no rule fits: kinds of sites that no corpus wants. A parameter.
+BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "gambling", "malware", "phishing", "pills", "porn", "spam", "torrents", "warez", "xxx")
+#: Listed keys of one cascade that is part of the plan as a constant, and of one part of a cascade that is a table: a list
+#: of any length is cut into parts by a hash.
 MAX_LISTED = 1_000_000
 
 
@@ -41,13 +39,7 @@ class Level:
     words: tuple[int, ...]
 
     def passes(self, key: Column, seed: int) -> Column:
-        array = long_array(list(self.words))
-        ok = F.lit(True)
-        for i in range(self.hashes):
-            p = _position(key, seed, i, self.bits)
-            word = F.get(array, F.shiftright(p, 6).cast("int"))
-            ok = ok & (word.bitwiseAND(F.get(long_array(_POWERS), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
-        return ok
+        return _passes(long_array(list(self.words)), key, seed, self.bits, self.hashes)
 
 
 _POWERS = [1 << i if i < 63 else -(1 << 63) for i in range(64)]
@@ -76,19 +68,17 @@ def _listed(spark: SparkSession, keys: list[str]) -> DataFrame:
 
 
 def build_cascade(universe: DataFrame, keys: list[str]) -> list[Level]:
-    """Levels for ``keys`` (a list of at most MAX_LISTED) over ``universe`` (distinct column key)."""
+    """Levels for ``keys`` (a list of at most MAX_LISTED; longer ones go to :func:`listed_by_table`) over ``universe``
+    (distinct column key)."""
     keys = sorted(set(keys))
     if not keys:
         return []
-    if len(keys) > MAX_LISTED:
-        raise ValueError(f"a cascade takes at most {MAX_LISTED} listed keys")
     listed = _listed(universe.sparkSession, keys)
     others = universe.join(F.broadcast(listed), "key", "left_anti")
     n_others = others.count()
     levels: list[Level] = []
     inside, outside, n = listed, others, len(keys)
-    # about as many false positives of level 1 as listed keys, then halves: the levels shrink geometrically
-    rate = min(0.5, n / (math.sqrt(2) * max(n_others, 1)))
+    rate = _first_rate(n, n_others)
     while n:
         level = _level(inside, n, rate, len(levels))
         passing = outside.where(level.passes(F.col("key"), len(levels)))
@@ -98,6 +88,59 @@ def build_cascade(universe: DataFrame, keys: list[str]) -> list[Level]:
     return levels
 
 
+def _first_rate(n: int, n_others: int) -> float:
+    """About as many false positives of level 1 as listed keys, then halves: the levels shrink geometrically."""
+    return min(0.5, n / (math.sqrt(2) * max(n_others, 1)))
+
+
+def listed_by_table(universe: DataFrame, listed: DataFrame, per_part: int = MAX_LISTED) -> DataFrame:
+    """``universe`` (key) with ``listed``, whether its key is one of ``listed`` (key), for lists of any length.
+
+    Keys are cut into parts by a hash, with a cascade for each part; the cascades are a table of a row for each part,
+    which goes to the keys by the number of the part.
+    """
+    keys = listed.select("key").where("key IS NOT NULL").distinct()
+    n = keys.count()
+    parts = max(1, -(-n // per_part))
+    part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)).cast("int").alias("part")
+    all_keys = stash(universe.select("key", part))
+    inside = stash(keys.select("key", part))
+    outside = stash(all_keys.join(inside, ["key", "part"], "left_anti").distinct())
+    table_of, shapes = None, []
+    rate = _first_rate(n, outside.count())
+    while True:
+        most = inside.groupBy("part").count().agg(F.max("count").alias("n")).first()["n"]
+        if not most:
+            break
+        i, hashes = len(shapes), max(1, round(-math.log2(rate)))
+        bits = max(64, math.ceil(most * hashes / math.log(2)))
+        spots = F.explode(F.array(*[_position(F.col("key"), i, k, bits) for k in range(hashes)]))
+        bit = F.get(long_array(_POWERS), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
+        set_ = inside.select("part", spots.alias("p")).groupBy("part", F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("x"))
+        every = universe.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64).cast("long"))).alias("w"))
+        dense = every.join(set_, ["part", "w"], "left").groupBy("part").agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("x", F.lit(0)).alias("x")))).alias("l"))
+        level = stash(dense.select("part", F.col("l.x").alias(f"level{i}")))
+        shapes.append((bits, hashes))
+        table_of = level if table_of is None else table_of.join(level, "part")
+        passing = stash(outside.join(level, "part").where(_passes(F.col(f"level{i}"), F.col("key"), i, bits, hashes)).select("key", "part"))
+        inside, outside, rate = passing, inside, 0.5
+    if table_of is None:
+        return all_keys.select("key", F.lit(False).alias("listed"))
+    out = F.lit(len(shapes) % 2 == 1)
+    for i in range(len(shapes) - 1, -1, -1):
+        out = F.when(_passes(F.col(f"level{i}"), F.col("key"), i, *shapes[i]), out).otherwise(F.lit(i % 2 == 1))
+    return all_keys.join(stash(table_of), "part").select("key", out.alias("listed"))
+
+
+def _passes(array: Column, key: Column, seed: int, bits: int, hashes: int) -> Column:
+    ok = F.lit(True)
+    for k in range(hashes):
+        p = _position(key, seed, k, bits)
+        word = F.get(array, F.shiftright(p, 6).cast("int"))
+        ok = ok & (word.bitwiseAND(F.get(long_array(_POWERS), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+    return ok
+
+
 def member(key: Column, levels: list[Level]) -> Column:
     """Exact membership for keys of the universe: decided by the first level that the key fails."""
     out = F.lit(len(levels) % 2 == 1)
@@ -140,37 +183,68 @@ def _rule_keys(host: Column, path: Column, labels: int, lengths: list[int]) -> C
     return F.transform(order, lambda x: x["key"])
 
 
-def url_filters(pages: DataFrame, rules: tuple = RULES, blocked_hosts: tuple = BLOCKED_HOSTS) -> DataFrame:
+def _words_of(host: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(host, "[.-]"), lambda w: w != ""))
+
+
+def url_filters(pages: DataFrame, rules: tuple | DataFrame = RULES, blocked_words: tuple = BLOCKED_WORDS) -> DataFrame:
     """Adds host, path, rule (host + path prefix of the longest fitting rule, else null) and verdict.
 
-    Without a fitting rule the verdict is block if the host or a parent domain is in
-    ``blocked_hosts``, else allow. Null or odd URLs have empty host and path, no rule, and are
-    allowed. Repeated rows are judged alike; an empty table gives an empty result; other columns
-    pass through (those named host, path, rule, verdict are replaced). If two rules of one length
-    fit, the smaller string wins.
+    ``rules`` are (verdict, host, path prefix), as a tuple or, however many, as a table of these columns. Without a
+    fitting rule the verdict is block if a word of the host is one of ``blocked_words``, else allow. Null or odd URLs
+    have empty host and path, no rule, and are allowed. Repeated rows are judged alike; an empty table gives an empty
+    result; other columns pass through (those named host, path, rule, verdict are replaced). If two rules of one
+    length fit, the smaller string wins; a key that is in both lists is blocked.
     """
+    if isinstance(rules, DataFrame) or len(rules) > MAX_LISTED:
+        given = rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+        return _by_table(pages, given, blocked_words)
     labels = max([len(h.split(".")) for _, h, _ in rules], default=1)
     lengths = sorted({len(p) for _, _, p in rules}, reverse=True)
-    host_labels = max([len(h.split(".")) for h in blocked_hosts], default=1)
     rows = with_host_path(pages)
     places = stash(rows.select("host", "path").distinct())
     keys = stash(places.select(F.explode(_rule_keys(F.col("host"), F.col("path"), labels, lengths)).alias("key")).distinct())
-    hosts = stash(places.select(F.explode(_suffixes(F.col("host"), host_labels)).alias("key")).distinct())
     allow = build_cascade(keys, [h + p for v, h, p in rules if v == "allow"])
     block = build_cascade(keys, [h + p for v, h, p in rules if v == "block"])
-    bad = build_cascade(hosts, list(blocked_hosts))
 
     def judged(all_keys: Column) -> Column:
         hit = F.transform(all_keys, lambda k: F.struct(k.alias("rule"), F.when(member(k, block), F.lit("block")).when(member(k, allow), F.lit("allow")).alias("verdict")))
         return F.get(F.filter(hit, lambda x: x["verdict"].isNotNull()), F.lit(0))
 
-    bad_host = F.exists(_suffixes(F.col("host"), host_labels), lambda h: member(h, bad))
-    return (
-        rows.withColumn("_hit", let(_rule_keys(F.col("host"), F.col("path"), labels, lengths), judged))
-        .withColumn("rule", F.col("_hit")["rule"])
-        .withColumn("verdict", F.coalesce(F.col("_hit")["verdict"], F.when(bad_host, F.lit("block")).otherwise(F.lit("allow"))))
-        .drop("_hit")
-    )
+    hit = let(_rule_keys(F.col("host"), F.col("path"), labels, lengths), judged)
+    held = [c for c in rows.columns if c not in ("rule", "verdict")]
+    judged = rows.select(F.struct(*held).alias("page"), hit.alias("hit"), _by_words(places, blocked_words).alias("other"))
+    return judged.select("page.*", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "other").alias("verdict"))
+
+
+def _by_words(places: DataFrame, blocked_words: tuple) -> Column:
+    """The verdict on a host by its words."""
+    host_words = stash(places.select(F.explode(_words_of(F.col("host"))).alias("key")).distinct())
+    bad = build_cascade(host_words, list(blocked_words))
+    return F.when(F.exists(_words_of(F.col("host")), lambda w: member(w, bad)), "block").otherwise("allow")
+
+
+def _by_table(pages: DataFrame, rules: DataFrame, blocked_words: tuple) -> DataFrame:
+    """:func:`url_filters` for rules in a table: each place of the corpus is judged once, by its keys."""
+    known = stash(rules.select("verdict", "host", "path", F.concat("host", "path").alias("key")).where("key IS NOT NULL"))
+    shape = known.agg(F.max(F.size(F.split("host", "[.]"))).alias("labels"), F.collect_set(F.length("path")).alias("lengths")).first()
+    labels, lengths = shape["labels"] or 1, sorted(shape["lengths"] or [0], reverse=True)
+    rows = with_host_path(pages)
+    places = stash(rows.select("host", "path").distinct())
+    of_place = stash(places.select("host", "path", F.explode(_rule_keys(F.col("host"), F.col("path"), labels, lengths)).alias("key")))
+    keys = stash(of_place.select("key").distinct())
+    found = None
+    for verdict in ("block", "allow"):
+        flags = listed_by_table(keys, known.where(F.col("verdict") == verdict)).withColumnRenamed("listed", verdict)
+        found = flags if found is None else found.join(flags, "key")
+    hits = stash(found.where("block OR allow").select("key", F.when(F.col("block"), "block").otherwise("allow").alias("verdict")))
+    best = F.min(F.struct((-F.length("key")).alias("n"), F.col("key").alias("rule"), "verdict"))
+    judged = of_place.join(hits, "key").groupBy("host", "path").agg(best.alias("hit"))
+    judged = judged.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "hit")
+    held = [c for c in rows.columns if c not in ("rule", "verdict")]
+    packed = rows.select("host", "path", F.struct(*held).alias("page"))
+    joined = packed.join(judged, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
+    return joined.select("page.*", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", _by_words(places, blocked_words)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +254,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    bad = " OR ".join(f"('.' || host) LIKE '%.{h}'" for h in BLOCKED_HOSTS)
+    bad = "list_has_any(regexp_split_to_array(host, '[.-]'), [" + ", ".join(f"'{w}'" for w in BLOCKED_WORDS) + "])"
     return f"""
 WITH rules(verdict, rhost, rpath) AS (VALUES {rules}),
 a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

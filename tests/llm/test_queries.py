@@ -218,3 +218,19 @@ def test_topk_of_repeated_rows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("row", F.lit("clash"))
     assert 0 < topk.exact_topk(d, F.col("vec_id") == 5, report=True).first()["evaluated"] <= 1
+
+
+def test_url_filters_by_table(spark):
+    r = random.Random(11)
+    label = lambda: r.choice("abcd") + r.choice("xyz")
+    urls = [f"http://{'.'.join(label() for _ in range(r.randint(1, 4)))}/{'/'.join(r.choice('pqr') for _ in range(r.randint(0, 3)))}?q" for _ in range(400)] + [None, "http://casino-x.ay/p"]
+    rules = list({(h, p): (v, h, p) for v, h, p in ((r.choice(["allow", "block"]), ".".join(label() for _ in range(r.randint(1, 2))), r.choice(["/", "/p", "/p/q"])) for _ in range(60))}.values())
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, hit string")
+    want = sorted(map(tuple, url_filters.url_filters(pages, tuple(rules)).collect()), key=str)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert sorted(map(tuple, url_filters.url_filters(pages, table).collect()), key=str) == want
+    universe = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where("pmod(xxhash64(key), 30) = 0").union(spark.range(1).select(F.lit("elsewhere").alias("key")))
+    got = url_filters.listed_by_table(universe, listed, 20).where("listed").select("key").collect()
+    assert {x["key"] for x in got} == {x["key"] for x in listed.collect()} - {"elsewhere"}
+    assert not url_filters.listed_by_table(universe, listed.where("false")).where("listed").count()
