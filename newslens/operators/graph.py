@@ -8,10 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges of one part of a round's tables, and the least number of parts.
-EDGES_OF_PART, LEAST_PARTS = 50_000, 6
-#: Edges of which a task holds the forest at a time.
-FOREST_EDGES = 200_000
+#: Edges of one part of a round's tables, of which a task holds the forest at a time.
+EDGES_OF_PART = 200_000
 
 
 def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +36,7 @@ def _forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root[low] = low
             root[high] = low
         held += len(batch)
-        if held >= FOREST_EDGES:
+        if held >= EDGES_OF_PART:
             yield stars()
             root.clear()
             held = 0
@@ -72,15 +70,18 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
 
     Every node that has an edge to another node gets a row; loops and null ends are ignored. ``keep``
     writes a table to storage that all executors share and reads it back, which cuts the lineage of each
-    round. Each task first reduces its edges to stars, so rounds only join what several tasks have of a
-    component. A round's tables have as many parts as the number of edges asks for. Rounds stop when the
-    edges are stars around the roots.
+    round. Each task first reduces its edges to stars; what is left is cut into as many parts as its number
+    of edges asks for and reduced again. With one part that is all; else rounds join what several parts have
+    of a component, until the edges are stars around the roots.
     """
     clean = edges.select("u", "v").where("u != v")
-    e = keep(clean.mapInPandas(_forests, clean.schema).distinct())
-    parts = max(LEAST_PARTS, e.count() // EDGES_OF_PART)
-    while not _are_stars(e):
+    forests = lambda df: df.mapInPandas(_forests, clean.schema)
+    e = keep(forests(clean))
+    parts = -(-e.count() // EDGES_OF_PART)
+    if parts:
+        e = keep(forests(e.coalesce(parts)))
+    while parts > 1 and not _are_stars(e):
         e = keep(_large_star(e).coalesce(parts))
-        e = keep(_small_star(e).coalesce(parts))
+        e = keep(forests(_small_star(e).coalesce(parts)))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
