@@ -372,13 +372,18 @@ def _links(s: np.ndarray, t: np.ndarray) -> bool:
     return 100 * both >= 80 * (len(s) + len(t) - both)
 
 
-def _near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b, k) of classes whose sizes and full sketches allow a link, with their sizes na and nb."""
-    info = classes.select("c", "n", "full")
+def _near_pairs(pairs: DataFrame, classes: DataFrame, key: str = "c") -> DataFrame:
+    """The pairs (a, b, k) of classes, named by ``key``, whose sizes and full sketches allow a link: a, b (as c), k
+    and their sizes na and nb. Few pairs go to the classes, else both are dealt by the key."""
+    pairs = stash(pairs)
+    few = pairs.count() <= BROADCAST_IDS // 8
+    hint = F.broadcast if few else (lambda df: df)
+    info = classes.select(F.col(key).alias("key"), "c", "n", "full")
     side = lambda p: info.select(*[F.col(x).alias(f"{x}_{p}") for x in info.columns])
-    met = pairs.join(side("a"), F.col("a") == F.col("c_a")).join(side("b"), F.col("b") == F.col("c_b"))
+    half = side("a").join(hint(pairs), F.col("a") == F.col("key_a"))
+    met = side("b").join(hint(half), F.col("b") == F.col("key_b"))
     met = met.where(_fits(F.col("n_a"), F.col("n_b")) & _near(F.col("full_a"), F.col("full_b"), F.col("n_a"), F.col("n_b")))
-    return met.select("a", "b", "k", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+    return met.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "k", F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
 
 
 def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -418,12 +423,13 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
 def _of_lists(found: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among the pairs of class ids that share a short list, and among classes of one first sum."""
     pairs = found.where("NOT alone").groupBy("a", "b").agg(F.min("k").alias("k"))
-    ids = classes.select("f1", "c")
-    met = pairs.join(ids.toDF("a", "ca"), "a").join(ids.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "k")
+    near = _near_pairs(pairs, classes, "f1")
     twins = classes.groupBy("f1").agg(F.collect_list("c").alias("l")).where(F.size("l") > 1)
-    twins = twins.select("f1", F.explode("l").alias("x"), "l").select("f1", "x", F.explode("l").alias("y")).where("x < y")
-    met = met.union(twins.select("x", "y", "f1"))
-    return _checked(stash(_near_pairs(met, classes)), classes, docs)
+    twins = twins.select("f1", F.explode("l").alias("x"), "l").select(F.col("x").alias("a"), F.explode("l").alias("b"), F.col("f1").alias("k")).where("a < b")
+    twins = stash(twins)
+    if not twins.isEmpty():
+        near = near.union(_near_pairs(twins, classes))
+    return _checked(stash(near), classes, docs)
 
 
 def _of_subsets(subsets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -512,9 +518,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     entries = rows.where("kind = 2").select("token", "f1", "f2", "pos").dropDuplicates(["token", "f1", "f2"])
     heavy = entries.join(classes, ["f1", "f2"]).select("token", "c", "n", "pos", "sketch")
-    long = found.where("alone").select(F.col("k").alias("token"), F.col("a").alias("f1"))
-    long = long.join(classes, "f1").select("token", "c", "n", F.lit(0).alias("pos"), "sketch")
-    heavy = stash(heavy.union(long))
+    if not found.where("alone").isEmpty():
+        long = found.where("alone").select(F.col("k").alias("token"), F.col("a").alias("f1"))
+        heavy = heavy.union(long.join(classes, "f1").select("token", "c", "n", F.lit(0).alias("pos"), "sketch"))
+    heavy = stash(heavy)
     drop(found)
     if not heavy.isEmpty():
         links = _of_frequent(heavy, links, classes, docs)
