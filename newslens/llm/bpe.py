@@ -29,7 +29,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: A blank that follows no white space, and one that does.
 BLANK, SPACE_BLANK = re.compile(r"(?<!\s) "), re.compile(r"\s ")
 #: Encoded pieces (and chunks of pieces) that one Python worker remembers, at most, and the longest.
-MEMORY, MEMORY_PIECE = 120_000, 64
+MEMORY, MEMORY_PIECE = 250_000, 64
 #: Rows of an output batch.
 BATCH_ROWS = 512
 
@@ -76,7 +76,7 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(texts), np.uint8)
-        self.compatible = lru_cache(maxsize=1 << 17)(self._compatible)
+        self.compatible = lru_cache(maxsize=1 << 18)(self._compatible)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at the token's right (1) or left (0) edge while it is built, with the rank of
@@ -129,7 +129,12 @@ class Vocabulary:
 
     def _chunk(self, chunk: str) -> bytes:
         known, new = self.pieces.get, self._piece
-        out = b"".join([known(p) or new(p) for p in self.split(chunk)])
+        pieces = self.split(chunk)
+        if len(pieces) == 1:  # most words; remembered once, as a chunk
+            got = self.encode_piece(chunk.encode())
+            out = struct.pack(f"<{len(got)}I", *got)
+        else:
+            out = b"".join([known(p) or new(p) for p in pieces])
         if len(chunk) <= MEMORY_PIECE:
             if len(self.chunks) >= MEMORY:
                 self.chunks.clear()
