@@ -208,21 +208,21 @@ def find_pii(docs: DataFrame) -> DataFrame:
     Places are code points, the end exclusive; matches of one kind don't overlap, those of different kinds may.
     Null text counts as empty and has no spans. Texts of any length are searched whole; repeated rows are
     searched one by one; an empty table gives an empty result; further columns pass through (one named
-    spans_found is replaced).
+    spans_found is replaced, those that begin with __pii_ are dropped).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs
     for k in BASE:
-        out = out.withColumn(f"_{k}", F.filter(_spans(text, k), _checks(k)))
+        out = out.withColumn(f"__pii_{k}", F.filter(_spans(text, k), _checks(k)))
     for k in EXTRA:
-        out = out.withColumn(f"_{k}", _selected(text, k))
+        out = out.withColumn(f"__pii_{k}", _selected(text, k))
         for p in ALSO.get(k, ()):
             # the value without its name, where both are selected
-            out = out.withColumn("_also", _selected(text, k, p))
-            apart = lambda x: ~F.exists("_also", lambda v: (v["s"] < x["e"]) & (x["s"] < v["e"]))
-            out = out.withColumn(f"_{k}", F.array_sort(F.concat(F.filter(f"_{k}", apart), "_also"))).drop("_also")
-    named = lambda k: F.transform(F.col(f"_{k}"), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return out.withColumn("spans_found", F.concat(*[named(k) for k in (*BASE, *EXTRA)])).drop(*[f"_{k}" for k in (*BASE, *EXTRA)])
+            out = out.withColumn("__pii_also", _selected(text, k, p))
+            apart = lambda x: ~F.exists("__pii_also", lambda v: (v["s"] < x["e"]) & (x["s"] < v["e"]))
+            out = out.withColumn(f"__pii_{k}", F.array_sort(F.concat(F.filter(f"__pii_{k}", apart), "__pii_also"))).drop("__pii_also")
+    named = lambda k: F.transform(F.col(f"__pii_{k}"), lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return out.withColumn("spans_found", F.concat(*[named(k) for k in (*BASE, *EXTRA)])).drop(*[f"__pii_{k}" for k in (*BASE, *EXTRA)])
 
 
 def _joined(spans: Column) -> Column:
@@ -254,4 +254,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("spans_found", _of_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("spans_found")).alias("spans"),
+        (F.size("spans_found") > 0).alias("has_pii"),
     )
