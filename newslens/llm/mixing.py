@@ -30,8 +30,8 @@ MIN_BLOCKS = 64
 RUN = 2048
 #: Slots that one ranking orders, about.
 CHUNK = 4096
-#: Rows up to which a table of sources or of taken documents is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows (of about a hundred bytes) up to which a table of sources or of taken documents is broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> list[float]:
