@@ -213,7 +213,7 @@ class Node:
 
     def __str__(self) -> str:
         inner = " ".join(map(str, self.parts))
-        text = "#" if self.key == "#" else f"({inner})" if self.key in ("()", "*") else f"<{self.key}>{inner}"
+        text = "#" if self.key == "#" else f"({inner})" if self.key in ("()", "*") else f"<{self.key.partition('>')[0]}>{inner}"
         return f"({text})*" if self.repeated and self.optional else f"({text})+" if self.repeated else f"({text})?" if self.optional else text
 
 
@@ -489,9 +489,9 @@ def walk(page: Element, root: Node | None, text: Callable[[str, Node | None, str
 _END = Node("end")
 
 
-def evidence(page: Element, root: Node, numbers: dict[int, int]) -> tuple[dict[int, int], int]:
-    """A checksum of what the page holds in each slot outside furniture, and a number for its longest text, by which
-    near copies of a page are told from unlike pages."""
+def evidence(page: Element, root: Node, numbers: dict[int, int]) -> tuple[dict[int, int], int, int]:
+    """A checksum of what the page holds in each slot outside furniture, a number for all of it, by which copies of a
+    page are told from unlike pages, and one for its longest text, by which near copies are."""
     marks: dict[int, int] = {}
     longest = ""
 
@@ -505,11 +505,12 @@ def evidence(page: Element, root: Node, numbers: dict[int, int]) -> tuple[dict[i
                 longest = what
 
     walk(page, root, text)
-    return marks, zlib.crc32(longest.encode("utf-8", "surrogatepass"))
+    return marks, sum(marks.values()), zlib.crc32(longest.encode("utf-8", "surrogatepass"))
 
 
-def constant_slots(root: Node, nodes: list[Node], pages: int, shared: dict[int, int]) -> set[int]:
-    """ids of the slots that are furniture; ``shared``: the pages of each slot that holds one text on unlike pages.
+def constant_slots(root: Node, nodes: list[Node], pages: int, shared: dict[int, int], alike: frozenset[int] = frozenset()) -> set[int]:
+    """ids of the slots that are furniture; ``shared``: the pages of each slot that holds one text on unlike pages,
+    ``alike``: those of them whose pages may be near copies, which is no evidence in an optional part.
 
     A block's own slots, with those of the inline elements in it, are furniture only all together.
     """
@@ -531,8 +532,8 @@ def constant_slots(root: Node, nodes: list[Node], pages: int, shared: dict[int,
                 else:
                     todo.append((p, inner))
     for slots in of_block.values():
-        least = lambda opt: (OPTIONAL_PERCENT if opt else SHARED_PERCENT) * pages
-        if all(100 * shared.get(number[id(s)], 0) >= least(opt) and number[id(s)] in shared for s, opt in slots):
+        least = lambda s, opt: (OPTIONAL_PERCENT if opt and number[id(s)] not in alike else SHARED_PERCENT) * pages
+        if all(number[id(s)] in shared and 100 * shared[number[id(s)]] >= least(s, opt) for s, opt in slots):
             out |= {id(s) for s, _ in slots}
     return out
 
@@ -622,7 +623,8 @@ def _joined(pages: DataFrame, wrappers: DataFrame, columns: list[Column]) -> Dat
 
 
 def count_evidence(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, pages and shared (slot and its pages, where it holds one text on unlike pages) of every host."""
+    """host, pages and shared (slot, its pages and whether these may be near copies, where it holds one text on unlike
+    pages) of every host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, list[int]]] = {}
@@ -630,9 +632,9 @@ def count_evidence(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
         def handed() -> pa.RecordBatch:
             rows = [(h, k, *v) for h, slots in held.items() for k, v in slots.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = ["host", "slot", "n", "low", "high", "unlike"]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            types = (pa.string(), *[pa.int64()] * 6)
+            names = ["host", "slot", "n", "low", "high", "unlike", "apart"]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
         for batch in batches:
@@ -641,26 +643,28 @@ def count_evidence(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 if host not in known:
                     root, nodes = load(w)
                     known[host] = (root, {id(n): k for k, n in enumerate(nodes)}, nodes)
-                marks, longest = evidence(tree(page.as_py() or ""), *known[host][:2])
-                slots = held.setdefault(host, {-1: [0, 0, 0, 0]})
+                marks, whole, longest = evidence(tree(page.as_py() or ""), *known[host][:2])
+                slots = held.setdefault(host, {-1: [0, 0, 0, 0, 0]})
                 slots[-1][0] += 1
-                bit = 1 << longest % 63
                 for k, mark in marks.items():
-                    x = slots.setdefault(k, [0, mark, mark, 0])
+                    x = slots.setdefault(k, [0, mark, mark, 0, 0])
                     x[0] += 1
-                    x[1], x[2], x[3] = min(x[1], mark), max(x[2], mark), x[3] | bit
+                    x[1], x[2] = min(x[1], mark), max(x[2], mark)
+                    x[3], x[4] = x[3] | 1 << whole % 63, x[4] | 1 << longest % 63
             if len(held) > HELD_HOSTS:
                 yield handed()
                 held.clear()
                 known.clear()
         yield handed()
 
-    rows = pages.mapInArrow(run, "host string, slot long, n long, low long, high long, unlike long")
-    slots = rows.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("unlike").alias("unlike"))
+    rows = pages.mapInArrow(run, "host string, slot long, n long, low long, high long, unlike long, apart long")
+    merged = (F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("unlike").alias("unlike"), F.bit_or("apart").alias("apart"))
+    slots = rows.groupBy("host", "slot").agg(*merged)
+    near = (F.bit_count("apart") < SHARED_PAGES).cast("long")
     one = (F.col("slot") >= 0) & (F.col("low") == F.col("high")) & (F.bit_count("unlike") >= SHARED_PAGES)
     return slots.groupBy("host").agg(
         F.max(F.when(F.col("slot") < 0, F.col("n"))).alias("pages"),
-        F.to_json(F.collect_list(F.when(one, F.array("slot", "n")))).alias("shared"),  # a host's expression bounds it
+        F.to_json(F.collect_list(F.when(one, F.array(F.col("slot"), F.col("n"), near)))).alias("shared"),  # a host's expression bounds it
     )
 
 
@@ -695,7 +699,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
                         if len(known) >= HELD_HOSTS:
                             known.clear()
                         root, nodes = load(wrapper.as_py())
-                        known[host] = (root, constant_slots(root, nodes, n.as_py() or 0, dict(json.loads(shared.as_py() or "[]"))))
+                        found = json.loads(shared.as_py() or "[]")
+                        alike = frozenset(k for k, _, near in found if near)
+                        known[host] = (root, constant_slots(root, nodes, n.as_py() or 0, {k: m for k, m, _ in found}, alike))
                     texts.append(page_text(tree(page.as_py() or ""), *known[host]))
                 added = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*fields, *added], names=[*names, "text", "n_chars"])

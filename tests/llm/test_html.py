@@ -46,7 +46,7 @@ def test_the_expression_decides(spark):
     def texts(root, nodes):
         numbers, held = {id(n): k for k, n in enumerate(nodes)}, {}
         for p in pages:
-            marks, longest = H.evidence(p, root, numbers)
+            marks, longest, _ = H.evidence(p, root, numbers)
             for k, m in marks.items():
                 held.setdefault(k, []).append((m, longest))
         shared = {k: len(v) for k, v in held.items() if len({m for m, _ in v}) == 1 and len({x for _, x in v}) >= H.SHARED_PAGES}

@@ -60,7 +60,7 @@ def test_sketch_never_overstates():
     r = np.random.default_rng(3)
     for _ in range(100):
         s, t = (np.unique(r.integers(0, 400, 120).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
-        x, y = jaccard.parity_sketch(s), jaccard.parity_sketch(t)
+        x, y = jaccard.parity_sketch(s, jaccard.SKETCH), jaccard.parity_sketch(t, jaccard.SKETCH)
         bits = sum(bin(int(a) & (2**64 - 1)).count("1") for a in (x ^ y))
         assert bits <= len(np.setxor1d(s, t))
 
@@ -88,7 +88,7 @@ def test_pivot_search_equals_brute_force():
     pivots = topk.choose_pivots(lifted, 8)
     rows = topk._table(lifted, pivots)
     for j in (0, 10, 399):
-        got = topk.search_shard(ids, x, square, rows, int(ids[j]), x[j], rows[j], 10, False)
+        got, _ = topk.search_shard(np.arange(len(ids)), ids, x, rows, square, j, x[j], rows[j], 10, False)
         scores = (x @ x[j]).astype(int)
         want = sorted([(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != ids[j]])[:10]
         assert got == [(-s, i) for s, i in want]
@@ -99,8 +99,15 @@ def test_pivot_search_equals_brute_force():
 def _text(pages, i):
     w = html_text.Wrapper()
     for p in pages:
-        w.add_page(p)
-    return html_text.page_text(pages[i], html_text.Wrapper.load(w.dump()).roles())
+        w.add_page(html_text.tree(p))
+    root, nodes = html_text.load(html_text.dump(w.root))
+    numbers, held = {id(n): k for k, n in enumerate(nodes)}, {}
+    for p in pages:
+        marks, longest, _ = html_text.evidence(html_text.tree(p), root, numbers)
+        for k, m in marks.items():
+            held.setdefault(k, []).append((m, longest))
+    shared = {k: len(v) for k, v in held.items() if len({m for m, _ in v}) == 1 and len({x for _, x in v}) >= html_text.SHARED_PAGES}
+    return html_text.page_text(html_text.tree(pages[i]), root, html_text.constant_slots(root, nodes, len(pages), shared))
 
 
 def test_wrappers():
@@ -113,7 +120,7 @@ def test_wrappers():
         assert isinstance(_text([odd], 0), str)
     a = html_text.Wrapper()
     for p in ("<ul><li>a<li>b</ul>", "<ul><li>a</ul><p>x"):
-        a.add_page(p)
+        a.add_page(html_text.tree(p))
     assert str(a.root) == "<><ul>(<li>#)+ (<p>#)?"
 
 
