@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html_text, jaccard, mixing, pii, quality, token_counts, topk, url_filters
+from . import bpe, chat, divergence, fill_in_middle, html_text, jaccard, mixing, passages, pii, quality, token_counts, topk, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": topk.query,
@@ -20,6 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op9_mixing_pieces": mixing.pieces_query,
     "op10_chat": chat.query,
+    "op11_substring_dedup": passages.query,
+    "op12_divergence": divergence.query,
+    "op13_fill_in_middle": fill_in_middle.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_topk_search": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op8_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op8_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE,
+    "op11_substring_dedup": passages.ORACLE, "op12_divergence": divergence.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE,
+}
