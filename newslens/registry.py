@@ -526,8 +526,8 @@ def _(spark, d):
     return made.links.join(made.topics.select(F.col("id").alias("topic_id"), "title"), "topic_id") if made.links is not None else none
 
 
-# clustering over all documents; their SQL meets all pairs of frequent terms and is too slow, tests compare with brute force
-@_query("similarity_edges_documents")
+# clustering over all documents; tests compare representatives and links with brute force
+@_query("similarity_edges_documents", _SIMS.replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents").replace("ts FROM benchmark", "ts FROM documents") + " SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.3")
 def _(spark, d):
     docs = stash(_tokens(spark, d, "documents", "doc_id"))
     return C.similarity_edges(docs, 0.3, 0, stash(vector.unit(vector.tfidf(docs)))).select("a", "b", F.round("sim", 6).alias("sim"))
