@@ -152,14 +152,14 @@ def _key(window: bytes) -> int:
 
 
 def _marker(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Splits a document's recurring runs into the ordinary ones and the windows of hot ones; a document without any is
-    done, and its text is its words, or is left out."""
+    """Splits a document's recurring runs into the ordinary and the hot ones, with the distinct windows of these; a
+    document without any is done, and its text is its words, or is left out."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in batches:
             names = [c for c in batch.schema.names if c not in ("found", "text")]
-            texts, n, sha, runs, windows = [], [], [], [], []
+            texts, n, sha, runs, hot, windows = [], [], [], [], [], []
             for x, found in zip(batch.column("text").cast(pa.large_binary()), batch.column("found").to_pylist(), strict=True):
                 text = x.as_py()
                 words = text.split()
@@ -167,23 +167,34 @@ def _marker(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 left = b" ".join(words)
                 sha.append(None if found else hashlib.sha256(left).hexdigest())
                 texts.append(text if found else left if with_text else None)
-                runs.append([{"key": r["key"], "lo": r["lo"], "hi": r["hi"]} for r in found or () if not r["hot"]])
-                hot = [i for r in found or () if r["hot"] for i in range(r["lo"], r["hi"] + 1)]
-                windows.append([{"key": _key(b" ".join(words[i : i + WINDOW])), "lo": i, "hi": i} for i in hot])
-            added = [pa.array(texts, pa.binary()).view(pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, kind), pa.array(windows, kind)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], names=[*names, "text", "n_words", "kept_sha256", "runs", "windows"])
+                parts: tuple[list, list] = [], []
+                for r in found or ():
+                    parts[r["hot"]].append({"key": r["key"], "lo": r["lo"], "hi": r["hi"]})
+                runs.append(parts[0])
+                hot.append(parts[1])
+                windows.append(list({_key(b" ".join(words[i : i + WINDOW])) for r in parts[1] for i in range(r["lo"], r["hi"] + 1)}))
+            added = [pa.array(texts, pa.binary()).view(pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, kind), pa.array(hot, kind), pa.array(windows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *added], names=[*names, "text", "n_words", "kept_sha256", "runs", "hot", "windows"])
 
     return marked
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """id, th, key, lo and words of every run."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict[tuple[int, bytes], list[int]]]]:
+    """id, th and the distinct stretches of every document: (key, words) → the words where they begin. Of hot runs only
+    the windows that recur are stretches, each keyed by itself."""
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary())
-        for id_, th, text, runs in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), texts, batch.column("runs").to_pylist(), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("id", "th", "runs", "hot", "good"))
+        for text, id_, th, runs, hot, good in zip(batch.column("text").cast(pa.large_binary()), *columns, strict=True):
             words = text.as_py().split()
+            found: dict[tuple[int, bytes], list[int]] = defaultdict(list)
             for r in runs:
-                yield id_, th, r["key"], r["lo"], b" ".join(words[r["lo"] : r["hi"] + WINDOW])
+                found[r["key"], b" ".join(words[r["lo"] : r["hi"] + WINDOW])].append(r["lo"])
+            recur = set(good or ())
+            for i in (i for r in hot if recur for i in range(r["lo"], r["hi"] + 1)):
+                window = b" ".join(words[i : i + WINDOW])
+                if (key := _key(window)) in recur:
+                    found[key, window].append(i)
+            yield id_, th, found
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,31 +209,32 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays(out, names=["key", "stretch", "first", "last"])
 
-    for id_, _, key, _, stretch in _stretches(batches):
-        known = held.get((key, stretch))
-        if known is None:
-            held[key, stretch] = [id_, id_]
-            size += len(stretch) + 200
-            if size >= HELD_BYTES:
-                yield sent()
-                size = 0
-        else:
-            known[0], known[1] = min(known[0], id_), max(known[1], id_)
+    for id_, _, found in _stretches(batches):
+        for one in found:
+            known = held.get(one)
+            if known is None:
+                held[one] = [id_, id_]
+                size += len(one[1]) + 200
+            else:
+                known[0], known[1] = min(known[0], id_), max(known[1], id_)
+        if size >= HELD_BYTES:
+            yield sent()
+            size = 0
     yield sent()
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, th, lo and digest of every stretch."""
+    """id, th, digest and los (where it begins) of every distinct stretch of a document."""
     rows: list[tuple] = []
 
     def sent() -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+        out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)]
         rows.clear()
-        return pa.RecordBatch.from_arrays(out, names=["id", "th", "lo", "digest"])
+        return pa.RecordBatch.from_arrays(out, names=["id", "th", "digest", "los"])
 
-    for id_, th, _, lo, stretch in _stretches(batches):
-        rows.append((id_, th, lo, _digest(stretch)))
+    for id_, th, found in _stretches(batches):
+        rows += [(id_, th, _digest(stretch), los) for (_, stretch), los in found.items()]
         if len(rows) >= 10_000:
             yield sent()
     yield sent()
@@ -345,24 +357,23 @@ def without_passages(docs: DataFrame, text: bool = True) -> DataFrame:
     recurring = _recurring(runs).select("key", (F.col("n") > HOT).alias("hot"))
     found = runs.join(recurring, "key").groupBy("id", "th").agg(F.collect_set(F.struct("key", "lo", "hi", "hot")).alias("found"))
     joined = keyed.join(found, ["id", "th"], "left").select("row", "id", "th", "text", "found")
-    spec = f"row {joined.schema['row'].dataType.simpleString()}, {ids}, text string, n_words bigint, kept_sha256 string, runs {RUNS}, windows {RUNS}"
+    spec = f"row {joined.schema['row'].dataType.simpleString()}, {ids}, text string, n_words bigint, kept_sha256 string, runs {RUNS}, hot {RUNS}, windows array<bigint>"
     marked = stash(joined.mapInArrow(_marker(text), spec))
     done, rest = marked.where("kept_sha256 IS NOT NULL"), marked.where("kept_sha256 IS NULL")
 
     windows = rest.where("size(windows) > 0")
-    if not windows.isEmpty():  # what recurs of frequent anchors is told by hashes of windows first, so that no task meets them all
-        each = windows.select("id", "th", F.explode("windows").alias("w")).select("id", "th", "w.*")
-        good = each.join(_recurring(each).select("key"), "key").groupBy("id", "th").agg(F.collect_set(F.struct("key", "lo", "hi")).alias("good"))
-        more = F.concat("runs", F.coalesce("good", F.expr(f"cast(array() as {RUNS})")))
-        rest = stash(rest.drop("windows").join(good, ["id", "th"], "left").withColumn("runs", more).drop("good"))
-
-    cut = rest.select("id", "th", "text", "runs")
+    if windows.isEmpty():
+        rest = rest.drop("windows").withColumn("good", F.lit(None).cast("array<bigint>"))
+    else:  # what recurs of frequent anchors is told by hashes of windows first, so that no task meets them all
+        each = windows.select("id", "th", F.explode("windows").alias("key"))
+        good = each.join(_recurring(each).select("key"), "key").groupBy("id", "th").agg(F.collect_set("key").alias("good"))
+        rest = stash(rest.drop("windows").join(good, ["id", "th"], "left"))
+
+    cut = rest.select("id", "th", "text", "runs", "hot", "good")
     distinct = cut.mapInArrow(_distinct, "key bigint, stretch binary, first bigint, last bigint")
     located = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(_located, "digest binary, begin int, `end` int, first bigint")
-    places = cut.mapInArrow(_places, f"{ids}, lo int, digest binary")
-    met = places.join(located, "digest").where("first < id")
-    span = F.struct((F.col("lo") + F.col("begin")).alias("begin"), (F.col("lo") + F.col("end")).alias("end"))
-    spans = met.groupBy("id", "th").agg(F.collect_set(span).alias("spans"))
+    met = cut.mapInArrow(_places, f"{ids}, digest binary, los array<int>").join(located, "digest").where("first < id")
+    spans = met.groupBy("id", "th").agg(F.flatten(F.collect_list(F.expr("transform(los, lo -> struct(lo + begin AS begin, lo + `end` AS end))"))).alias("spans"))
     ended = rest.select("row", "id", "th", "text", "n_words").join(spans, ["id", "th"], "left").select("row", "text", "n_words", "spans")
     last = ended.mapInArrow(_kept, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_words bigint, n_removed bigint, kept_sha256 string")
     out = done.select("row", "text", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(last)

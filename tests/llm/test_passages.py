@@ -83,7 +83,8 @@ def test_small_shards_give_the_same(rows, monkeypatch):
     runs = [[] for _ in range(batch.num_rows)]
     for r, k, a, b in zip(row.tolist(), key.tolist(), lo.tolist(), hi.tolist(), strict=True):
         runs[r].append({"key": k, "lo": a, "hi": b})
-    sent = pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs)], names=["id", "th", "text", "runs"])
+    none = [[] for _ in runs]
+    sent = pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs), pa.array(none), pa.array(none)], names=["id", "th", "text", "runs", "hot", "good"])
     distinct = pa.Table.from_batches(passages._distinct(iter([sent]))).sort_by("key").combine_chunks().to_batches()
     whole = {tuple(x.values()) for b in passages._located(iter(distinct)) for x in b.to_pylist()}
     monkeypatch.setattr(passages, "SHARD_WORDS", 100)
