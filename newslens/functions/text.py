@@ -1,4 +1,4 @@
-"""Text functions as column expressions; the tokeniser is one Arrow UDF, as Spark lacks Unicode normal forms."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from .tokens import tokens_of_series
+from .words import native_tokens, needs_python
 
 # Replaced in this order.
 ENTITIES = (("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
@@ -23,7 +24,7 @@ def trim_control(x: Column) -> Column:
 
 def is_blank(x: Column) -> Column:
     """Null, empty or white space only."""
-    return x.isNull() | (F.regexp_replace(x, r"[\s\x1C-\x1F]+", "") == "")
+    return x.isNull() | ~x.rlike(r"[^\s\x1C-\x1F]")
 
 
 def normalize_headline(x: Column) -> Column:
@@ -75,8 +76,10 @@ def sql_tokenize(x: pd.Series) -> pd.Series:
 
 
 def tokenize(x: Column) -> Column:
-    """Canonical tokens in order, with repeats; none for null or blank text."""
-    return _tokens(F.when(~is_blank(x), F.lower(x)))
+    """Canonical tokens in order, with repeats; none for null or blank text. Only texts whose characters need it leave the JVM."""
+    text = F.lower(x)
+    odd = needs_python(text)
+    return F.when(is_blank(x), F.array().cast("array<string>")).when(odd, _tokens(F.when(odd, text))).otherwise(native_tokens(text))
 
 
 def anchor_tokens(tokens: Column) -> Column:

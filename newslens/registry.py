@@ -416,6 +416,38 @@ def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
 
 
+def _tokenize_sql() -> str:
+    """The tokeniser in SQL, for texts whose characters lose only accents."""
+    space = r"[ \t\n\x0B\f\r]"
+    steps = (
+        (r"(\p{L})\.(\p{L})", r"\1\2"), (r"(\p{L})\.(\p{L})", r"\1\2"), (r"[''’]s([^0-9A-Za-z_]|$)", r"\1"), (rf"([sS])[''’]({space}|$)", r"\1\2"),
+        (rf"[0-9]+(?:\.[0-9]+)?{space}*(?:%|percent(?:age(?:{space}+points?)?)?)", "NUM_PCT"), (r"\b(?:19|20)[0-9]{2}\b", "NUM_YEAR"),
+        (r"\b[0-9]+(?:[,.][0-9]+)*\b", "NUM"), (r"[^\p{L}0-9_]+", " "),
+    )
+    x = "strip_accents(lower(text))"
+    for pattern, by in steps:
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    pairs = "j"
+    for a, b in schema.BIGRAMS:
+        pairs = f"replace({pairs}, ' {a}  {b} ', ' {a}_{b} ')"
+    double = "|".join(2 * c for c in "bcdfghjklmnpqrstvwxyz")
+    bare = lambda k: f"left(t, length(t) - {k})"
+    cut = lambda k: f"CASE WHEN regexp_matches({bare(k)}, '({double})$') THEN CASE WHEN length(t) > {k + 2} THEN {bare(k + 1)} ELSE t END ELSE {bare(k)} END"
+    ends = lambda n, e: f"length(t) > {n} AND ends_with(t, '{e}')"
+    stem = f"""CASE WHEN {ends(7, 'ations')} THEN {bare(6)} WHEN {ends(5, 'ings')} THEN {cut(4)} WHEN {ends(4, 'ing')} THEN {cut(3)} WHEN {ends(4, 'ed')} THEN {cut(2)}
+ WHEN {ends(4, 'es')} THEN {bare(2)} WHEN {ends(3, 's')} AND NOT ends_with(t, 'ss') THEN {bare(1)} ELSE t END"""
+    named = " ".join(f"WHEN t = '{k}' THEN '{v}'" for k, v in schema.ENGLISH_ALIAS.items())
+    put_right = " ".join(f"WHEN s = '{k}' THEN '{v}'" for k, v in schema.POST_STEM.items())
+    return f"""WITH w AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split({x}, ' '), lambda t: length(t) > 1), '  ') || ' ' AS j FROM documents),
+p AS (SELECT doc_id, list_filter(string_split(trim({pairs}), '  '), lambda t: t <> '') AS ts FROM w)
+SELECT doc_id, array_to_string(list_transform(ts, lambda t: CASE WHEN contains(t, '_') THEN t {named} ELSE list_transform([{stem}], lambda s: CASE {put_right} ELSE s END)[1] END), ' ') AS tokens FROM p"""
+
+
+@_query("tokenize_joined", _tokenize_sql())
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
+
+
 @_query("tokenize_ascii", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 2), ' ') AS tokens FROM documents")
 def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.array_join(text.ascii_tokens(F.col("text")), " ").alias("tokens"))
