@@ -75,9 +75,13 @@ def read_xml_feed(spark: SparkSession, path: str, zone: str = "UTC") -> DataFram
         F.col("summary._VALUE").alias("description"), F.col("content._VALUE").alias("content"), F.col("id").alias("guid"),
         F.coalesce("published", "updated", "channel_date").alias("date"),
     )
-    e = rss.unionByName(atom)
+    return entry_columns(rss.unionByName(atom), zone, ["item_pos"])
+
+
+def entry_columns(e: DataFrame, zone: str, keep: list[str]) -> DataFrame:
+    """Entries (title, link, description, content, guid, date) with a link as candidates' columns, after ``keep``."""
     return e.where(~is_blank(F.col("link"))).select(
-        "item_pos", F.trim("title").alias("headline"), F.trim("link").alias("url"),
+        *keep, F.trim("title").alias("headline"), F.trim("link").alias("url"),
         F.when(~is_blank(F.col("description")), F.col("description")).otherwise(F.col("content")).alias("description"),
         F.coalesce("guid", F.trim("link")).alias("rssGuid"), parse_date(F.col("date"), zone).alias("publishedAt"),
     )
@@ -137,7 +141,12 @@ def feed_fetcher(folder: str, use_fixture: bool) -> Callable[[SparkSession, str,
 
 
 def collect(spark: SparkSession, fetch: Callable[[SparkSession, str, str], DataFrame], codes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(candidates with pos, feed status). A feed that fails gives a status row and the others go on."""
+    """(candidates with pos, feed status). A feed that fails gives a status row and the others go on.
+
+    ``fetch`` is a fetcher, which reads feed by feed, or a :class:`feed_source.FeedSource`, which reads them side by side.
+    """
+    if hasattr(fetch, "collect"):
+        return fetch.collect(spark, codes)
     found, status = [], []
     for i, f in enumerate(select_feeds(spark, codes).collect()):
         base = (f["publisherCode"], f["publisherName"])
