@@ -43,7 +43,8 @@ def normalize(candidates: DataFrame, publishers: DataFrame) -> DataFrame:
 
 @dataclass
 class Ingest:
-    """Tables of one ingest: articles to append, the outcome of every candidate, feeds, validation errors, totals."""
+    """Tables of one ingest: articles to append, the outcome of every candidate (with the id of its article), feeds,
+    validation errors, totals."""
 
     articles: DataFrame
     outcomes: DataFrame
@@ -74,9 +75,9 @@ def ingest(candidates: DataFrame, feed_status: DataFrame, publishers: DataFrame,
         F.col("publishedAt").alias("published_at"), "publisher_id", "category", "rss_guid", "dedupe_key", now.alias("fetched_at"),
     )
     outcomes = (
-        judged.select("pos", "publisherCode", "reason", F.lit(None).cast("string").alias("failure"))
-        .unionByName(n.where("broken").select("pos", "publisherCode", F.lit(None).cast("string").alias("reason"), F.lit("SAVE_FAILED").alias("failure")))
-        .unionByName(checked.where("missing IS NOT NULL").select("pos", "publisherCode", F.lit(None).cast("string").alias("reason"), F.lit("VALIDATION").alias("failure")))
+        judged.select("pos", "publisherCode", "reason", F.lit(None).cast("string").alias("failure"), F.when(F.col("reason").isNull(), F.xxhash64("dedupe_key")).alias("article_id"))
+        .unionByName(n.where("broken").select("pos", "publisherCode", F.lit(None).cast("string").alias("reason"), F.lit("SAVE_FAILED").alias("failure")), allowMissingColumns=True)
+        .unionByName(checked.where("missing IS NOT NULL").select("pos", "publisherCode", F.lit(None).cast("string").alias("reason"), F.lit("VALIDATION").alias("failure")), allowMissingColumns=True)
     )
     outcomes = stash(outcomes)
     errors = checked.where("missing IS NOT NULL").select(
@@ -87,6 +88,14 @@ def ingest(candidates: DataFrame, feed_status: DataFrame, publishers: DataFrame,
     return Ingest(articles, outcomes, feeds, errors, total_counters(feeds, outcomes))
 
 
+def with_refused(got: Ingest, refused: DataFrame, feed_status: DataFrame) -> Ingest:
+    """The ingest after the store has refused some of its articles (by id): these failed to be saved."""
+    ids = refused.select(F.col("id").alias("article_id"), F.lit(True).alias("refused"))
+    outcomes = stash(got.outcomes.join(ids, "article_id", "left").withColumn("failure", F.when(F.col("refused"), "SAVE_FAILED").otherwise(F.col("failure"))).drop("refused"))
+    feeds = feed_counters(outcomes, feed_status)
+    return Ingest(got.articles.join(refused.select("id"), "id", "left_anti"), outcomes, feeds, got.errors, total_counters(feeds, outcomes))
+
+
 def feed_counters(outcomes: DataFrame, feed_status: DataFrame) -> DataFrame:
     """One row per feed: fetched, saved, duplicates, failed and whether it was collected; failed feeds come first."""
     per = outcomes.groupBy("publisherCode").agg(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import on_workers, schema
 from ..operators import lineage
 from ..operators.cluster import cluster
-from ..operators.ingest import Ingest, ingest, unknown_codes
+from ..operators.ingest import Ingest, ingest, unknown_codes, with_refused
 from ..operators.read import with_publisher
 from ..operators.summarize import Summarizer, apply_summaries, prompts, summarize
 from ..sources.feeds import batch_candidates, batch_feed_status, collect, read_json_batches
@@ -93,11 +93,10 @@ class Pipeline:
             ok = f["success"]
             self._say(run_id, "RSS_COLLECT", "SUCCESS" if ok else "FAILED", f"{f['publisherName']} RSS 수집 {'완료' if ok else '실패'}", 10, f["publisherName"], f["errorMessage"])
         got = ingest(candidates, status, self.store.read("publisher"), self.store.read("article"), str(as_of))
+        refused = self.store.append_unique("article", got.articles, "normalized_url", "dedupe_key")  # another writer may have added them meanwhile
+        if not refused.isEmpty():
+            got = with_refused(got, refused, status)
         totals = {k: v for k, v in got.totals.first().asDict().items() if k != "reasons"}
-        new = stash(got.articles)
-        self.store.append("article", new)
-        for key in ("normalized_url", "dedupe_key"):  # what another writer may have added meanwhile
-            self.store.check_unique("article", key, among=new)
         text = f"기사 저장 완료 (저장 {totals['saved']}건, 중복 {totals['duplicates']}건, 실패 {totals['failed']}건)"
         self._say(run_id, "ARTICLE_SAVE", "FAILED" if totals["failed"] else "SUCCESS", text, 45)
         return got, totals
@@ -127,7 +126,8 @@ class Pipeline:
             made = stash(summarize(prompts(topics, self.store.read("topic_article"), self.articles()), self.summarizer))
             n = made.where("error IS NULL").count()
             if n:
-                self.store.replace("topic", apply_summaries(topics, made, str(as_of)))
+                done = made.where("error IS NULL").select(F.col("topic_id").alias("id"))
+                self.store.update_latest("topic", apply_summaries(topics.join(done, "id", "left_semi"), made, str(as_of)))
             return n, False
         except Exception:  # no summaries; the run goes on
             return 0, True

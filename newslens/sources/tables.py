@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..errors import Conflict, NotFound
+from .shared import stash
 
 __all__ = ["Conflict", "NotFound", "Store", "seed"]
 #: Tables in which later rows of an id replace earlier ones.
-LOGGED = ("pipeline_run",)
+LOGGED = ("pipeline_run", "topic")
 #: Versions of a table that are kept when it is replaced.
 KEPT_VERSIONS = 2
+#: Seconds after which a writer that publishes is taken for lost.
+LOCK_SECONDS = 600.0
 
 #: Tables and columns that refer to a table.
 REFERENCES = {"publisher": (("article", "publisher_id"), ("publisher_feed", "publisher_id")), "article": (("topic_article", "article_id"),), "topic": (("topic_article", "topic_id"),)}
@@ -48,6 +55,41 @@ class Store:
         """The newest version whose first part is whole; 0 without any."""
         return next((v for v in reversed(self._numbers(f"{self.path}/{name}", "v")) if 0 in self._parts(name, v)), 0)
 
+    def _claim(self, folder: str, letter: str, first: int) -> int:
+        """The least number from ``first`` on that no other writer has claimed; creating a file is what claims it."""
+        fs, path = self._fs()
+        n = first
+        while True:
+            try:
+                if fs.createNewFile(path(f"{folder}/claim-{letter}{n}")):
+                    return n
+            except Exception:
+                if not fs.exists(path(f"{folder}/claim-{letter}{n}")):
+                    raise
+            n += 1
+
+    @contextmanager
+    def _publishing(self, name: str) -> Iterator[None]:
+        """One writer of a table at a time; a lock that is LOCK_SECONDS old is removed."""
+        fs, path = self._fs()
+        lock = path(f"{self.path}/{name}/publishing")
+        until = time.monotonic() + 2 * LOCK_SECONDS
+        while not fs.createNewFile(lock):
+            try:
+                age = time.time() - fs.getFileStatus(lock).getModificationTime() / 1000
+            except Exception:  # just released
+                continue
+            if age > LOCK_SECONDS:
+                fs.delete(lock, False)
+            elif time.monotonic() > until:
+                raise Conflict(f"{name} is being written")
+            else:
+                time.sleep(0.1)
+        try:
+            yield
+        finally:
+            fs.delete(lock, False)
+
     def _write(self, name: str, version: int, part: int, rows: DataFrame) -> None:
         fields = schema.TABLES[name].fields
         rows.select([F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}/p{part}")
@@ -66,11 +108,31 @@ class Store:
 
     def append(self, name: str, rows: DataFrame) -> None:
         version = self._version(name)
-        self._write(name, version, 1 + max(self._numbers(f"{self.path}/{name}/v{version}", "p"), default=-1), rows)
+        folder = f"{self.path}/{name}/v{version}"
+        self._write(name, version, self._claim(folder, "p", 1 + max(self._numbers(folder, "p"), default=-1)), rows)
+
+    def append_unique(self, name: str, rows: DataFrame, *columns: str) -> DataFrame:
+        """Appends the rows of which no stored row has one of the columns' values, and of equal ones among them that of
+        the least id; returns those left out. Nulls equal nothing. Other writers wait meanwhile, so that of equal
+        rows of two writers one is stored."""
+        staged = stash(rows)
+        with self._publishing(name):
+            stored, clash = self.read(name), None
+            for c in columns:
+                first = F.row_number().over(Window.partitionBy(c).orderBy("id"))
+                again = staged.where(F.col(c).isNotNull()).select("id", first.alias("n")).where("n > 1").select("id")
+                seen = staged.join(stored.select(c).distinct(), c, "left_semi").select("id")
+                clash = again.union(seen) if clash is None else clash.union(again).union(seen)
+            left = stash(staged.join(clash.distinct(), "id", "left_semi")) if clash is not None else staged.limit(0)
+            if left.isEmpty():
+                self.append(name, staged)
+            else:
+                self.append(name, staged.join(left.select("id"), "id", "left_anti"))
+        return left
 
     def replace(self, name: str, rows: DataFrame) -> None:
         versions = self._numbers(f"{self.path}/{name}", "v")
-        self._write(name, 1 + max(versions, default=0), 0, rows)
+        self._write(name, self._claim(f"{self.path}/{name}", "v", 1 + max(versions, default=0)), 0, rows)
         fs, path = self._fs()
         for old in versions[: 1 - KEPT_VERSIONS or None]:
             fs.delete(path(f"{self.path}/{name}/v{old}"), True)
@@ -80,8 +142,9 @@ class Store:
         if name in LOGGED:
             self.append(name, rows)
             return
-        old = self.read(name)
-        self.replace(name, old.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(old.columns)))
+        with self._publishing(name):
+            old = self.read(name)
+            self.replace(name, old.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(old.columns)))
 
     def delete(self, name: str, id_: int) -> None:
         """Removes one row; NotFound without it, Conflict while another table refers to it."""
