@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import on_workers, schema
 from ..operators import lineage
 from ..operators.cluster import cluster
+from ..operators.generate import generate_once
 from ..operators.ingest import Ingest, ingest, unknown_codes, with_refused
 from ..operators.read import with_publisher
 from ..operators.summarize import Summarizer, apply_summaries, prompts, summarize
@@ -36,9 +37,10 @@ class RunResult:
 class Pipeline:
     """Runs over a store; every time is the given one, never the clock's."""
 
-    def __init__(self, spark: SparkSession, store: Store, bus: EventBus | None = None, summarizer: Summarizer | None = None):
+    def __init__(self, spark: SparkSession, store: Store, bus: EventBus | None = None, summarizer: Summarizer | None = None, answers: str | None = None):
+        """``answers`` is a folder that keeps generated texts by prompt, so that none is asked for twice."""
         on_workers(spark)
-        self.spark, self.store, self.bus, self.summarizer = spark, store, bus or EventBus(), summarizer
+        self.spark, self.store, self.bus, self.summarizer, self.answers = spark, store, bus or EventBus(), summarizer, answers
 
     def run(self, fetch: Callable, as_of: datetime, hours: int = 48, codes: list[str] | None = None) -> RunResult:
         """Live run. A stage that fails doesn't stop the next; the status depends on fetching and saving only."""
@@ -123,7 +125,8 @@ class Pipeline:
     def summarize_pending(self, as_of: datetime) -> tuple[int, bool]:
         try:
             topics = self.store.read("topic")
-            made = stash(summarize(prompts(topics, self.store.read("topic_article"), self.articles()), self.summarizer))
+            asked = prompts(topics, self.store.read("topic_article"), self.articles())
+            made = stash(generate_once(asked, self.answers, self.summarizer) if self.answers else summarize(asked, self.summarizer))
             n = made.where("error IS NULL").count()
             if n:
                 done = made.where("error IS NULL").select(F.col("topic_id").alias("id"))

@@ -17,7 +17,7 @@ from . import schema
 from .functions import text
 from .functions.url import normalize_url
 from .operators import cluster as C
-from .operators import dashboard, dedupe, ingest, lineage, read, summarize, vector
+from .operators import dashboard, dedupe, ingest, lineage, read, rollup, search, summarize, vector
 from .operators.graph import connected_components
 from .sources import feeds
 from .sources.feeds import error_class
@@ -93,6 +93,13 @@ def _(spark, d):
     return read.list_articles(articles(spark, d), headline="The").select("id", "headline", "publisher_name")
 
 
+@_query("articles_search_indexed", ORACLE_SQL["articles_search"])
+def _(spark, d):
+    a = articles(spark, d)
+    index = stash(search.trigram_index(a))
+    return search.search(a, index, "The").select("id", "headline", "publisher_name")
+
+
 @_query("articles_day_closed", f"WITH {_ARTICLES} SELECT id, published_at FROM a WHERE published_at BETWEEN TIMESTAMP '{DAY}' AND TIMESTAMP '{DAY}' + INTERVAL 1 DAY")
 def _(spark, d):
     return read.list_articles(articles(spark, d), day=DAY).select("id", "published_at")
@@ -241,6 +248,16 @@ def _(spark, d):
     return dashboard.summary(a, topics(spark, d), steps(spark, d), steps(spark, d), DAY)
 
 
+@_query("dashboard_summary_kept", ORACLE_SQL["dashboard_summary"])
+def _(spark, d):
+    a = articles(spark, d).withColumn("fetched_at", F.col("published_at")).withColumn("publisher_id", F.col("publisher_name"))
+    # three appends of articles, of which one is taken back and added again
+    parts = [rollup.partial_counts("article", a.where(F.pmod("id", F.lit(3)) == k)) for k in range(3)]
+    counts = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(rollup.retracted(parts[1])).unionByName(parts[1])
+    counts = stash(counts.unionByName(rollup.partial_counts("topic", topics(spark, d))).unionByName(rollup.partial_counts("pipeline_step_history", steps(spark, d))))
+    return rollup.summary(counts, steps(spark, d), DAY)
+
+
 @_query("recent_runs", f"""WITH {_STEPS}, k AS (SELECT * FROM s ORDER BY started_at DESC, id DESC LIMIT 10), r AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
 SELECT k.id AS id, k.status AS status, n AS fetched_count FROM k JOIN events ON event_id = k.id JOIN r USING (user_id)""")
 def _(spark, d):

@@ -106,10 +106,13 @@ class Store:
         numbered = rows.select(part.alias("part"), F.struct(*kinds.fieldNames()).alias("row"))
         return numbered.groupBy("row.id").agg(F.max_by("row", "part").alias("row")).select("row.*")
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame) -> tuple[int, int]:
+        """Writes a part; returns its version and number."""
         version = self._version(name)
         folder = f"{self.path}/{name}/v{version}"
-        self._write(name, version, self._claim(folder, "p", 1 + max(self._numbers(folder, "p"), default=-1)), rows)
+        part = self._claim(folder, "p", 1 + max(self._numbers(folder, "p"), default=-1))
+        self._write(name, version, part, rows)
+        return version, part
 
     def append_unique(self, name: str, rows: DataFrame, *columns: str) -> DataFrame:
         """Appends the rows of which no stored row has one of the columns' values, and of equal ones among them that of
@@ -130,12 +133,15 @@ class Store:
                 self.append(name, staged.join(left.select("id"), "id", "left_anti"))
         return left
 
-    def replace(self, name: str, rows: DataFrame) -> None:
+    def replace(self, name: str, rows: DataFrame) -> tuple[int, int]:
+        """Writes a new version of one part; returns their numbers."""
         versions = self._numbers(f"{self.path}/{name}", "v")
-        self._write(name, self._claim(f"{self.path}/{name}", "v", 1 + max(versions, default=0)), 0, rows)
+        version = self._claim(f"{self.path}/{name}", "v", 1 + max(versions, default=0))
+        self._write(name, version, 0, rows)
         fs, path = self._fs()
         for old in versions[: 1 - KEPT_VERSIONS or None]:
             fs.delete(path(f"{self.path}/{name}/v{old}"), True)
+        return version, 0
 
     def update_latest(self, name: str, rows: DataFrame) -> None:
         """Rows of the same id replace the stored ones: an append where later rows count, else a new version."""
