@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,13 @@ def drop(df: DataFrame) -> None:
             _stashed.remove((spark, path))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and broadcasts of plans that nobody holds any more, which it does when the
+    driver collects its garbage: a driver that plans many rounds would else keep those of all of them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
