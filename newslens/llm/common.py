@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop, shared_dir, stash
+from ..sources.shared import drop, release, shared_dir, stash
 
-__all__ = ["WS", "bounded_batches", "double_array", "drop", "let", "long_array", "shared_dir", "spaced", "stash", "table", "words"]
+__all__ = ["WS", "bounded_batches", "double_array", "drop", "let", "long_array", "release", "shared_dir", "spaced", "stash", "table", "words"]
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 WS = " \t\n\x0b\x0c\r"

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import bounded_batches, drop, stash, table
+from .common import bounded_batches, drop, release, stash, table
 from .shingles import SHINGLE, mix, sets_of_batches
 
 #: A shingle in more documents than this is frequent; no list of more classes is scanned pair by pair in one task.
@@ -456,6 +456,7 @@ def _of_frequent(heavy: DataFrame, links: DataFrame, classes: DataFrame, docs: D
     cost = of_token.agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n") / 2).alias("pairs")).first()
     h, r = None, 0 if cost["pairs"] > LEADER_PAIRS * cost["n"] else ROUNDS
     while r <= ROUNDS:
+        release(docs.sparkSession)
         if h is None:
             parts = connected_components(links, stash)
             h = stash(heavy.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
@@ -503,6 +504,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     boundary = best_boundary(sizes, (scan["n2"] or 0) / max(1, scan["n"] or 0))
     frequent = _known(counted)
     drop(counted)
+    release(docs.sparkSession)
 
     rows = stash(_entries(docs, groups, frequent, boundary))
     marks = rows.where("kind = 0").select("doc_id", "n", "f1", "f2", "sketch", "full")
@@ -512,6 +514,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = stash(grouped.withColumn("c", F.monotonically_increasing_id()))
     scanned = rows.where("kind = 1").select("g", "payload").groupBy("g").applyInPandas(_scan, "a long, b long, k long, alone boolean")
     found = stash(scanned)
+    release(docs.sparkSession)
     links = _of_lists(found, classes, docs)
     subsets = rows.where("kind = 3").select("token", "pos", "n", "f1", "f2").distinct()
     links = links.union(_of_subsets(subsets, classes))
@@ -521,12 +524,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if not found.where("alone").isEmpty():
         long = found.where("alone").select(F.col("k").alias("token"), F.col("a").alias("f1"))
         heavy = heavy.union(long.join(classes, "f1").select("token", "c", "n", F.lit(0).alias("pos"), "sketch"))
+    release(docs.sparkSession)
     heavy = stash(heavy)
     drop(found)
     if not heavy.isEmpty():
         links = _of_frequent(heavy, links, classes, docs)
 
+    release(docs.sparkSession)
     parts = stash(connected_components(links, stash))
+    release(docs.sparkSession)
     rooted = classes.join(parts.withColumnRenamed("node", "c"), "c", "left").select("f1", "f2", "n", "doc_id", F.coalesce("root", "c").alias("root"))
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = rooted.join(first, "root").select("f1", "f2", "n", "component_id")
