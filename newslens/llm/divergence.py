@@ -25,7 +25,7 @@ SCALE = 1_000_000_000
 #: Terms that a group's report lists, at most.
 TOP_TERMS = 200
 #: (group, term) counts that a task gathers before it sends them on.
-HELD = 200_000
+HELD = 400_000
 #: Parts of a language's sources, so that no task joins all pairs of a language.
 SALTS = 16
 
@@ -130,13 +130,17 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     as_other = F.struct(F.col("b").alias("source"), F.col("source").alias("item"), _times("m", f"{_far('zero_b', 'p')} - {_far('zero_b', 'zero')}").alias("value"))
     single = one.select("lang", F.explode(F.array(as_source, as_other)).alias("x")).select("lang", "x.*")
 
-    met = vectors.select("lang", "m", "vector", F.explode("vector").alias("x")).select("lang", "m", "x", F.explode("vector").alias("y")).where("x.source <> y.source")
+    # each pair of a vector's entries once, in the order of the sources; both directions follow from its counts
+    first = vectors.where("size(vector) > 1").select("lang", "m", "vector", F.posexplode("vector").alias("i", "x"))
+    met = first.select("lang", "m", "x", F.explode(F.expr("slice(vector, i + 2, size(vector))")).alias("y"))
     met = met.groupBy("lang", F.col("x.source").alias("source"), F.col("x.n").alias("n"), F.col("y.source").alias("item"), F.col("y.n").alias("n_b")).agg(F.sum("m").alias("m"))
     other = groups.select("lang", F.col("source").alias("item"), *[F.col(c).alias(f"{c}_b") for c in ("total", "zero")])
     met = met.join(groups, ["lang", "source"]).join(other, ["lang", "item"])
     met = met.withColumn("p", _share("n", "total", "terms")).withColumn("q", _share("n_b", "total_b", "terms"))
-    both = f"{_far('p', 'q')} - {_far('p', 'zero_b')} - {_far('zero', 'q')} + {_far('zero', 'zero_b')}"
-    both = met.select("lang", "source", "item", _times("m", both).alias("value"))
+    over = lambda p, zero, q, zero_b: f"{_far(p, q)} - {_far(p, zero_b)} - {_far(zero, q)} + {_far(zero, zero_b)}"
+    there = F.struct("source", "item", _times("m", over("p", "zero", "q", "zero_b")).alias("value"))
+    back = F.struct(F.col("item").alias("source"), F.col("source").alias("item"), _times("m", over("q", "zero_b", "p", "zero")).alias("value"))
+    both = met.select("lang", F.explode(F.array(there, back)).alias("x")).select("lang", "x.*")
 
     return base.unionByName(single).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value"))
 
