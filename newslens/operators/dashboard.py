@@ -30,10 +30,15 @@ def recent_steps(steps: DataFrame) -> DataFrame:
 
 def full_summary(articles: DataFrame, topics: DataFrame, steps: DataFrame, runs: DataFrame, day: str) -> DataFrame:
     """:func:`summary` with recent_runs, the ten newest steps of all days with their runs' counts, newest first."""
+    return with_recent(summary(articles, topics, steps, runs, day), steps, runs)
+
+
+def with_recent(figures: DataFrame, steps: DataFrame, runs: DataFrame) -> DataFrame:
+    """The row of figures with recent_runs."""
     items = history_rows(newest(steps), runs)
     one = F.struct("started_at", "id", *[c for c in items.columns if c not in ("started_at", "id")])
     recent = items.agg(F.sort_array(F.collect_list(one), asc=False).alias("recent_runs"))  # ten at most
-    return summary(articles, topics, steps, runs, day).join(recent, how="cross")
+    return figures.join(recent, how="cross")
 
 
 def charts(articles: DataFrame, links: DataFrame, topics: DataFrame, linked: DataFrame, steps: DataFrame, day: str) -> DataFrame:

@@ -50,7 +50,6 @@ TABLES = {
         "success_count! INT, failed_count! INT, error_type STRING, error_message STRING, message STRING, started_at! TIME, finished_at TIME"
     ),
     "daily_count": _struct("source! STRING, version! INT, part! INT, day! DATE, name STRING, n! LONG, at_midnight! LONG"),
-    "search_gram": _struct("gram! STRING, block! LONG, bits! LONG"),
 }
 
 CANDIDATE = T.StructType([
