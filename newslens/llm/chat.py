@@ -163,3 +163,19 @@ z AS (SELECT c, t, min(root) AS root, CAST(max(depth) AS BIGINT) AS depth FROM g
 y AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY root, t) - 1 AS position FROM z)
 SELECT p.conv_id AS conv_id, p.turn AS turn, role, own AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(b.b.p, -1) AS parent_turn, coalesce(root, p.turn) AS thread_turn, coalesce(depth, 0) AS depth, position
 FROM p LEFT JOIN c USING (id) LEFT JOIN y ON y.c = p.conv_id AND y.t = p.turn LEFT JOIN b ON b.c = p.conv_id AND b.t = p.turn"""
+
+
+def quoted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 over conversations in which each message quotes the one before it (of an even turn, the one before that)."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = c.groupBy("conv_id", "turn").agg(F.min("text").alias("said")).withColumnRenamed("turn", "of")
+    replies = c.withColumn("of", F.col("turn") - 1 - F.when(F.col("turn") % 2 == 0, 1).otherwise(0)).join(said, ["conv_id", "of"], "left")
+    quote = F.concat(F.lit("> "), F.replace("said", F.lit("\n"), F.lit("\n> ")), F.lit("\n"), "text")
+    told = replies.select("conv_id", "turn", "role", F.when(F.col("said").isNull(), F.col("text")).otherwise(quote).alias("text"))
+    return link_quotes(told).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1).cast("long")))
+
+
+QUOTED_ORACLE = ORACLE.replace("FROM conversations)", "FROM told)").replace("WITH RECURSIVE m AS", """WITH RECURSIVE told AS (SELECT c.conv_id AS conv_id, c.turn AS turn, role,
+  CASE WHEN said IS NULL THEN c.text ELSE '> ' || replace(said, chr(10), chr(10) || '> ') || chr(10) || c.text END AS text FROM conversations c
+  LEFT JOIN (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL) s ON s.conv_id = c.conv_id AND s.turn = c.turn - 1 - CASE WHEN c.turn % 2 = 0 THEN 1 ELSE 0 END),
+m AS""")

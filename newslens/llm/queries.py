@@ -20,12 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": mixing.query,
     "op9_mixing_pieces": mixing.pieces_query,
     "op10_chat": chat.query,
+    "op10_chat_quoted": chat.quoted_query,
     "op11_substring_dedup": passages.query,
     "op12_divergence": divergence.query,
     "op13_fill_in_middle": fill_in_middle.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_topk_search": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op8_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE,
+    "op1_topk_search": topk.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op8_url_filters": url_filters.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE, "op10_chat_quoted": chat.QUOTED_ORACLE,
     "op11_substring_dedup": passages.ORACLE, "op12_divergence": divergence.ORACLE, "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
