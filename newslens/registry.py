@@ -433,7 +433,7 @@ def _(spark, d):
     return _table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("tokens"))
 
 
-def _tokenize_sql() -> str:
+def _tokenize_sql(table: str = "documents", id_: str = "doc_id") -> str:
     """The tokeniser in SQL, for texts whose characters lose only accents."""
     space = r"[ \t\n\x0B\f\r]"
     steps = (
@@ -455,9 +455,9 @@ def _tokenize_sql() -> str:
  WHEN {ends(4, 'es')} THEN {bare(2)} WHEN {ends(3, 's')} AND NOT ends_with(t, 'ss') THEN {bare(1)} ELSE t END"""
     named = " ".join(f"WHEN t = '{k}' THEN '{v}'" for k, v in schema.ENGLISH_ALIAS.items())
     put_right = " ".join(f"WHEN s = '{k}' THEN '{v}'" for k, v in schema.POST_STEM.items())
-    return f"""WITH w AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split({x}, ' '), lambda t: length(t) > 1), '  ') || ' ' AS j FROM documents),
-p AS (SELECT doc_id, list_filter(string_split(trim({pairs}), '  '), lambda t: t <> '') AS ts FROM w)
-SELECT doc_id, array_to_string(list_transform(ts, lambda t: CASE WHEN contains(t, '_') THEN t {named} ELSE list_transform([{stem}], lambda s: CASE {put_right} ELSE s END)[1] END), ' ') AS tokens FROM p"""
+    return f"""WITH w AS (SELECT {id_}, ' ' || array_to_string(list_filter(string_split({x}, ' '), lambda t: length(t) > 1), '  ') || ' ' AS j FROM {table}),
+p AS (SELECT {id_}, list_filter(string_split(trim({pairs}), '  '), lambda t: t <> '') AS ts FROM w)
+SELECT {id_}, array_to_string(list_transform(ts, lambda t: CASE WHEN contains(t, '_') THEN t {named} ELSE list_transform([{stem}], lambda s: CASE {put_right} ELSE s END)[1] END), ' ') AS tokens FROM p"""
 
 
 @_query("tokenize_joined", _tokenize_sql())
@@ -529,14 +529,14 @@ def _(spark, d):
 
 @_query("explode_batches", """WITH c AS (SELECT *, ['FOX_WORLD', 'NYT_WORLD', 'CHOSUN_WORLD', 'HANI_WORLD'][CAST(doc_id % 4 AS INTEGER) + 1] AS code FROM documents)
 SELECT CAST(doc_id AS VARCHAR) AS guid, (CASE code WHEN 'CHOSUN_WORLD' THEN 1 WHEN 'FOX_WORLD' THEN 2 WHEN 'HANI_WORLD' THEN 3 ELSE 4 END) * 4294967296
-  + row_number() OVER (PARTITION BY lang ORDER BY code, source, CAST(doc_id AS VARCHAR)) - 1 AS pos FROM c""")
+  + row_number() OVER (PARTITION BY lang, doc_id // 100 ORDER BY code, source, CAST(doc_id AS VARCHAR)) - 1 AS pos FROM c""")
 def _(spark, d):
     a = articles(spark, d)
     code = F.get(F.array(*[F.lit(f[0]) for f in schema.FEEDS]), F.pmod("id", F.lit(4)).cast("int"))
     none = F.lit(None).cast("string")
     values = {"publisherCode": code, "publisherName": F.col("publisher_name"), "publishedAt": F.col("published_at"), "rssGuid": F.col("id").cast("string"), "url": F.col("id").cast("string")}
     one = F.struct(*[values.get(f.name, none).cast(f.dataType).alias(f.name) for f in schema.CANDIDATE.fields])
-    batches = a.groupBy("country").agg(F.sort_array(F.collect_list(one)).alias("articles"))
+    batches = a.groupBy("country", F.floor(F.col("id") / 100)).agg(F.sort_array(F.collect_list(one)).alias("articles"))  # 100 articles a batch at most
     return feeds.batch_candidates(batches).select(F.col("rssGuid").alias("guid"), "pos")
 
 
@@ -564,6 +564,50 @@ def _(spark, d):
     return C.representatives(members, vector.unit(vector.tfidf(docs)))
 
 
+def _topic_members_sql(table: str, id_: str, publisher: str) -> str:
+    """Clusters of at least two publishers as components of the edges, with the text of largest summed cosine as title."""
+    weights = _TFIDF.format(id=id_, table=table)
+    weights = "tok AS (SELECT " + id_ + " AS id, list_filter(string_split(tokens, ' '), lambda t: t <> '') AS ts FROM (" + _tokenize_sql(table, id_) + ")),\n" + weights[weights.index("w0 AS"):]
+    return f"""WITH RECURSIVE {weights},
+sims AS (SELECT x.id AS a, y.id AS b, sum(x.u * y.u) AS sim FROM un x JOIN un y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id),
+e AS (SELECT a, b FROM sims WHERE sim >= 0.3 UNION ALL SELECT b, a FROM sims WHERE sim >= 0.3),
+r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node AND e.b > r.root),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+g AS (SELECT root FROM m JOIN {table} ON {id_} = node GROUP BY root HAVING count(DISTINCT {publisher}) >= 2),
+s AS (SELECT x.root AS root, x.node AS node, sum(sim) AS s FROM (SELECT a, b, sim FROM sims UNION ALL SELECT b, a, sim FROM sims) z
+  JOIN m x ON x.node = z.a JOIN m y ON y.node = z.b AND y.root = x.root GROUP BY ALL),
+t AS (SELECT root, min_by(node, struct_pack(s := -round(s, 9), node := node)) AS title FROM s GROUP BY root)
+SELECT m.root AS topic, m.node AS article_id, sha256(text) AS title_sha256 FROM m SEMI JOIN g ON g.root = m.root JOIN t ON t.root = m.root JOIN {table} ON {id_} = t.title"""
+
+
+def _topic_members(spark, a):
+    """Links of the topics made of articles, each topic named by its least article."""
+    none = spark.createDataFrame([], "id long, topic_id long, article_id long, status string")
+    made = C.cluster(a, none.select("topic_id", "article_id"), none.select("id", "status"), DAY, threshold=0.3, min_shared=0)
+    if made.links is None:
+        return spark.createDataFrame([], "topic long, article_id long, title_sha256 string")
+    links = stash(made.links.select("topic_id", "article_id"))
+    named = links.groupBy("topic_id").agg(F.min("article_id").alias("topic")).join(made.topics.select(F.col("id").alias("topic_id"), F.sha2("title", 256).alias("title_sha256")), "topic_id")
+    return links.join(named, "topic_id").select("topic", "article_id", "title_sha256")
+
+
+def _as_articles(rows, id_, publisher):
+    at = F.lit(DAY).cast("timestamp_ntz")
+    return rows.select(
+        F.col(id_).alias("id"), F.col("text").alias("headline"), F.lit(None).cast("string").alias("description"), at.alias("published_at"), at.alias("fetched_at"),
+        F.xxhash64(publisher.cast("string")).alias("publisher_id"), publisher.cast("string").alias("publisher_name"), F.lit("WORLD").alias("category"))
+
+
+@_query("topic_members", _topic_members_sql("benchmark", "item_id", "item_id % 4"))
+def _(spark, d):
+    return _topic_members(spark, _as_articles(_table(spark, d, "benchmark"), "item_id", F.col("item_id") % 4))
+
+
+@_query("topic_members_documents", _topic_members_sql("documents", "doc_id", "source"))
+def _(spark, d):
+    return _topic_members(spark, _as_articles(_table(spark, d, "documents"), "doc_id", F.col("source")))
+
+
 @_query("topic_links")
 def _(spark, d):
     b = _table(spark, d, "benchmark")
