@@ -29,8 +29,9 @@ class _Part:
 
 class Articles(_Part):
     def list(self, headline: str | None = None, day: str | None = None, page: int | None = None, size: int | None = None) -> read.Page:
-        """Newest first, with their publishers."""
-        found = read.paged(read.list_articles(self._store.read("article"), headline, day), page, size)
+        """Newest first, with their publishers; headlines are looked up by the store's grams."""
+        rows = self._store.search(headline) if headline else self._store.read("article")
+        found = read.paged(read.list_articles(rows, None, day), page, size)
         rows = read.article_rows(found.items, self._store.read("publisher")).orderBy(F.desc_nulls_last("published_at"), F.desc("id"))
         return replace(found, items=rows)
 

@@ -49,6 +49,7 @@ TABLES = {
         "id! LONG, pipeline_run_id! LONG, step! STRING, status! STRING, target_type STRING, target_name STRING, processed_count! INT, "
         "success_count! INT, failed_count! INT, error_type STRING, error_message STRING, message STRING, started_at! TIME, finished_at TIME"
     ),
+    "search_gram": _struct("version! INT, part! INT, gram! STRING, block! LONG, bits! LONG"),
     "daily_count": _struct("source! STRING, version! INT, part! INT, day! DATE, name STRING, n! LONG, at_midnight! LONG"),
 }
 
