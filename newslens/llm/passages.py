@@ -20,7 +20,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stash, table
@@ -137,10 +137,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and key, with all of its runs: a repetitive text has many of one key."""
     for batch in _blocks(batches):
         row, key, lo, hi = window_runs(batch.column("text"))
-        ids = [batch.column(c).take(pa.array(row)) for c in ("id", "th")]
-        yield pa.RecordBatch.from_arrays([*ids, pa.array(key), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["id", "th", "key", "lo", "hi"])
+        order = np.lexsort((lo, key, row))
+        row, key, lo, hi = row[order], key[order], lo[order], hi[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+        begin = np.flatnonzero(new)
+        at = pa.array(np.append(begin, len(row)), pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (lo, hi)]
+        ids = [batch.column(c).take(pa.array(row[begin])) for c in ("id", "th")]
+        yield pa.RecordBatch.from_arrays([*ids, pa.array(key[begin]), *lists], names=["id", "th", "key", "los", "his"])
 
 
 def _digest(stretch: bytes, size: int = 16) -> bytes:
@@ -169,7 +177,7 @@ def _marker(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 texts.append(text if found else left if with_text else None)
                 parts: tuple[list, list] = [], []
                 for r in found or ():
-                    parts[r["hot"]].append({"key": r["key"], "lo": r["lo"], "hi": r["hi"]})
+                    parts[r["hot"]].extend({"key": r["key"], "lo": lo, "hi": hi} for lo, hi in zip(r["los"], r["his"], strict=True))
                 runs.append(parts[0])
                 hot.append(parts[1])
                 windows.append(list({_key(b" ".join(words[i : i + WINDOW])) for r in parts[1] for i in range(r["lo"], r["hi"] + 1)}))
@@ -331,9 +339,9 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent()
 
 
-def _recurring(runs: DataFrame) -> DataFrame:
-    """The keys that documents of different ids hold, with the number of their runs."""
-    keys = runs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n"))
+def _recurring(runs: DataFrame, n: Column) -> DataFrame:
+    """The keys that documents of different ids hold, with the sum of n."""
+    keys = runs.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.sum(n).alias("n"))
     return keys.where("a <> z").select("key", "n")
 
 
@@ -353,9 +361,9 @@ def without_passages(docs: DataFrame, text: bool = True) -> DataFrame:
     keyed = kept.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole).alias("th"), whole.alias("text"))
     ids = "id bigint, th bigint"
 
-    runs = stash(keyed.where("id IS NOT NULL").select("id", "th", "text").mapInArrow(_runs, f"{ids}, key bigint, lo int, hi int"))
-    recurring = _recurring(runs).select("key", (F.col("n") > HOT).alias("hot"))
-    found = runs.join(recurring, "key").groupBy("id", "th").agg(F.collect_set(F.struct("key", "lo", "hi", "hot")).alias("found"))
+    runs = stash(keyed.where("id IS NOT NULL").select("id", "th", "text").mapInArrow(_runs, f"{ids}, key bigint, los array<int>, his array<int>"))
+    recurring = _recurring(runs, F.size("los")).select("key", (F.col("n") > HOT).alias("hot"))
+    found = runs.join(recurring, "key").groupBy("id", "th").agg(F.collect_set(F.struct("key", "los", "his", "hot")).alias("found"))
     joined = keyed.join(found, ["id", "th"], "left").select("row", "id", "th", "text", "found")
     spec = f"row {joined.schema['row'].dataType.simpleString()}, {ids}, text string, n_words bigint, kept_sha256 string, runs {RUNS}, hot {RUNS}, windows array<bigint>"
     marked = stash(joined.mapInArrow(_marker(text), spec))
@@ -366,7 +374,7 @@ def without_passages(docs: DataFrame, text: bool = True) -> DataFrame:
         rest = rest.drop("windows").withColumn("good", F.lit(None).cast("array<bigint>"))
     else:  # what recurs of frequent anchors is told by hashes of windows first, so that no task meets them all
         each = windows.select("id", "th", F.explode("windows").alias("key"))
-        good = each.join(_recurring(each).select("key"), "key").groupBy("id", "th").agg(F.collect_set("key").alias("good"))
+        good = each.join(_recurring(each, F.lit(1)).select("key"), "key").groupBy("id", "th").agg(F.collect_set("key").alias("good"))
         rest = stash(rest.drop("windows").join(good, ["id", "th"], "left"))
 
     cut = rest.select("id", "th", "text", "runs", "hot", "good")
