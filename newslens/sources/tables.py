@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from .shared import stash
 __all__ = ["Conflict", "NotFound", "Store", "seed"]
 #: Tables in which later rows of an id replace earlier ones.
 LOGGED = ("pipeline_run", "topic")
+#: Folders into which a part of such a table is dealt by id, so that the latest row of each id is found without a shuffle.
+BUCKETS = 8
 #: Versions of a table that are kept when it is replaced.
 KEPT_VERSIONS = 2
 #: Seconds after which a writer that publishes is taken for lost.
@@ -91,20 +94,30 @@ class Store:
             fs.delete(lock, False)
 
     def _write(self, name: str, version: int, part: int, rows: DataFrame) -> None:
-        fields = schema.TABLES[name].fields
-        rows.select([F.col(f.name).cast(f.dataType) for f in fields]).write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}/p{part}")
+        typed = rows.select([F.col(f.name).cast(f.dataType) for f in schema.TABLES[name].fields])
+        out = typed.write
+        if name in LOGGED:
+            dealt = typed.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
+            out = dealt.repartition(BUCKETS, "bucket").write.partitionBy("bucket")
+        out.mode("overwrite").parquet(f"{self.path}/{name}/v{version}/p{part}")
 
     def read(self, name: str) -> DataFrame:
         kinds, version = schema.TABLES[name], self._version(name)
         parts = self._parts(name, version)
         if not parts:
             return self.spark.createDataFrame([], kinds)
-        rows = self.spark.read.schema(kinds).parquet(*[f"{self.path}/{name}/v{version}/p{n}" for n in parts])
+        paths = [f"{self.path}/{name}/v{version}/p{n}" for n in parts]
         if name not in LOGGED:
-            return rows
-        part = F.regexp_extract(F.col("_metadata.file_path"), "/p([0-9]+)/[^/]*$", 1).cast("int")
-        numbered = rows.select(part.alias("part"), F.struct(*kinds.fieldNames()).alias("row"))
-        return numbered.groupBy("row.id").agg(F.max_by("row", "part").alias("row")).select("row.*")
+            return self.spark.read.schema(kinds).parquet(*paths)
+        fs, path = self._fs()
+        part = F.regexp_extract(F.col("_metadata.file_path"), "/p([0-9]+)/[^/]*/[^/]*$", 1).cast("int")
+        latest = [self.spark.createDataFrame([], kinds)]
+        for b in range(BUCKETS):
+            held = [f"{p}/bucket={b}" for p in paths if fs.exists(path(f"{p}/bucket={b}"))]
+            if held:  # one task reads a bucket and so sees all rows of its ids
+                rows = self.spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(*held).select(part.alias("part"), F.struct(*kinds.fieldNames()).alias("row"))
+                latest.append(rows.coalesce(1).groupBy("row.id").agg(F.max_by("row", "part").alias("row")).select("row.*"))
+        return reduce(DataFrame.unionByName, latest)
 
     def append(self, name: str, rows: DataFrame) -> tuple[int, int]:
         """Writes a part; returns its version and number."""

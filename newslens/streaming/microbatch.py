@@ -16,8 +16,9 @@ from ..sources.shared import stash
 
 def ingest_stream(pipeline: Pipeline, folder: str, checkpoint: str, as_of: datetime) -> StreamingQuery:
     """Ingests JSON-lines candidates that arrive in ``folder``; each micro-batch is one ingest, in the order of the
-    files' times and names and of the lines. Repeated rows count as duplicates. Batches are idempotent: a repeated
-    one finds its rows in the store and saves none."""
+    files' times and names and of the lines. Repeated rows count as duplicates. A batch that is
+    repeated after a crash finds its rows in the store and saves none; its events are sent again, with counts of
+    duplicates."""
     spark = pipeline.spark
     files = spark.readStream.schema(schema.CANDIDATE).json(folder)
     rows = files.select("*", F.col("_metadata.file_modification_time").alias("file_time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))

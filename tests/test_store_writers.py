@@ -94,5 +94,7 @@ def test_a_topic_s_update_writes_its_row_only(spark, tmp_path):
     s.update_latest("topic", spark.createDataFrame([topic(7, "made")], kinds))
     assert s.read("topic").count() == 50 and [r["id"] for r in s.read("topic").where("ai_summary = 'made'").collect()] == [7]
     assert spark.read.parquet(f"{tmp_path}/topic/v0/p1").count() == 1
+    plan = s.read("topic")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and 1 < plan.count("Scan parquet") <= tables.BUCKETS
     s.delete("topic", 7)
     assert s.read("topic").count() == 49
