@@ -28,7 +28,7 @@ def trigram_index(rows: DataFrame, column: str = "headline") -> DataFrame:
     upper = rows.select("id", F.upper(column).alias("up")).where(F.length("up") >= GRAM)
     grams = F.transform(F.sequence(F.lit(1), F.length("up") - GRAM + 1), lambda i: F.substring(F.col("up"), i, GRAM))
     each = upper.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
-    block = F.floor(F.col("id") / BLOCK).cast("long")
+    block = F.call_function("shiftright", F.col("id").cast("long"), F.lit(BLOCK.bit_length() - 1))  # ids may be hashes, too long for doubles
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(BLOCK)).cast("int"))
     made = each.groupBy("gram", block.alias("block")).agg(F.bit_or(bit).alias("bits"))
     return made.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")

@@ -68,8 +68,8 @@ def test_store_searches_what_it_holds(spark, tmp_path):
 def test_search_by_index(spark, tmp_path):
     r = random.Random(9)
     texts = ["".join(r.choice(["a", "B", "é", "ß", "%", "_", "가", " ", "x", "İ"]) for _ in range(r.randint(0, 25))) for _ in range(300)] + [None, "", "ab", "100% sure_thing"]
-    a = spark.createDataFrame([(i * 7, t) for i, t in enumerate(texts)], "id long, headline string")
-    index = stash(search.trigram_index(a.where("id % 2 = 0")).unionByName(search.trigram_index(a.where("id % 2 = 1"))))  # two appends
+    a = spark.createDataFrame([(i * 7 if i == 303 else (-1) ** i * (2**62 + 7 * i), t) for i, t in enumerate(texts)], "id long, headline string")
+    index = stash(search.trigram_index(a.where("id % 2 = 0")).unionByName(search.trigram_index(a.where("id % 2 <> 0"))))  # two appends
     for needle in ("100%", "e_t", "%", "_", "ab", "aBé", "é가x", "ss", "SSx", "no such", "sure_thing", *(t[3:8] for t in texts[:25] if t and len(t) > 8)):
         if needle:
             want = {x["id"] for x in a.where(read.contains_ignoring_case(F.col("headline"), needle)).collect()}
