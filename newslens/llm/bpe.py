@@ -28,7 +28,7 @@ from .common import bounded_batches, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank that follows no white space, and one that does.
 BLANK, SPACE_BLANK = re.compile(r"(?<!\s) "), re.compile(r"\s ")
-#: Encoded pieces (and chunks of pieces) that one Python worker remembers, at most, and the longest.
+#: Encoded pieces (and chunks of pieces, and tested pairs) that one Python worker remembers, at most, and the longest.
 MEMORY, MEMORY_PIECE = 250_000, 64
 #: Rows of an output batch.
 BATCH_ROWS = 512
@@ -76,7 +76,7 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(texts), np.uint8)
-        self.compatible = lru_cache(maxsize=1 << 18)(self._compatible)
+        self.pairs: dict[int, bool] = {}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at the token's right (1) or left (0) edge while it is built, with the rank of
@@ -101,15 +101,28 @@ class Vocabulary:
                     return False
         return True
 
+    def _tested(self, a: int, b: int) -> bool:
+        """:meth:`_compatible`, remembered."""
+        if len(self.pairs) >= MEMORY:
+            self.pairs.clear()
+        fits = self.pairs[a << 32 | b] = self._compatible(a, b)
+        return fits
+
     def encode_piece(self, piece: bytes) -> list[int]:
         last, size, done = [-1] * (len(piece) + 1), [0] * (len(piece) + 1), -1
-        compatible = self.compatible
+        known = self.pairs.get
         for end, (token, n) in self.automaton.iter(piece.decode("latin-1")):
             if end == done:
                 continue
             start = end + 1 - n
-            if not start or (last[start] >= 0 and compatible(last[start], token)):
-                last[end + 1], size[end + 1], done = token, n, end
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known(before << 32 | token)
+                if not (self._tested(before, token) if fits is None else fits):
+                    continue
+            last[end + 1], size[end + 1], done = token, n, end
         ids, at = [], len(piece)
         while at:
             if last[at] < 0:
