@@ -28,8 +28,8 @@ from .common import bounded_batches, table
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank that follows no white space, and one that does.
 BLANK, SPACE_BLANK = re.compile(r"(?<!\s) "), re.compile(r"\s ")
-#: Encoded pieces (and chunks of pieces, and tested pairs) that one Python worker remembers, at most, and the longest.
-MEMORY, MEMORY_PIECE = 250_000, 64
+#: Encoded pieces (and chunks of pieces) that one Python worker remembers, at most, the longest, and tested pairs.
+MEMORY, MEMORY_PIECE, PAIRS = 250_000, 64, 250_000
 #: Rows of an output batch.
 BATCH_ROWS = 512
 
@@ -77,6 +77,7 @@ class Vocabulary:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(texts), np.uint8)
         self.pairs: dict[int, bool] = {}
+        self.memory = MEMORY
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at the token's right (1) or left (0) edge while it is built, with the rank of
@@ -103,7 +104,7 @@ class Vocabulary:
 
     def _tested(self, a: int, b: int) -> bool:
         """:meth:`_compatible`, remembered."""
-        if len(self.pairs) >= MEMORY:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         fits = self.pairs[a << 32 | b] = self._compatible(a, b)
         return fits
@@ -135,7 +136,7 @@ class Vocabulary:
         got = self.encode_piece(piece.encode())
         out = struct.pack(f"<{len(got)}I", *got)
         if len(piece) <= MEMORY_PIECE:
-            if len(self.pieces) >= MEMORY:
+            if len(self.pieces) >= self.memory:
                 self.pieces.clear()
             self.pieces[piece] = out
         return out
@@ -149,7 +150,7 @@ class Vocabulary:
         else:
             out = b"".join([known(p) or new(p) for p in pieces])
         if len(chunk) <= MEMORY_PIECE:
-            if len(self.chunks) >= MEMORY:
+            if len(self.chunks) >= self.memory:
                 self.chunks.clear()
             self.chunks[chunk] = out
         return out
@@ -195,9 +196,10 @@ def default_path() -> str:
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False, text: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False, text: bool = True, remembered: int = MEMORY) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 to every document; with ``ids`` also ``ids``, the
-    packed ids (little-endian unsigned 32-bit); without ``text`` the text itself is left out.
+    packed ids (little-endian unsigned 32-bit); without ``text`` the text itself is left out. ``remembered`` bounds the
+    pieces (and chunks of pieces) that a worker keeps: fewer take less memory and more time.
 
     ``path`` names the tokenizer file on every executor. Null and empty texts give no ids. Texts and
     pieces of any length are encoded whole; repeated rows are encoded one by one; an empty table gives
@@ -214,6 +216,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(where)
+        v.memory = remembered
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(start, BATCH_ROWS)
