@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from newslens.llm import bpe, jaccard, mixing, pii, quality
 from newslens.llm.common import stash, table
 
+#: Pieces that a BPE worker remembers, at most: the stages before it leave their executors little memory.
+REMEMBERED = 50_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -53,7 +55,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids; every row is encoded by itself; an empty table stays empty.
     """
-    return bpe.encode_documents(docs, ids=True, text=False).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(docs, ids=True, text=False, remembered=REMEMBERED).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
