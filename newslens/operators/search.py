@@ -26,7 +26,8 @@ def trigram_index(rows: DataFrame, column: str = "headline") -> DataFrame:
     bits are joined by :func:`candidates`.
     """
     upper = rows.select("id", F.upper(column).alias("up")).where(F.length("up") >= GRAM)
-    grams = F.transform(F.sequence(F.lit(1), F.length("up") - GRAM + 1), lambda i: F.substring(F.col("up"), i, GRAM))
+    upper = upper.select("id", F.length("up").alias("n"), F.split("up", "").alias("chars"))  # a gram's place is found at once in an array
+    grams = F.transform(F.sequence(F.lit(0), F.col("n") - GRAM), lambda i: F.concat(*[F.get(F.col("chars"), i + k) for k in range(GRAM)]))
     each = upper.select("id", F.explode(F.array_distinct(grams)).alias("gram"))
     block = F.call_function("shiftright", F.col("id").cast("long"), F.lit(BLOCK.bit_length() - 1))  # ids may be hashes, too long for doubles
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(BLOCK)).cast("int"))
