@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.text import is_blank
+from ..operators.numbering import with_running
 
 _ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description", "link", "pubDate", "updated", "content")] + [
     T.StructField("guid", T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_isPermaLink", T.StringType())])),
@@ -194,12 +195,26 @@ def read_json_batches(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.where(~F.coalesce(odd, F.lit(False))).withColumns({"articles": none("articles"), "feedErrors": none("feedErrors")}).orderBy("file_name")
 
 
+def _feed_place() -> Column:
+    codes = sorted(f[0] for f in schema.FEEDS)
+    return F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("publisherCode"))
+
+
 def batch_candidates(batch: DataFrame) -> DataFrame:
     """Candidates with pos: feeds in the order of their codes, articles in the file's order."""
     a = batch.select(F.posexplode("articles").alias("item_pos", "a")).select("item_pos", "a.*")
-    codes = sorted(f[0] for f in schema.FEEDS)
-    place = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("publisherCode"))
-    return a.withColumn("pos", place * (1 << 32) + F.col("item_pos")).drop("item_pos")
+    return a.withColumn("pos", _feed_place() * (1 << 32) + F.col("item_pos")).drop("item_pos")
+
+
+def row_candidates(rows: DataFrame, batch: str, order: list[str]) -> DataFrame:
+    """The same for batches of any size whose articles are rows: in a batch they stand by code, then by ``order``.
+
+    Rows are numbered in ranges, so that no task holds a whole batch; rows without a batch are one.
+    """
+    items = with_running(rows, [F.asc_nulls_last(c) for c in (batch, "publisherCode", *order)], item_pos=F.lit(1))
+    first = items.groupBy(F.col(batch).alias("_batch")).agg(F.min("item_pos").alias("_first"))
+    placed = items.join(first, F.col(batch).eqNullSafe(F.col("_batch")))
+    return placed.withColumn("pos", _feed_place() * (1 << 32) + F.col("item_pos") - F.col("_first")).drop("item_pos", "_batch", "_first")
 
 
 def batch_feed_status(batch: DataFrame, candidates: DataFrame) -> DataFrame:
