@@ -9,6 +9,9 @@ from .. import schema
 from .numbering import with_running
 from .read import history_rows, last_collected, newest, on_day
 
+#: Links of one part of the topics, about.
+LINKS_OF_PART = 500_000
+
 
 def summary(articles: DataFrame, topics: DataFrame, steps: DataFrame, runs: DataFrame, day: str) -> DataFrame:
     """One row: the day's articles (by fetched_at), topics (by created_at) and successful and failed steps
@@ -58,10 +61,17 @@ def articles_by_publisher(articles: DataFrame) -> DataFrame:
 
 
 def topics_by_country(links: DataFrame, topics: DataFrame, articles: DataFrame) -> DataFrame:
-    """Distinct topics of any status by the country of a linked article's publisher."""
-    t = topics.select(F.col("id").alias("topic_id"))
+    """Distinct topics of any status by the country of a linked article's publisher.
+
+    Links are dealt by article, then by topic, into parts whose number grows with the links, so that a task's memory doesn't; links are
+    (topic, country) once before they meet their topics.
+    """
+    parts = max(1, -(-links.count() // LINKS_OF_PART))
+    t = topics.select(F.col("id").alias("topic_id")).repartition(parts, "topic_id")
     a = articles.select(F.col("id").alias("article_id"), "country")
-    return links.join(t, "topic_id").join(a, "article_id").groupBy("country").agg(F.countDistinct("topic_id").alias("n")).orderBy(F.desc("n"), "country")
+    pairs = links.select("topic_id", "article_id").repartition(parts, "article_id").join(a, "article_id").select("topic_id", "country")
+    each = pairs.repartition(parts, "topic_id").distinct().join(t, "topic_id", "left_semi")
+    return each.groupBy("country").agg(F.count("topic_id").alias("n")).orderBy(F.desc("n"), "country")
 
 
 def status_histogram(steps: DataFrame, day: str | None = None) -> DataFrame:
