@@ -197,7 +197,9 @@ def _selected(text: Column, kind: str, pattern: str | None = None) -> Column:
     def keep(x: Column) -> Column:
         before = F.substring(text, F.greatest(x["s"] - CONTEXT + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT)))
         after = F.substring(text, x["e"] + 1, F.lit(2))
-        return boosting.expression(trees, _feature_columns(kind, x["t"], before, after)) >= F.lit(threshold)
+        # bound once: each split of each tree would repeat its feature's whole expression in the plan
+        score = lambda f: boosting.expression(trees, [F.get(f, F.lit(i)) for i in range(len(FEATURES))])
+        return let(F.array(*_feature_columns(kind, x["t"], before, after)), score) >= F.lit(threshold)
 
     return F.filter(_spans(text, pattern or kind), keep)
 
